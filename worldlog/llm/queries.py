@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import minhash, packing, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,31 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), mask=False)
+    counts = [
+        F.expr(f"cast(size(filter(pii_spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}")
+        for kind in pii.BASE_KINDS
+    ]
+    base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.digest(base), 256).alias("base_sha256"),
+        pii.digest(F.col("pii_spans")).alias("spans"),
+        F.aggregate("pii_spans", F.lit(0.0), lambda most, s: F.greatest(most, s["score"])).alias("top_score"),
+    )
+
+
 OP1_SQL = r"""
 WITH RECURSIVE said AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
@@ -35,5 +61,5 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, d
 FROM sets LEFT JOIN least ON x = doc_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op10_pii)}
 ORACLE_SQL = {"op1_minhash": OP1_SQL}
