@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pii, substring, toxicity
+from . import html, minhash, packing, pii, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), mask=False)
     counts = [
@@ -65,5 +69,5 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, d
 FROM sets LEFT JOIN least ON x = doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op6_substring, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op6_substring, op7_html, op10_pii)}
 ORACLE_SQL = {"op1_minhash": OP1_SQL}
