@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, minhash, packing, pii, substring, toxicity
+from . import fingerprint, html, minhash, packing, pii, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -69,5 +73,5 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, d
 FROM sets LEFT JOIN least ON x = doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op6_substring, op7_html, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_fingerprint, op6_substring, op7_html, op10_pii)}
 ORACLE_SQL = {"op1_minhash": OP1_SQL}
