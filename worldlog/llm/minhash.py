@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,13 @@ from .store import written
 from .words import Words, mix, runs, slices
 
 BANDS, ROWS = 40, 6
-#: Hubs of a bucket in each turn after the first star.
-HUBS = 16
+#: Columns of the bits that a pair of one bucket is judged by before its texts are fetched.
+SKETCH = ("s0", "s1", "s2", "s3")
+#: Hubs of a bucket in the first turn after the star; each later turn has so many times more. A turn of the enough-th
+#: or after that finds no link is the last.
+HUBS, MORE, ENOUGH = 3, 2, 1
+#: Pairs whose sketches differ by more standard errors than this from what a link's would are not compared.
+ERRORS = 4.5
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -62,38 +68,47 @@ class Signer:
             out[empty] = out[there[self.order[empty][:, there].argmin(axis=1)]]
         return out
 
-    def buckets(self, found: np.ndarray) -> np.ndarray:
+    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each band, and one bit of each bin as ``SKETCH`` long numbers."""
         if not len(found):
-            return np.zeros(0, np.int64)
-        bins = self.bins_of(found).reshape(self.bands, self.rows)
-        return mix((mix(bins) * self.weight).sum(axis=1, dtype=np.uint64) ^ self.salt).view(np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(SKETCH), np.int64)
+        bins = mix(self.bins_of(found))
+        bands = (bins.reshape(self.bands, self.rows) * self.weight).sum(axis=1, dtype=np.uint64)
+        bits = np.zeros(64 * len(SKETCH), np.uint8)
+        bits[: self.bins] = bins[: len(bits)] & np.uint64(1)
+        return mix(bands ^ self.salt).view(np.int64), np.packbits(bits).view(np.int64)
 
 
-def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the normalised word sequence; null without words), buckets of each row."""
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate([*rows, np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(values, pa.int64()))
+
+
+def signatures(docs: DataFrame, shingle: int, n_bands: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, key (hash of the word sequence; null without words), buckets and sketch of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        signer = Signer(n_bands, rows)
         for batch in batches:
-            sizes, keys, buckets = [], [], []
+            sizes, keys, buckets, sketches = [], [], [], []
             for found, said in shingle_sets(batch.column(1), shingle):
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(said) if said else None)
-                buckets.append(signer.buckets(found))
+                bands, bits = signer(found)
+                buckets.append(bands)
+                sketches.append(bits)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.cumsum([0, *map(len, buckets)]), pa.int32()),
-                        pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)]), pa.int64()),
-                    ),
+                    lists(buckets),
+                    lists(sketches),
                 ],
-                names=["doc_id", "n_shingles", "key", "buckets"],
+                names=["doc_id", "n_shingles", "key", "buckets", "sketch"],
             )
 
-    schema = "doc_id long, n_shingles long, key binary, buckets array<long>"
+    schema = "doc_id long, n_shingles long, key binary, buckets array<long>, sketch array<long>"
     return docs.select("doc_id", "text").mapInArrow(sign, schema)
 
 
@@ -120,7 +135,7 @@ def near_duplicates(
 
     Texts of one normalised word sequence form a class, which its least doc_id stands for. Of each bucket of class
     representatives, every member is paired with the least; the pairs are confirmed on full shingle sets. Members that
-    are still apart from others of their bucket meet anew, each with up to ``HUBS`` other hubs, until a turn finds no
+    are still apart from others of their bucket meet anew, each with other hubs, until a turn finds no
     link: pairs grow with the rows and never with the square of a bucket.
 
     Null or empty texts, and those without words, have no shingle and no link. A null doc_id links with nothing, its
@@ -135,7 +150,8 @@ def near_duplicates(
         named.join(heads, "key").filter("doc_id = head").select("doc_id", F.explode("buckets").alias("bucket")),
         "buckets",
     )
-    links = _star_links(buckets, rows_of, shingle, percent)
+    sketches = named.select("doc_id", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH)])
+    links = _star_links(buckets, sketches, rows_of, shingle, percent, bands * rows)
     # copies hang on the head of their class
     found = components(links.union(member.filter("doc_id <> head").toDF("a", "b")))
     return (
@@ -149,42 +165,53 @@ def near_duplicates(
     )
 
 
-def _star_links(buckets: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _star_links(
+    buckets: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int, bins: int
+) -> DataFrame:
     """Confirmed links (a, b) of class representatives: a star round, then rounds among members still apart."""
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = written(buckets.join(hubs, "bucket").select("bucket", "doc_id", "hub"), "shared")
     pairs = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     texts = written(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     links = written(confirmed(pairs, texts, shingle, percent), "links")
+    differ = (1 - percent / 100) / 2  # of a link's bits
+    apart = math.ceil(bins * differ + ERRORS * math.sqrt(bins * differ * (1 - differ)))
     turn = 0
     while True:
         label = components(links)
-        apart = _apart_pairs(shared, label, turn)
-        more = written(confirmed(apart, texts, shingle, percent), "links")
-        if more.limit(1).count() == 0:
+        pairs = written(_apart_pairs(shared, sketches, label, turn, apart), "pairs")
+        more = written(confirmed(pairs, texts, shingle, percent), "links")
+        if turn >= ENOUGH and more.limit(1).count() == 0:
             return links
         links, turn = links.union(more), turn + 1
 
 
-def _apart_pairs(shared: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members of a bucket in different components: each member with up to ``HUBS`` hubs of this turn.
+def _apart_pairs(shared: DataFrame, sketches: DataFrame, label: DataFrame, turn: int, apart: int) -> DataFrame:
+    """Pairs of members of a bucket in different components, with sketches at most ``apart`` bits from each other.
 
-    Buckets of up to ``HUBS`` members are compared whole at once; larger ones get other hubs at each turn.
+    In the first turn all members meet the hubs. Most groups are then whole, and later turns only bring those that are
+    not of the least component of their bucket before more and more hubs, so that pairs stay few.
     """
     named = shared.join(label, shared.doc_id == label.node, "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")
     )
-    torn = named.groupBy("bucket").agg((F.min("part") != F.max("part")).alias("torn")).filter("torn").select("bucket")
-    open_ = written(named.join(torn, "bucket"), "open")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
+    torn = (
+        named.groupBy("bucket")
+        .agg(F.min("part").alias("least"), F.max("part").alias("most"))
+        .filter("least <> most")
+        .select("bucket", "least")
+    )
+    open_ = written(named.join(torn, "bucket").join(sketches, "doc_id"), "open")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "doc_id", F.lit(turn)), "doc_id")
     hubs = (
         open_.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= HUBS)
-        .select("bucket", F.col("doc_id").alias("hub"), F.col("part").alias("hub_part"))
+        .filter(F.col("rank") <= HUBS * MORE**turn)
+        .select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("doc_id", "part", *SKETCH)])
     )
+    bits = " + ".join(f"bit_count({c} ^ hub_{c})" for c in SKETCH)
+    stray = open_.filter("part <> least") if turn else open_
     return (
-        open_.join(hubs, "bucket")
-        .filter("part <> hub_part")
-        .select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b"))
+        stray.join(hubs, (stray.bucket == hubs.bucket) & F.expr(f"part <> hub_part AND {bits} <= {apart}"))
+        .select(F.greatest("doc_id", "hub_doc_id").alias("a"), F.least("doc_id", "hub_doc_id").alias("b"))
         .distinct()
     )
