@@ -215,3 +215,12 @@ def _apart_pairs(shared: DataFrame, sketches: DataFrame, label: DataFrame, turn:
         .select(F.greatest("doc_id", "hub_doc_id").alias("a"), F.least("doc_id", "hub_doc_id").alias("b"))
         .distinct()
     )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies in ``docs``: the one of the least doc_id, with all its columns.
+
+    Rows without a doc_id link with nothing and stay; rows that share a doc_id are one node and stay together.
+    """
+    gone = near_duplicates(docs, shingle, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
