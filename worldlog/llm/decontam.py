@@ -7,15 +7,21 @@ similarity 0. Words are lower-case runs of letters and digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 SHINGLE, LEAST = 5, 0.8
 #: Bits in which fingerprints of a window and an item may differ; in one of RADIUS + 1 blocks they are then alike.
-#: A similarity of 0.8 turns about 10 of 64 bits, give or take 3: the radius lies over 3 standard errors from that.
+#: A similarity of 0.8 turns at most 10 of 64 bits on average, give or take 3: the radius lies over 3 standard errors above.
 BITS, RADIUS = 64, 20
 #: Item shingles are broadcast up to so many (16 bytes each); beyond, documents' shingles are shuffled to them.
 BROADCAST_SHINGLES = 2_000_000
+#: The root of a weight as a whole number: sums do not hang on their order.
+ROOT = "cast(round(sqrt(v) * 1000) AS long)"
 
 
 def words(text: Column) -> Column:
@@ -28,12 +34,14 @@ def shingles(k: int) -> Column:
     return F.expr(f"transform(if(size(w) < {k}, array(), sequence(0, size(w) - {k})), i -> xxhash64({parts}))")
 
 
-def simhash(hashes: str, weights: str) -> Column:
-    """64 bits: the sign, for each bit, of the summed weights of hashes with it over those without."""
-    side = f"aggregate(arrays_zip({hashes} AS h, {weights} AS v), 0D, (s, x) -> s + if(shiftright(x.h, b) & 1 = 1, x.v, -x.v))"
-    return F.expr(
-        f"aggregate(sequence(0, {BITS - 1}), 0L, (bits, b) -> bits | if({side} > 0, shiftleft(1L, b), 0L))"
-    )
+def simhash(shingle: str, weight: str) -> list[Column]:
+    """One aggregate for each of 64 bits: the weights of shingles with the bit less those of shingles without it."""
+    return [F.expr(f"sum(if(shiftright({shingle}, {b}) & 1 = 1, {weight}, -{weight}))").alias(f"side{b}") for b in range(BITS)]
+
+
+def signs(names: tuple[str, ...] = tuple(f"side{b}" for b in range(BITS))) -> Column:
+    """The fingerprint: the bits whose side weighs more."""
+    return F.expr(" | ".join(f"if({c} > 0, shiftleft(1L, {b}), 0L)" for b, c in enumerate(names)))
 
 
 def blocks(bits: Column) -> Column:
@@ -47,9 +55,10 @@ def blocks(bits: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, w (words), n, k (words of its shingles: fewer than five only where the item has fewer)."""
-    named = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    return named.filter("n > 0").withColumn("k", F.least("n", F.lit(SHINGLE)))
+    """item_id, item (its key), w (words), n, k (words of its shingles: fewer than five only where it has fewer)."""
+    named = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).distinct()
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "w"))
+    return named.filter("n > 0").withColumns({"k": F.least("n", F.lit(SHINGLE)), "item": key})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -58,11 +67,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     Similarity is the weight of shared distinct shingles over that of all: a shingle weighs one plus the logarithm of
     the number of items over that of items with it. Of windows alike the first counts. Rows that share a doc_id are
     one document, a null doc_id is an id like others. Null and empty texts and items have no window; an item of fewer
-    than five words is one shingle. Repeated items are found each; more columns are left alone; no rows give no rows.
+    than five words is one shingle. Items of one id and text are one; more columns are left alone; no rows give no rows.
     """
     items = items_of(benchmark)
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # five at most
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("key"), words(text).alias("w"))
     found = None
     for k in sorted(sizes):
         part = _of_size(texts, items.filter(F.col("k") == k), k, least)
@@ -76,58 +86,40 @@ RESULT = (("item_id", "long"), ("start", "int"), ("n_words", "int"), ("similarit
 
 
 def _of_size(texts: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
-    own = items.withColumn("h", F.array_distinct(shingles(k)))
-    total = own.agg(F.count("*").cast("double")).first()[0]
-    each = own.select("item_id", F.explode("h").alias("s"))
+    total = items.agg(F.count("*").cast("double")).first()[0]
+    each = items.select("item", "item_id", "n", F.explode(F.array_distinct(shingles(k))).alias("s"))
+    unseen = float(1 + math.log(total))
     rare = each.groupBy("s").agg((1 + F.log(F.lit(total) / F.count("*"))).alias("v"))
     # where an item of n words has a shingle
     spots = items.select("n", F.posexplode(shingles(k)).alias("at", "s")).distinct()
     hint = F.broadcast if spots.count() <= BROADCAST_SHINGLES else (lambda x: x)
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("w") - F.col("n")))
-    windows = (
-        texts.select("doc_id", "w", F.posexplode(shingles(k)).alias("pos", "s"))
-        .join(hint(spots), "s")
-        .select("doc_id", "n", start.alias("start"), "w")
-        .select("doc_id", "n", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("said"))
-        .distinct()
-    )
-    unseen = 1 + F.log(F.lit(total))
-    # windows of one text need one fingerprint; weights come with the few shingles that items have
-    said = windows.select("n", "said").distinct().withColumn("w", F.split("said", " "))
-    said = said.select("n", "said", F.array_distinct(shingles(k)).alias("h"))
-    weighed = (
-        said.select("n", "said", F.explode("h").alias("s"))
-        .join(hint(rare), "s", "left")
-        .groupBy("n", "said")
-        .agg(F.collect_list(F.struct("s", F.coalesce("v", unseen).alias("v"))).alias("x"))
-        .select("n", "said", F.col("x.s").alias("h"), F.col("x.v").alias("v"))
-    )
-    mine = weighed.withColumn("bits", simhash("h", "v"))
-    theirs = (
-        each.join(hint(rare), "s")
-        .groupBy("item_id")
-        .agg(F.collect_list(F.struct("s", "v")).alias("x"))
-        .select("item_id", F.col("x.s").alias("item_h"), F.col("x.v").alias("item_v"))
-        .join(items.select("item_id", "n").distinct(), "item_id")
-        .withColumn("item_bits", simhash("item_h", "item_v"))
+    windows = written(_windows(texts, hint(spots), k), "windows")
+    # windows of one text need one fingerprint, however many documents have it
+    said = windows.groupBy("n", "wid").agg(F.min("said").alias("said")).withColumn("w", F.split("said", " "))
+    hashed = written(said.select("n", "wid", F.array_distinct(shingles(k)).alias("h")), "hashed")
+    weighed = hashed.select("n", "wid", F.explode("h").alias("s")).join(hint(rare), "s", "left")
+    weighed = weighed.select("n", "wid", "s", F.coalesce("v", F.lit(unseen)).alias("v"))
+    # with roots of the weights, the angle between two fingerprints follows from their weighted similarity alone
+    mine = weighed.withColumn("r", F.expr(ROOT)).groupBy("n", "wid").agg(*simhash("s", "r"), F.sum("v").alias("own"))
+    theirs = each.join(hint(rare), "s").withColumn("r", F.expr(ROOT)).groupBy("item", "item_id", "n").agg(*simhash("s", "r"), F.sum("v").alias("own"))
+    left = mine.select("n", "wid", "own", signs().alias("bits")).select("*", F.explode(blocks(F.col("bits"))).alias("block"))
+    right = theirs.select(
+        F.col("n").alias("item_n"), "item", "item_id", F.col("own").alias("item_own"), signs().alias("item_bits")
+    ).select("*", F.explode(blocks(F.col("item_bits"))).alias("item_block"))
+    near = left.join(
+        hint(right), F.expr(f"n = item_n AND block = item_block AND bit_count(bits ^ item_bits) <= {RADIUS}")
+    ).groupBy("n", "wid", "item", "item_id").agg(F.min("own").alias("own"), F.min("item_own").alias("item_own"))
+    shared = (
+        near.join(hashed, ["n", "wid"])
+        .select("n", "wid", "item", "item_id", "own", "item_own", F.explode("h").alias("s"))
+        .join(hint(each.select("item", "s")), ["item", "s"])
+        .join(hint(rare), "s")
+        .groupBy("n", "wid", "item", "item_id", "own", "item_own")
+        .agg(F.sum("v").alias("both"))
     )
-    left = mine.select("*", F.explode(blocks(F.col("bits"))).alias("block"))
-    right = theirs.select("*", F.explode(blocks(F.col("item_bits"))).alias("block")).withColumnRenamed("n", "item_n")
-    # a pair that agrees in several blocks is taken in the first of them
-    agree = "transform(sequence(0, size(all) - 1), i -> if(all[i] = item_all[i], i, NULL))"
-    near = (
-        left.withColumn("all", blocks(F.col("bits")))
-        .join(
-            hint(right.withColumn("item_all", blocks(F.col("item_bits")))).withColumnRenamed("block", "item_block"),
-            F.expr(f"n = item_n AND block = item_block AND bit_count(bits ^ item_bits) <= {RADIUS}"),
-        )
-        .filter(F.expr(f"block.no = array_min({agree})"))
-    )
-    shared = "aggregate(arrays_zip(h AS h, v AS v), 0D, (s, x) -> s + if(array_contains(item_h, x.h), x.v, 0D))"
-    sums = "aggregate({0}, 0D, (s, x) -> s + x)"
-    alike = F.expr(f"{shared} / ({sums.format('v')} + {sums.format('item_v')} - {shared})")
-    like = near.select("n", "said", "item_id", F.round(alike, 9).alias("similarity")).filter(F.col("similarity") >= least)
-    best = windows.join(like, ["n", "said"]).groupBy("doc_id", "item_id").agg(
+    alike = F.round(F.col("both") / (F.col("own") + F.col("item_own") - F.col("both")), 9)
+    like = shared.select("n", "wid", "item_id", alike.alias("similarity")).filter(F.col("similarity") >= least)
+    best = windows.join(like, ["n", "wid"]).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("b")
     )
     return best.select(
@@ -139,6 +131,28 @@ def _of_size(texts: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
     )
 
 
+def _windows(texts: DataFrame, spots: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, start, said, wid (its hash): the windows of ``texts`` (doc_id, key, w) at shingles of ``spots``.
+
+    The shingles meet the items' without the words; of documents that have none of them, the words do not move at all.
+    """
+    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
+    hits = (
+        texts.select("doc_id", "key", F.size("w").alias("size"), F.posexplode(shingles(k)).alias("pos", "s"))
+        .join(spots, "s")
+        .select("doc_id", "key", "n", start.alias("start"))
+        .distinct()
+    )
+    hits = written(hits, "hits")
+    places = hits.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(
+        F.collect_list(F.struct("n", "start")).alias("places")
+    )
+    found = texts.join(places, texts.doc_id.eqNullSafe(F.col("of")) & (texts.key == F.col("of_key")))
+    said = F.expr("transform(places, p -> struct(p.n, p.start, array_join(slice(w, p.start + 1, p.n), ' ') AS said))")
+    each = found.select("doc_id", F.inline(said))
+    return each.withColumn("wid", F.md5("said"))
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without those that contain an item; rows without an id stay only if no such row contains one."""
     bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_bad")).distinct()
