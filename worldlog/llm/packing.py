@@ -7,8 +7,10 @@ neither texts nor pieces pass through the driver or one task, and the packing is
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,13 @@ from pyspark.sql import functions as F
 
 from .store import written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 SIZE, END_ID = 1024, 2
 #: Chunks of text whose ids a task keeps; more begin anew.
 CACHE = 200_000
+_JOINED = re.compile(r"\s ")
 
 
 def default_tokenizer() -> str:
@@ -29,11 +35,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Chunks(dict):
+    """Ids of chunks met before, each with ``lead`` in front; others are encoded when asked for."""
+
+    def __init__(self, tokenizer: Tokenizer, lead: str):
+        self.tokenizer, self.lead = tokenizer, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids
+        return self.setdefault(chunk, np.array(ids, "<u4").tobytes())
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, by the ``tokenizers`` library.
 
-    The vocabulary's pattern never joins a space to what stands before it, unless that is a space too. So texts
-    without double spaces are cut before each space, and chunks met before are not encoded again.
+    The vocabulary's pattern never joins a space to what stands before it, unless that is white space too. So texts
+    without spaces after white space are cut before each space, and chunks met before are not encoded again.
     """
 
     def __init__(self, path: str):
@@ -41,23 +58,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.first, self.later = Chunks(self.tokenizer, ""), Chunks(self.tokenizer, " ")
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text:
+        if _JOINED.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
-        chunks = [first, *[f" {x}" for x in rest]]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        if new := list({x for x in chunks if x not in known}):
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in chunks])
+        for known in (self.first, self.later):
+            if len(known) > CACHE:
+                known.clear()
+        return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
