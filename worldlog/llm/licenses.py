@@ -79,26 +79,38 @@ def normal(sentence: str) -> str:
 
 
 def catalogue() -> dict[str, str]:
-    """Normalised sentence to identifier: quoted sentences, whose inner stops part them, and notices of each name."""
+    """Normalised sentence to identifier: notices of each name, and of each quoted sentence, which inner stops part,
+    the longest part that no other has."""
     known = {normal(n.format(x)): f"notice:{name}" for name, forms in NAMES.items() for x in forms for n in NOTICES}
-    for id_, text in SENTENCES.items():
-        parts = [p for p in map(normal, re.split(SENTENCE_END, text)) if p]
-        known |= {p: id_ if i == 0 else f"{id_}+{i}" for i, p in enumerate(parts)}
+    parted = {id_: {p for p in map(normal, re.split(SENTENCE_END, text)) if p} for id_, text in SENTENCES.items()}
+    for id_, parts in parted.items():
+        own = [p for p in parts if not any(p in x for other, x in parted.items() if other != id_)]
+        known[max(own, key=lambda p: (len(p), p))] = id_
     return known
 
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of known sentences, in the order of the text."""
-    known = catalogue()
-    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+def _ids(text: Column, table: Column, shortest: int, longest: int) -> Column:
     sentences = F.transform(
-        F.split(F.coalesce(text.cast("string"), F.lit("")), SENTENCE_END),
-        lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")),
+        F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     )
-    longest, shortest = max(map(len, known)), min(map(len, known))
     likely = F.filter(sentences, lambda s: F.length(s).between(shortest, longest))
-    ids = F.filter(F.transform(likely, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
-    return F.filter(ids, lambda x: ~x.contains("+"))  # continuations of a sentence with stops in it
+    return F.filter(F.transform(likely, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+
+
+def sentence_ids(text: Column) -> Column:
+    """The identifiers of known sentences, in the order of the text.
+
+    Sentences are looked for line by line, and in paragraphs whose lines are joined (comment marks at line ends and
+    beginnings go with them): of the two readings, that with more known sentences counts, else the first.
+    """
+    known = catalogue()
+    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    bounds = min(map(len, known)), max(map(len, known))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    by_line = _ids(text, table, *bounds)
+    # a line end goes unless a blank line follows
+    by_paragraph = _ids(F.regexp_replace(text, r"(?<!\n)[\s*#/;-]*\n(?!\s*\n)[ \t*#/;-]*", " "), table, *bounds)
+    return F.when(F.size(by_paragraph) > F.size(by_line), by_paragraph).otherwise(by_line)
 
 
 def scan(docs: DataFrame) -> DataFrame:
