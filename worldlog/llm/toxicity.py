@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 #: The classifier is fitted on so many labelled rows at most, the first ones in the order of a hash of doc_id.
 FIT_ROWS = 8_000
 PREFIXES = (4, 5, 6, 7)
-#: Features that fewer labelled texts have are left out; of the rest, so many that tell grades apart best.
-LEAST_TEXTS, FEATURES = 4, 4_000
-L1, STEPS, RATE = 2e-4, 400, 0.05
+#: Features that fewer labelled texts have are left out; of the rest, at most so many that tell grades apart best, and
+#: none that differs from the mean by less than chance makes some of so many differ (with so many errors to spare).
+LEAST_TEXTS, FEATURES, SPARE = 4, 4_000, 0.5
+RIDGE, STEPS, RATE = 3e-4, 400, 0.05
+#: The chance of a grade over 0 from which a text counts as toxic.
+TOXIC = 0.3
 CACHE = 500_000
 
 _WORD = re.compile(r"\w+")
@@ -55,12 +58,15 @@ def fit(texts: list[list[int]], grades: np.ndarray) -> Model:
     row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     cells, value = np.unique(row * len(names) + column, return_counts=True)
     row, column, value = cells // len(names), cells % len(names), value.astype(float)
-    # of the features, those whose texts' grades differ most from the mean, in standard errors
+    # of the features, those whose texts lie above a grade most unlike all texts, in standard errors
     n = np.bincount(column, minlength=len(names))
-    mean = np.bincount(column, weights=grades[row], minlength=len(names)) / np.maximum(n, 1)
-    apart = np.where(n >= LEAST_TEXTS, np.abs(mean - grades.mean()) * np.sqrt(n), -1)
+    often, apart = n >= LEAST_TEXTS, np.zeros(len(names))
+    for k in range(top):
+        over, p = grades > k, (grades > k).mean()
+        mean = np.bincount(column, weights=over[row], minlength=len(names)) / np.maximum(n, 1)
+        apart = np.maximum(apart, np.where(often, np.abs(mean - p) * np.sqrt(n / (p * (1 - p))), 0))
     chosen = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
-    chosen = chosen[apart[chosen] >= 0]
+    chosen = chosen[apart[chosen] > np.sqrt(2 * np.log(max(2, often.sum()))) + SPARE]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
@@ -87,11 +93,11 @@ def fit(texts: list[list[int]], grades: np.ndarray) -> Model:
         of_params = np.cumsum(of_theta[::-1])[::-1].copy()
         of_params[1:] *= np.exp(params[1:])
         grad = np.concatenate([np.bincount(column, weights=of_score[row] * value, minlength=len(w)), of_params]) / len(grades)
+        grad[: len(w)] += RIDGE * w  # one feature that many words share costs less than one for each word
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         rate = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         w, params = w - rate[: len(w)], params - rate[len(w) :]
-        w = np.sign(w) * np.maximum(np.abs(w) - RATE * L1 * 10, 0)
     theta = np.cumsum(np.concatenate([params[:1], np.exp(params[1:])]))
     return Model({int(names[c]): float(x) for c, x in zip(chosen, w, strict=True) if x}, theta)
 
@@ -155,11 +161,11 @@ class Judge:
         for w in found - known.keys():
             known[w] = sum(weights.get(f, 0.0) for f in word_features(w))
         p = self.model.grades(sum(sorted(s for w in found if (s := known[w]))))
-        return float(p @ np.arange(len(p))), int(p.argmax()), bool(p[0] < 0.5)
+        return float(p @ np.arange(len(p))), int(p.argmax()), bool(1 - p[0] >= TOXIC)
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity (expected grade), grade (likeliest), toxic (grade over 0 likelier than not) of whole texts.
+    """doc_id, severity (expected grade), grade (likeliest), toxic (the chance of a grade over 0 is ``TOXIC`` at least) of whole texts.
 
     Null and empty texts have no feature and get the score 0. Rows are judged one by one: repeated rows and null ids
     stay, more columns are left alone, no rows give no rows. A model without grades calls nothing toxic.
