@@ -40,7 +40,7 @@ def test_pieces_are_the_texts_and_fill_sequences(spark):
 
 def test_chunks_give_the_ids_of_whole_texts():
     encode = packing.Encoder(packing.default_tokenizer())
-    for text in ["", " ", "a b", " lead", "tail ", "a\n b\tc", "don't  stop", "<|endoftext|> x", "é 日本　x", "\n \n", "a\n \nb", "\u3000 x", "a\u00a0 b", "1 2 34", "a \n b"]:
+    for text in ["", " ", "a b", " lead", "tail ", "a\n b\tc", "don't  stop", "<|endoftext|> x", "é 日本　x", "\n \n", "a\n \nb", "\u3000 x", "a\u00a0 b", "1 2 34", "a \n b", "éa### ün*** x_y a`b c's d'", "a. B!? (c) d) <|x|>"]:
         assert encode(text) == encode.plain(text)
 
 
