@@ -1,5 +1,7 @@
 """The registered queries of the library and the SQL that each is held against."""
 
-FLAGSHIP = "x"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import state
+
+FLAGSHIP = "q01_mission_view"
+QUERIES: dict = dict(state.QUERIES)
+ORACLE_SQL: dict = dict(state.SQL)
