@@ -1,7 +1,7 @@
 """The registered queries of the library and the SQL that each is held against."""
 
-from . import state
+from . import analysis, state
 
 FLAGSHIP = "q01_mission_view"
-QUERIES: dict = dict(state.QUERIES)
-ORACLE_SQL: dict = dict(state.SQL)
+QUERIES: dict = state.QUERIES | analysis.QUERIES
+ORACLE_SQL: dict = state.SQL | analysis.SQL
