@@ -77,10 +77,11 @@ def point_to_line_m(lon: Column, lat: Column, line: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Host without ``www.`` and path without trailing slashes, in lower case; null where there is no host."""
-    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
-    return F.concat(host, path)
+    """Host without ``www.`` and path without trailing slashes (``/`` if none is left); addresses may lack a scheme."""
+    whole = F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(whole, F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(whole, F.lit("PATH")), F.lit("")), "/+$", "")
+    return F.concat(host, F.when(path == "", "/").otherwise(path))
 
 
 def normal_statement(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """The registered queries of the library and the SQL that each is held against."""
 
-from . import analysis, state
+from . import analysis, state, text
 
 FLAGSHIP = "q01_mission_view"
-QUERIES: dict = state.QUERIES | analysis.QUERIES
-ORACLE_SQL: dict = state.SQL | analysis.SQL
+QUERIES: dict = state.QUERIES | analysis.QUERIES | text.QUERIES
+ORACLE_SQL: dict = state.SQL | analysis.SQL | text.SQL
