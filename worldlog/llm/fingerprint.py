@@ -110,15 +110,15 @@ def compared(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("tie"),
         text.alias("text"),
     )
-    chained = with_next(fingerprints(rows))
+    chained = with_next(rows)  # texts move; fingerprints, which do not compress, are made where they have arrived
     n, half = F.length("text"), F.expr("cast(floor(length(text) / 2) as int)")
     edited = chained.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("text"),
-        F.col("fingerprint").alias("own"),
-        F.col("next.fingerprint").alias("next"),
-    )
+        fingerprint(F.col("text")).alias("own"),
+        fingerprint(F.col("next.text")).alias("next"),
+    ).withColumns({"own": rooted(F.col("own")), "next": rooted(F.col("next"))})
     return fingerprints(edited).select(
         "doc_id",
         "n_chars",
