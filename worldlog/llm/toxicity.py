@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: The classifier is fitted on so many labelled rows at most, the first ones in the order of a hash of doc_id.
 FIT_ROWS = 8_000
 PREFIXES = (4, 5, 6, 7)
@@ -21,7 +24,7 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_TEXTS, FEATURES, SPARE = 4, 4_000, 0.5
 RIDGE, STEPS, RATE = 3e-4, 400, 0.05
 #: The chance of a grade over 0 from which a text counts as toxic.
-TOXIC = 0.3
+TOXIC = 0.4
 CACHE = 500_000
 
 _WORD = re.compile(r"\w+")
@@ -120,7 +123,11 @@ def by_dose(texts: list[list[int]], toxic: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[list[int]], np.ndarray]:
-    """Features and labels of at most ``rows`` labelled texts: a bounded sample in the order of a hash."""
+    """Telling features and labels of at most ``rows`` labelled texts: a bounded sample in the order of a hash.
+
+    Features are counted and chosen in Spark; the driver gets the chosen ones of each text alone. Of rows that share a
+    doc_id the least text is taken.
+    """
     some = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .dropna()
@@ -128,7 +135,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    texts = docs.select("doc_id", "text").dropna().join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").dropna().join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +145,18 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[
                 [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "toxic", "f"]
             )
 
-    got = texts.mapInArrow(features, "doc_id long, toxic int, f array<long>").toArrow().sort_by("doc_id")
-    found = [x.values.to_numpy().tolist() if x.is_valid and len(x) else [] for x in got.column("f")]
+    seen = written(texts.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, f array<long>"), "features")
+    total, share = seen.agg(F.count("*"), F.avg(F.col("toxic").cast("double"))).first()
+    if not total or not 0 < share < 1:
+        return [], np.zeros(0, int)
+    each = seen.select("toxic", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.avg("toxic").alias("share"))
+    often = written(each.filter(F.col("n") >= LEAST_TEXTS), "often")
+    apart = F.abs(F.col("share") - share) * F.sqrt(F.col("n") / (share * (1 - share)))
+    floor = math.sqrt(2 * math.log(max(2, often.count()))) + SPARE
+    chosen = often.filter(apart > floor).orderBy(F.desc(apart), "f").limit(FEATURES).select("f")
+    telling = seen.select("doc_id", F.explode("f").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.collect_list("f").alias("f"))
+    got = seen.select("doc_id", "toxic").join(telling, "doc_id", "left").toArrow().sort_by("doc_id")  # at most ``rows``
+    found = [sorted(x or []) for x in got.column("f").to_pylist()]
     return found, got.column("toxic").to_numpy().astype(int)
 
 
