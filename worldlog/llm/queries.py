@@ -85,5 +85,15 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, d
 FROM sets LEFT JOIN least ON x = doc_id
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+m AS (SELECT h, min(doc_id) AS o, max(doc_id) AS x FROM n GROUP BY h HAVING o < x),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM n JOIN m USING (h) WHERE o < doc_id),
+hit AS (SELECT doc_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM gone)),
+cut AS (SELECT hit.doc_id, count(gone.p) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY hit.p) FILTER (WHERE gone.p IS NULL), '') AS kept FROM hit LEFT JOIN gone ON gone.doc_id = hit.doc_id AND gone.p = hit.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_fingerprint, op5_licenses, op6_substring, op7_html, op8_decontam, op9_token_counts, op10_pii)}
-ORACLE_SQL = {"op1_minhash": OP1_SQL}
+ORACLE_SQL = {"op1_minhash": OP1_SQL, "op6_substring": OP6_SQL}
