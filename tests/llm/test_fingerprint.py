@@ -24,6 +24,7 @@ def test_edits_are_those_of_a_plain_loop(spark):
         assert got[i].n_chars == len(text)
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert (got[i].fingerprint == got[i].edited_fingerprint) == (edited == text)
+        assert (got[i].edited_paragraphs == "") == (edited == text or not text)
         assert 0 <= got[i].near_next <= 1
         assert 0 <= got[i].near_edited <= 1
 

@@ -119,13 +119,15 @@ def compared(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("text")).alias("own"),
         fingerprint(F.col("next.text")).alias("next"),
     ).withColumns({"own": rooted(F.col("own")), "next": rooted(F.col("next"))})
-    return fingerprints(edited).select(
+    done = fingerprints(edited).withColumnsRenamed({"fingerprint": "edited_fingerprint", "own": "fingerprint"})
+    own, changed = F.col("fingerprint"), F.col("edited_fingerprint")
+    return done.select(
         "doc_id",
         "n_chars",
         F.sha2("text", 256).alias("edited_sha256"),
-        F.col("own").alias("fingerprint"),
-        F.col("fingerprint").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("fingerprint")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
-        differing(F.col("own"), F.col("fingerprint")).alias("edited_paragraphs"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(own, changed).alias("near_edited"),
+        likeness(own, F.col("next")).alias("near_next"),
+        F.array_join(differing(own, changed), ",").alias("edited_paragraphs"),
     )

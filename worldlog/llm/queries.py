@@ -85,6 +85,22 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, d
 FROM sets LEFT JOIN least ON x = doc_id
 """
 
+OP4_SQL = r"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+chain AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS n FROM rows WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+texts AS MATERIALIZED (SELECT doc_id, t, n, left(t, length(t) - length(t) // 2) || left(n, length(t) // 2) AS e FROM chain),
+every AS (SELECT DISTINCT unnest([t, e]) AS x FROM texts),
+marked AS (SELECT x, regexp_replace(array_to_string(list_transform(regexp_extract_all(x, '(?:[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]+[ \t\x0B\f\r]*){1,4}\n?|[ \t\x0B\f\r]*\n|[ \t\x0B\f\r]+'),
+  lambda l: left(md5(l), 12) || CASE WHEN ends_with(l, chr(10)) THEN ';' ELSE ',' END), ''), '([01]);', '\1|', 'g') AS m FROM every),
+prints AS MATERIALIZED (SELECT x, sha256(array_to_string(list_transform(string_split(m, '|'), lambda s: md5(array_to_string(list_transform(string_split(s, ';'), lambda p: md5(p)), ''))), '')) || ':' || m AS f,
+  list_distinct(list_filter(regexp_split_to_array(m, '[,;|]'), lambda l: l <> '')) AS leaves, list_filter(regexp_split_to_array(m, '[;|]'), lambda l: l <> '') AS lines FROM marked)
+SELECT doc_id, CAST(length(texts.t) AS BIGINT) AS n_chars, sha256(texts.e) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+  CASE WHEN len(a.leaves) + len(b.leaves) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END AS near_edited,
+  CASE WHEN len(a.leaves) + len(c.leaves) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves)) END AS near_next,
+  array_to_string(list_filter(list_transform(a.lines, lambda p, i: CASE WHEN list_contains(b.lines, p) THEN -1 ELSE i - 1 END), lambda i: i >= 0), ',') AS edited_paragraphs
+FROM texts JOIN prints a ON a.x = texts.t JOIN prints b ON b.x = texts.e JOIN prints c ON c.x = texts.n
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 n AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
@@ -96,4 +112,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 """
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_fingerprint, op5_licenses, op6_substring, op7_html, op8_decontam, op9_token_counts, op10_pii)}
-ORACLE_SQL = {"op1_minhash": OP1_SQL, "op6_substring": OP6_SQL}
+ORACLE_SQL = {"op1_minhash": OP1_SQL, "op4_fingerprint": OP4_SQL, "op6_substring": OP6_SQL}
