@@ -110,3 +110,39 @@ def route_exposure(routes: DataFrame, findings: DataFrame) -> DataFrame:
 def edge_chain(edges: Column) -> Column:
     """A fingerprint of a path: the hashes of its edges in order."""
     return F.array_join(F.transform(edges, lambda e: F.substring(F.sha2(e, 256), 1, 12)), ">")
+
+
+def redacted(rows: DataFrame, key: str, text: str, hidden: DataFrame) -> DataFrame:
+    """key and text with every hidden id (and its ``@vN``) replaced by REDACTED.
+
+    Texts are cut at id-shaped tokens, the tokens meet the hidden ids in a join, and each text is put together again:
+    the ids may be as many as the texts.
+    """
+    token = r"[a-z]+-\d+(?:@v\d+)?"
+    cut = rows.select(key, F.posexplode(F.split(F.regexp_replace(text, rf"\b({token})\b", "\u0001$1\u0001"), "\u0001")).alias("pos", "part"))
+    bare = F.regexp_replace("part", r"@v\d+$", "")
+    met = cut.withColumn("_id", F.when(F.col("pos") % 2 == 1, bare)).join(hidden.select(F.col("id").alias("_id"), F.lit(True).alias("_hide")), "_id", "left")
+    said = F.when(F.col("_hide"), "REDACTED").otherwise(F.col("part"))
+    parts = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("p"))
+    return parts.select(key, F.array_join("p.said", "").alias(text))
+
+
+TRANSFORMS = {
+    "copy": lambda c: c,
+    "upper": F.upper,
+    "number": lambda c: c.try_cast("double").cast("string"),
+    "day": lambda c: F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd"),
+}
+
+
+def mapped(rows: DataFrame, key: str, mapping: list[tuple[str, str, str, str | None]]) -> DataFrame:
+    """key, the mapped fields, and ``warnings``: sources without a value, and values that a transform lost.
+
+    ``mapping``: (target, source, transform, default); fields that it does not name are dropped.
+    """
+    out, warnings = [], []
+    for target, source, transform, default in mapping:
+        value = TRANSFORMS[transform](F.col(source))
+        out.append(F.coalesce(value, F.lit(default)).alias(target))
+        warnings.append(F.when(F.col(source).isNull(), F.lit(f"{source} missing")).when(value.isNull(), F.lit(f"{source} lost by {transform}")))
+    return rows.select(key, *out, F.array_join(F.array_compact(F.array(*warnings)), "; ").alias("warnings"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worldlog import roles
-from worldlog.operators import access, views
+from worldlog.operators import access, versions, views
 from worldlog.roles import duck, table
+from worldlog.streaming import live
 
-from .state import READER, VISIBLE_SQL
+from .state import CUT, READER, VISIBLE_SQL
 
 
 def s03_family_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +202,37 @@ def q38_action_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.admission(actions, keys, 1000)
 
 
+def f29_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that cite documents, those of toxic labels hidden."""
+    cite = F.concat(F.lit("see doc-"), (F.col("conv_id") * 3 % 900).cast("string"), F.lit("@v2, doc-"), F.col("conv_id").cast("string"), F.lit(" and item-1."))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ref"), cite.alias("said"))
+    hidden = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"))
+    return views.redacted(rows, "ref", "said", hidden)
+
+
+def p03_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a feed: status in upper case, price as a number, a day, a default for what is missing."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lower("o_orderpriority").alias("urgency"), F.when(F.col("o_orderkey") % 4 == 0, "n/a").otherwise("2.5").alias("price"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.lit("2024-03-05T10:00:00Z")).alias("seen"), F.lit("x").alias("unmapped"),
+    )
+    return views.mapped(rows, "o_orderkey", [("priority", "urgency", "upper", None), ("price", "price", "number", None), ("day", "seen", "day", "UNKNOWN")])
+
+
+def r08_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = [(1, "click", 99.9, "2024-01-03", "view"), (2, "click", 50.0, "2024-01-20", "view"), (3, "view", 1000.0, "2024-01-20", "click"), (4, "view", 1000.0, "2024-03-20", "click"), (5, "none", 0.0, "2024-01-02", "nobody")]
+    indicators = spark.createDataFrame(named, "indicator_id long, attribute string, least double, day string, source string").withColumn("deadline", F.col("day").cast("timestamp_ntz"))
+    rows = roles.log(spark, sf_dir)
+    return live.absent(indicators, rows.withColumnRenamed("source_id", "attribute"), rows.select(F.col("source_id").alias("source"), F.col("recorded_time").alias("searched_time")))
+
+
+def r10_changed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose state or value class moved between the cut and now: what a pass appends."""
+    rows = roles.objects(spark, sf_dir)
+    state = lambda some: versions.current_by_log(some).select("object_id", "status", F.when(F.col("value") > 100_000, "HIGH").alias("band"))
+    return live.changed_only(state(versions.known_by(rows, CUT)), state(rows), "object_id", ["status", "band"])
+
+
 _CODES = "['OBSERVED', 'DERIVED', 'INFERRED', 'ASSUMED']"
 SQL = {
     "s03_family_scan": duck("SELECT seq, subject, value FROM log WHERE source_id = 'click' AND seq <= 800", "log"),
@@ -248,6 +280,19 @@ SQL = {
         u AS (SELECT DISTINCT subject FROM log WHERE k < 40 AND subject % 7 <> 0)
         SELECT seq AS action_id, CASE WHEN key NOT IN (SELECT subject FROM u) THEN 'UNKNOWN_KEY' WHEN key % 5 = 0 AND key % 11 <> 0 THEN 'KEY_NOT_YET_VALID' WHEN key % 11 = 0 THEN 'KEY_REVOKED'
           WHEN key <> subject THEN 'WRONG_ACTOR' WHEN abs("at" - 1000) > 300 THEN 'CLOCK_SKEW' WHEN k % 17 = 0 THEN 'DIGEST_MISMATCH' WHEN seq <> first THEN 'NONCE_USED' END AS code FROM a""", "log"),
+    "f29_redaction": """WITH t AS (SELECT conv_id * 1000 + turn AS ref, conv_id * 3 % 900 AS a, conv_id AS b FROM conversations), h AS (SELECT doc_id FROM labels WHERE toxic = 1)
+        SELECT ref, 'see ' || CASE WHEN a IN (FROM h) THEN 'REDACTED' ELSE 'doc-' || a || '@v2' END || ', ' || CASE WHEN b IN (FROM h) THEN 'REDACTED' ELSE 'doc-' || b END || ' and item-1.' AS said FROM t""",
+    "p03_field_mapping": """SELECT o_orderkey, upper(o_orderpriority) AS priority, CASE WHEN o_orderkey % 4 <> 0 THEN '2.5' END AS price, CASE WHEN o_orderkey % 3 > 0 THEN '2024-03-05' ELSE 'UNKNOWN' END AS day,
+        concat_ws('; ', CASE WHEN o_orderkey % 4 = 0 THEN 'price lost by number' END, CASE WHEN o_orderkey % 3 = 0 THEN 'seen missing' END) AS warnings FROM orders""",
+    "r08_absence": duck(
+        """, i AS (SELECT * FROM (VALUES (1::BIGINT, 'click', 99.9, TIMESTAMP '2024-01-03', 'view'), (2, 'click', 50.0, TIMESTAMP '2024-01-20', 'view'), (3, 'view', 1000.0, TIMESTAMP '2024-01-20', 'click'),
+          (4, 'view', 1000.0, TIMESTAMP '2024-03-20', 'click'), (5, 'none', 0.0, TIMESTAMP '2024-01-02', 'nobody')) v(indicator_id, attribute, least, deadline, source))
+        SELECT indicator_id, CASE WHEN EXISTS (SELECT 1 FROM log WHERE source_id = attribute AND value >= least AND source_time <= deadline) THEN 'DEFEATED'
+          WHEN EXISTS (SELECT 1 FROM log WHERE source_id = i.source AND recorded_time > deadline) THEN 'FIRED' ELSE 'BLOCKED' END AS verdict FROM i""", "log"),
+    "r10_changed_warnings": duck(
+        f""", s AS (SELECT object_id, arg_max(status, seq) AS status, CASE WHEN arg_max(value, seq) > 100000 THEN 'HIGH' END AS band FROM objects GROUP BY 1),
+        w AS (SELECT object_id, arg_max(status, seq) AS s0, CASE WHEN arg_max(value, seq) > 100000 THEN 'HIGH' END AS b0 FROM objects WHERE seq <= {CUT} GROUP BY 1)
+        SELECT object_id, status, band FROM s LEFT JOIN w USING (object_id) WHERE s0 IS NULL OR status <> s0 OR band IS DISTINCT FROM b0""", "objects"),
 }
 
 QUERIES = {
@@ -257,6 +302,6 @@ QUERIES = {
         p18_map_view, p19_overdue, p20_inbound_references, j17_overlapping_basis, j19_resolve_references, j23_stakeholders, a03_overview,
         a10_group_ids, a15_weakest_authority, a19_hypothesis_independence, a21_status_counts, t04_review_queue, t08_least_exposed,
         g03_set_difference, g12_ascent, g14_invalidated_assumption, f15_name_folding, f16_quoted_name, f31_edge_chain, q33_faithfulness,
-        q34_stale_listing, q38_action_admission,
+        q34_stale_listing, q38_action_admission, f29_redaction, p03_field_mapping, r08_absence, r10_changed_warnings,
     )
 }

@@ -99,3 +99,24 @@ def fired(indicators: DataFrame, observations: DataFrame) -> DataFrame:
     met = exact.select(*columns).union(any_.select(*columns))
     hits = met.filter("recorded_time > armed AND source_time > armed AND value >= least")
     return hits.groupBy("indicator_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def absent(indicators: DataFrame, observations: DataFrame, searched: DataFrame) -> DataFrame:
+    """indicator_id, verdict of ABSENCE indicators (attribute, least, deadline, source) after their deadline.
+
+    DEFEATED where a match was observed at or before the deadline, arming or not; FIRED where none was and the named
+    source was searched after the deadline; BLOCKED without such a search: silence alone proves nothing.
+    """
+    matches = observations.select("attribute", "value", "source_time")
+    hits = indicators.join(matches, "attribute").filter("value >= least AND source_time <= deadline").select("indicator_id").distinct()
+    last = searched.groupBy("source").agg(F.max("searched_time").alias("_searched"))
+    met = indicators.join(hits.withColumn("_hit", F.lit(True)), "indicator_id", "left").join(last, "source", "left")
+    verdict = F.when(F.col("_hit"), "DEFEATED").when(F.col("_searched") > F.col("deadline"), "FIRED").otherwise("BLOCKED")
+    return met.select("indicator_id", verdict.alias("verdict"))
+
+
+def changed_only(previous: DataFrame, current: DataFrame, key: str, components: list[str]) -> DataFrame:
+    """Rows of ``current`` that are new or differ from ``previous`` in a component (nulls are values): what to append."""
+    was = previous.select(key, F.struct(*components).alias("_was"))
+    met = current.join(was, key, "left")
+    return met.filter(~F.col("_was").eqNullSafe(F.struct(*components))).drop("_was")
