@@ -24,7 +24,7 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_TEXTS, FEATURES, SPARE = 4, 4_000, 0.5
 RIDGE, STEPS, RATE = 3e-4, 400, 0.05
 #: The chance of a grade over 0 from which a text counts as toxic.
-TOXIC = 0.4
+TOXIC = 0.3
 CACHE = 500_000
 
 _WORD = re.compile(r"\w+")
