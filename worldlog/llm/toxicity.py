@@ -176,8 +176,9 @@ class Judge:
         if len(self.known) > CACHE:
             self.known.clear()
         known, weights = self.known, self.model.weights
-        for w in found - known.keys():
-            known[w] = sum(weights.get(f, 0.0) for f in word_features(w))
+        for w in found:
+            if w not in known:  # a difference of sets would walk all of ``known``
+                known[w] = sum(weights.get(f, 0.0) for f in word_features(w))
         p = self.model.grades(sum(sorted(s for w in found if (s := known[w]))))
         return float(p @ np.arange(len(p))), int(p.argmax()), bool(1 - p[0] >= TOXIC)
 
