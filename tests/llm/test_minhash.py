@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from worldlog.llm import minhash
 
@@ -75,3 +76,24 @@ def test_densification_fills_every_bin_alike():
     b = np.unique(np.concatenate([a[:120], draw.integers(0, 2**64, 30, dtype=np.uint64)]))
     agree = (wide.bins_of(a) == wide.bins_of(b)).mean()
     assert abs(agree - 120 / 180) < 0.15
+
+
+def test_links_away_from_the_hubs_of_a_crowded_bucket(spark):
+    draw = np.random.Generator(np.random.PCG64(5))
+    shared = [f"s{i}" for i in range(80)]
+    own = lambda i: [f"o{i}x{j}" for j in range(40)]
+    # members of one template are apart (J about 0.48), but four have a copy with two words changed
+    rows = [(i, " ".join(shared + own(i))) for i in range(1500)]
+    for i, like in enumerate(draw.choice(1500, 4, replace=False)):
+        words = shared + own(int(like))
+        words[85] = words[86] = "changed"
+        rows.append((3000 + i, " ".join(words)))
+    docs = minhash.written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "texts")
+    signed = minhash.signatures(docs, 3, 40, 6)
+    sketches = signed.select("doc_id", *[F.col("sketch")[i].alias(c) for i, c in enumerate(minhash.SKETCH)])
+    buckets = minhash.written(docs.selectExpr("doc_id", "0L AS bucket").select("doc_id", "bucket"), "buckets")
+    links = minhash._star_links(buckets, minhash.written(sketches, "sketches"), docs, 3, 85, 240).collect()
+    plain = [(i, sets(t, 3)) for i, t in rows]
+    want = {(i, j) for i, a in plain[1500:] for j, b in plain[:1500] if 100 * len(a & b) >= 85 * len(a | b)}
+    assert len(want) == 4
+    assert {(r.a, r.b) for r in links} == want

@@ -19,7 +19,7 @@ BANDS, ROWS = 40, 6
 #: Columns of the bits that a pair of one bucket is judged by before its texts are fetched.
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Hubs of a bucket in the first turn after the star; each later turn has so many times more. A turn of the enough-th
-#: or after that finds no link is the last.
+#: or after that finds no link is the last, and what is still apart then is settled by prefixes, exactly.
 HUBS, MORE, ENOUGH = 3, 2, 1
 #: Pairs whose sketches differ by more standard errors than this from what a link's would are not compared.
 ERRORS = 4.5
@@ -136,7 +136,7 @@ def near_duplicates(
     Texts of one normalised word sequence form a class, which its least doc_id stands for. Of each bucket of class
     representatives, every member is paired with the least; the pairs are confirmed on full shingle sets. Members that
     are still apart from others of their bucket meet anew, each with other hubs, until a turn finds no
-    link: pairs grow with the rows and never with the square of a bucket.
+    link. Then every pair of members still apart is compared, or ruled out by a bound on what the sets can share.
 
     Null or empty texts, and those without words, have no shingle and no link. A null doc_id links with nothing, its
     component_id is null and it is kept. Rows that share a doc_id are one node. No rows give no rows.
@@ -168,7 +168,7 @@ def near_duplicates(
 def _star_links(
     buckets: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int, bins: int
 ) -> DataFrame:
-    """Confirmed links (a, b) of class representatives: a star round, then rounds among members still apart."""
+    """Confirmed links (a, b) of class representatives: a star round, rounds with hubs, and all pairs still apart."""
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = written(buckets.join(hubs, "bucket").select("bucket", "doc_id", "hub"), "shared")
     pairs = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
@@ -182,16 +182,14 @@ def _star_links(
         pairs = written(_apart_pairs(shared, sketches, label, turn, apart), "pairs")
         more = written(confirmed(pairs, texts, shingle, percent), "links")
         if turn >= ENOUGH and more.limit(1).count() == 0:
-            return links
+            break
         links, turn = links.union(more), turn + 1
+    pairs = written(_prefix_pairs(_torn(shared, label), texts, shingle, percent), "pairs")
+    return links.union(written(confirmed(pairs, texts, shingle, percent), "links"))
 
 
-def _apart_pairs(shared: DataFrame, sketches: DataFrame, label: DataFrame, turn: int, apart: int) -> DataFrame:
-    """Pairs of members of a bucket in different components, with sketches at most ``apart`` bits from each other.
-
-    In the first turn all members meet the hubs. Most groups are then whole, and later turns only bring those that are
-    not of the least component of their bucket before more and more hubs, so that pairs stay few.
-    """
+def _torn(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """bucket, doc_id, part and the bucket's least part, for buckets with members of several components."""
     named = shared.join(label, shared.doc_id == label.node, "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")
     )
@@ -201,7 +199,71 @@ def _apart_pairs(shared: DataFrame, sketches: DataFrame, label: DataFrame, turn:
         .filter("least <> most")
         .select("bucket", "least")
     )
-    open_ = written(named.join(torn, "bucket").join(sketches, "doc_id"), "open")
+    return named.join(torn, "bucket")
+
+
+def shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, part, n and gram for each distinct shingle of ``texts`` (row, doc_id, part, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [batch.column(i).to_numpy() for i in range(3)]
+            for at, part in slices(batch.column(3)):
+                sets = [found for found, _ in shingle_sets(part, shingle)]
+                n = np.array([len(x) for x in sets], np.int64)
+                grams = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(x, n)) for x in (*(x[at : at + len(sets)] for x in said), n)] + [pa.array(grams)],
+                    names=["row", "doc_id", "part", "n", "gram"],
+                )
+
+    schema = "row long, doc_id long, part long, n long, gram long"
+    return texts.select("row", "doc_id", "part", "text").mapInArrow(cut, schema)
+
+
+def _prefix_pairs(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """All pairs of the members in different components that can be links, by prefix filtering.
+
+    Grams are ordered alike for all sets: first those of one component alone, then by how many sets hold them. A link
+    shares ceil(percent * n / 100) grams at least, so one of the first ``head`` of either side: what is in no other
+    component takes its place there and meets nothing. Of a pair that shares c grams of both heads, the side whose head
+    ends first holds no more of the other than c and the grams after its head: that must reach the threshold.
+    """
+    # rows that share a doc_id have a set each
+    members = texts.join(open_.select("doc_id", "part").distinct(), "doc_id").withColumn("row", F.monotonically_increasing_id())
+    grams = written(shingles_of(members, shingle), "grams")
+    live = grams.groupBy("gram").agg(
+        F.count("*").alias("sets"), F.min("part").alias("least"), F.max("part").alias("most")
+    )
+    met = grams.join(live.filter("least <> most").select("gram", "sets", "least"), "gram")
+    head = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    heads = (
+        met.groupBy("row", "doc_id", "part", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("sets", "gram", "least"))).alias("met"))
+        .withColumn("head", head)
+        .withColumn("room", F.expr("int(head - (n - size(met)))"))
+        .filter("room > 0")
+        .select("row", "doc_id", "part", "n", F.expr("n - head AS rest"), F.expr("inline(slice(met, 1, room))"))
+    )
+    heads = written(heads.drop("sets"), "heads")
+    side = lambda s: heads.select("gram", "least", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "doc_id", "part", "n", "rest")])
+    a, b = side("a").filter("part_a <> least").drop("least"), side("b")
+    once = "part_b = least OR row_a > row_b"
+    fits = f"n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}"
+    pairs = a.join(b, (a.gram == b.gram) & F.expr(f"part_a <> part_b AND ({once}) AND {fits}"))
+    both = [F.expr(f"{f}({c}_a, {c}_b)").alias(f"{c}_{f}") for c in ("row", "doc_id") for f in ("greatest", "least")]
+    shares = pairs.groupBy(*both, F.expr("n_a + n_b AS n"), F.expr("greatest(rest_a, rest_b) AS rest")).agg(F.count("*").alias("c"))
+    found = shares.filter(f"(c + rest) * {100 + percent} >= {percent} * n")
+    return found.select(F.col("doc_id_greatest").alias("a"), F.col("doc_id_least").alias("b")).distinct()
+
+
+def _apart_pairs(shared: DataFrame, sketches: DataFrame, label: DataFrame, turn: int, apart: int) -> DataFrame:
+    """Pairs of members of a bucket in different components, with sketches at most ``apart`` bits from each other.
+
+    In the first turn all members meet the hubs. Most groups are then whole, and later turns only bring those that are
+    not of the least component of their bucket before more and more hubs, so that pairs stay few.
+    """
+    open_ = written(_torn(shared, label).join(sketches, "doc_id"), "open")
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "doc_id", F.lit(turn)), "doc_id")
     hubs = (
         open_.withColumn("rank", F.row_number().over(order))
