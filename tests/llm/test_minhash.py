@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,25 @@ def test_links_away_from_the_hubs_of_a_crowded_bucket(spark):
     want = {(i, j) for i, a in plain[1500:] for j, b in plain[:1500] if 100 * len(a & b) >= 85 * len(a | b)}
     assert len(want) == 4
     assert {(r.a, r.b) for r in links} == want
+
+
+def test_links_of_few_shingles_pass_the_sketch(spark):
+    draw = np.random.Generator(np.random.PCG64(9))
+    signer = minhash.Signer(40, 6)
+    bits = lambda text: int.from_bytes(signer(next(minhash.shingle_sets(pa.array([text]), 5))[0])[1].tobytes())
+    found = []
+    while len(found) < 5:  # sets of 4 and 5 shingles, J = 0.8, whose sketches differ by more than a link's should
+        words = [f"w{x}" for x in draw.integers(0, 10**9, 9)]
+        pair = " ".join(words[:8]), " ".join(words)
+        if (bits(pair[0]) ^ bits(pair[1])).bit_count() > 60:
+            found.append(pair)
+    pairs = pa.table({"doc_id": list(range(10)), "text": [t for p in found for t in p]})
+    docs = spark.createDataFrame(pairs.to_pylist(), "doc_id long, text string")
+    texts = minhash.written(docs, "texts")
+    shared = minhash.written(docs.selectExpr("doc_id div 2 AS bucket", "doc_id"), "shared")
+    away = minhash.written(shared.selectExpr("bucket", "-1 - bucket AS doc_id"), "away")
+    sketches = minhash.signatures(docs, 5, 40, 6).select("doc_id", *[F.col("sketch")[i].alias(c) for i, c in enumerate(minhash.SKETCH)])
+    buckets = shared.union(away)
+    more = texts.union(away.selectExpr("doc_id", "concat('z', bucket, ' a b c d e f') AS text"))
+    links = minhash._star_links(buckets, sketches, more, 5, 80, 240).collect()
+    assert {(r.b, r.a) for r in links} == {(i, i + 1) for i in range(0, 10, 2)}
