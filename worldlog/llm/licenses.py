@@ -50,10 +50,42 @@ SENTENCES = {
     "apache-copy": "You may obtain a copy of the License at",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Single sentences beside those: parts that several grants share, the Apache header's, and openings of full texts.
+_TERMS = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation"
+_CC = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-ND-4.0": "Attribution-NoDerivatives"}
+PARTS = {
+    _TERMS.format("Lesser"): "lgpl-terms",
+    _TERMS.format("Library"): "library-terms",
+    _TERMS.format("Affero"): "agpl-terms",
+    "either version 3 of the License, or (at your option) any later version.": "later-3",
+    "either version 2.1 of the License, or (at your option) any later version.": "later-2.1",
+    "The ASF licenses this file to You under the Apache License, Version 2.0": "notice:Apache-2.0",
+    **{f"{x}://www.apache.org/licenses/LICENSE-2.0{end}": "apache-url" for x in ("http", "https") for end in ("", ".txt")},
+    **{f"You may obtain a copy of the License at {x}://www.apache.org/licenses/LICENSE-2.0": "apache-at" for x in ("http", "https")},
+    "Version 2.0, January 2004": "text-apache",
+    "Apache License Version 2.0, January 2004": "text-apache",
+    "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/": "text-apache",
+    "Mozilla Public License Version 2.0": "text-mpl",
+    "GNU GENERAL PUBLIC LICENSE": "title-gpl",
+    "GNU LESSER GENERAL PUBLIC LICENSE": "title-lgpl",
+    "Version 3, 29 June 2007": "dated-3",
+    "Version 2, June 1991": "dated-2",
+    "Version 2.1, February 1999": "text-lgpl2.1",
+    "Version 3, 19 November 2007": "text-agpl",
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "text-gpl3",
+    "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": "text-gpl2",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "text-lgpl3",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "text-lgpl2.1",
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": "text-agpl",
+    "CC0 1.0 Universal": "text:CC0-1.0",
+    **{f"{a}{x} 4.0 International{b}": f"text:{name}" for name, x in _CC.items() for a in ("", "Creative Commons ") for b in ("", " Public License")},
+}
 #: Rules in the order in which they claim identifiers: (licence, identifiers one after another).
 RULES = (
     ("BSD-3-Clause", ("grant-bsd", "source-bsd", "binary-bsd", "names-bsd")),
@@ -62,16 +94,45 @@ RULES = (
     ("MIT", ("grant-mit",)),
     ("ISC", ("grant-isc",)),
     ("Apache-2.0", ("notice:Apache-2.0", "apache-use", "apache-copy")),
+    # other licences have a header of this shape: without a notice, the address names Apache's
+    ("Apache-2.0", ("notice:Apache-2.0", "apache-use", "apache-at")),
+    ("Apache-2.0", ("apache-use", "apache-copy", "apache-url")),
+    ("Apache-2.0", ("apache-use", "apache-at")),
+    ("Apache-2.0", ("text-apache",)),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("LGPL-3.0", ("lgpl-terms", "later-3")),
+    ("LGPL-2.1", ("lgpl-terms", "later-2.1")),
+    # the library licence of that name has one version
+    ("LGPL-2.0", ("library-terms",)),
+    ("AGPL-3.0", ("agpl3-free",)),
+    ("AGPL-3.0", ("agpl-terms", "later-3")),
+    ("LGPL-3.0", ("title-lgpl", "dated-3")),
+    ("GPL-3.0", ("title-gpl", "dated-3")),
+    ("GPL-2.0", ("title-gpl", "dated-2")),
+    ("LGPL-3.0", ("text-lgpl3",)),
+    ("LGPL-2.1", ("text-lgpl2.1",)),
+    ("AGPL-3.0", ("text-agpl",)),
+    ("GPL-3.0", ("text-gpl3",)),
+    ("GPL-2.0", ("text-gpl2",)),
+    ("MPL-2.0", ("text-mpl",)),
     ("GPL-3.0", ("gpl-free", "gpl-hope")),
     ("GPL-3.0", ("gpl-free",)),
+    ("GPL-3.0", ("gpl2-free", "later-3")),
     ("GPL-2.0", ("gpl2-free", "gpl-hope")),
     ("GPL-2.0", ("gpl2-free",)),
     ("MPL-2.0", ("mpl-subject",)),
     ("Unlicense", ("unlicense",)),
+    *((name, (f"text:{name}",)) for name in (*_CC, "CC0-1.0")),
     *((name, (f"notice:{name}",)) for name in NAMES),
 )
 #: Sentences end at line ends, and at a stop or semicolon before white space.
 SENTENCE_END = r"\n+|(?<=[.;:])\s+"
+#: What differs from text to text goes before sentences are cut: names for short, and the holder of a BSD licence
+#: (whose name may have stops). Bounded, and within a line.
+PLAIN = (
+    (r'(?i) ?\(the ["“\']{1,2}license["”\']{1,2}\)', ""),
+    (r"(?i)neither the names? of [^\n;:]{1,200}? nor the names? of (?:its|their|any|other) contributors", "Neither the name of the copyright holder nor the names of its contributors"),
+)
 
 
 def normal(sentence: str) -> str:
@@ -86,10 +147,12 @@ def catalogue() -> dict[str, str]:
     for id_, parts in parted.items():
         own = [p for p in parts if not any(p in x for other, x in parted.items() if other != id_)]
         known[max(own, key=lambda p: (len(p), p))] = id_
-    return known
+    return known | {normal(part): id_ for part, id_ in PARTS.items()}
 
 
 def _ids(text: Column, table: Column, shortest: int, longest: int) -> Column:
+    for pattern, plain in PLAIN:
+        text = F.regexp_replace(text, pattern, plain)
     sentences = F.transform(
         F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     )
@@ -108,8 +171,8 @@ def sentence_ids(text: Column) -> Column:
     bounds = min(map(len, known)), max(map(len, known))
     text = F.coalesce(text.cast("string"), F.lit(""))
     by_line = _ids(text, table, *bounds)
-    # a line end goes unless a blank line follows
-    by_paragraph = _ids(F.regexp_replace(text, r"(?<!\n)[\s*#/;-]*\n(?!\s*\n)[ \t*#/;-]*", " "), table, *bounds)
+    # a line end goes unless a blank line follows; a semicolon before it ends a sentence
+    by_paragraph = _ids(F.regexp_replace(text, r"(?<!\n)[\s*#/-]*\n(?!\s*\n)[ \t*#/;-]*", " "), table, *bounds)
     return F.when(F.size(by_paragraph) > F.size(by_line), by_paragraph).otherwise(by_line)
 
 
