@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from worldlog.functions import scalar
 from worldlog.operators import access, evidence, graph, log, versions
+from worldlog.plans import state
 from worldlog.sources import feeds
 from worldlog.streaming import live
 
@@ -121,6 +122,14 @@ def test_late_rows_are_strictly_below_the_watermark_of_their_source(spark):
     assert got == {1: (None, False), 2: (5, False), 3: (5, True), 4: (None, False), 5: (5, False), 6: (1, True)}
 
 
+def test_time_order_sorts_no_whole_source(spark):
+    plan = state.w05_time_order(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    # one over a source's blocks, one over the rows of each block
+    assert len(windows) == 2
+    assert all("_block" in x for x in windows)
+
+
 def test_field_errors_and_quarantine(spark):
     rows = spark.createDataFrame([("1", "x", "true"), (None, "2", "maybe"), ("NaN", "3", None)], "n string, i string, b string")
     good, bad = log.admitted(rows, log.field_errors([("n", "number", True), ("i", "integer", True), ("b", "boolean", False)]))

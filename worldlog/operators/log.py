@@ -24,12 +24,6 @@ def broken_links(entries: DataFrame, log_key: str, parts: list[str]) -> DataFram
     return thin.withColumn("link_ok", F.col("prev_hash") == before).filter("NOT own_ok OR NOT link_ok").select(log_key, "seq", "own_ok", "link_ok")
 
 
-def running_latest(events: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
-    """``events`` with the greatest ``value`` of the key's earlier rows as ``name``."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn(name, F.max(value).over(before))
-
-
 def blocked_watermarks(events: DataFrame, block: int) -> DataFrame:
     """Every event with its source's ``watermark`` (greatest source_time before it) and ``late`` (strictly below it).
 

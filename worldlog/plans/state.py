@@ -100,8 +100,7 @@ def w04_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w05_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows recorded before an earlier row of their source: by source time, late ones."""
-    marked = log.running_latest(roles.log(spark, sf_dir), "source_id", "seq", "source_time", "before")
-    return marked.filter("source_time < before").select("seq", "source_id")
+    return log.blocked_watermarks(roles.log(spark, sf_dir), 4_096).filter("late").select("seq", "source_id")
 
 
 def w06_source_watermark_late(spark: SparkSession, sf_dir: str) -> DataFrame:
