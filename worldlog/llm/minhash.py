@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +15,8 @@ from .store import written
 from .words import Words, mix, runs, slices
 
 BANDS, ROWS = 40, 6
-#: Columns of the bits that a pair of one bucket is judged by before its texts are fetched.
-SKETCH = ("s0", "s1", "s2", "s3")
-#: Hubs of a bucket in the first turn after the star; each later turn has so many times more. A turn of the enough-th
-#: or after that finds no link is the last, and what is still apart then is settled by prefixes, exactly.
-HUBS, MORE, ENOUGH = 3, 2, 1
-#: Pairs whose sketches differ by more standard errors than this from what a link's would are not compared.
-ERRORS = 4.5
+#: Members of a group whose majority makes its core. The core changes how much is compared, never what is found.
+CORE_ROWS = 9
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -68,15 +62,13 @@ class Signer:
             out[empty] = out[there[self.order[empty][:, there].argmin(axis=1)]]
         return out
 
-    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash for each band, and one bit of each bin as ``SKETCH`` long numbers."""
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        """A hash for each band; none of an empty set."""
         if not len(found):
-            return np.zeros(0, np.int64), np.zeros(len(SKETCH), np.int64)
+            return np.zeros(0, np.int64)
         bins = mix(self.bins_of(found))
         bands = (bins.reshape(self.bands, self.rows) * self.weight).sum(axis=1, dtype=np.uint64)
-        bits = np.zeros(64 * len(SKETCH), np.uint8)
-        bits[: self.bins] = bins[: len(bits)] & np.uint64(1)
-        return mix(bands ^ self.salt).view(np.int64), np.packbits(bits).view(np.int64)
+        return mix(bands ^ self.salt).view(np.int64)
 
 
 def lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -85,35 +77,36 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, shingle: int, n_bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the word sequence; null without words), buckets and sketch of each row."""
+    """doc_id, n_shingles, key (hash of the word sequence; null without words) and buckets of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n_bands, rows)
         for batch in batches:
-            sizes, keys, buckets, sketches = [], [], [], []
+            sizes, keys, buckets = [], [], []
             for found, said in shingle_sets(batch.column(1), shingle):
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(said) if said else None)
-                bands, bits = signer(found)
-                buckets.append(bands)
-                sketches.append(bits)
+                buckets.append(signer(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     lists(buckets),
-                    lists(sketches),
                 ],
-                names=["doc_id", "n_shingles", "key", "buckets", "sketch"],
+                names=["doc_id", "n_shingles", "key", "buckets"],
             )
 
-    schema = "doc_id long, n_shingles long, key binary, buckets array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, key binary, buckets array<long>"
     return docs.select("doc_id", "text").mapInArrow(sign, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    """Those ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+
+    ``pairs`` and ``texts`` are written tables, so that both joins are plain shuffles: those of a hub with very many
+    partners are dealt to several tasks by the adaptive skew join, each with the hub's text.
+    """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +127,9 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; more columns are left alone).
 
     Texts of one normalised word sequence form a class, which its least doc_id stands for. Of each bucket of class
-    representatives, every member is paired with the least; the pairs are confirmed on full shingle sets. Members that
-    are still apart from others of their bucket meet anew, each with other hubs, until a turn finds no
-    link. Then every pair of members still apart is compared, or ruled out by a bound on what the sets can share.
+    representatives, every member is paired with the least; the pairs are confirmed on full shingle sets. Members of a
+    bucket that are still apart are then compared by what sets them off from their group's core, exactly: every pair
+    that could be a link is confirmed or ruled out by a bound.
 
     Null or empty texts, and those without words, have no shingle and no link. A null doc_id links with nothing, its
     component_id is null and it is kept. Rows that share a doc_id are one node. No rows give no rows.
@@ -144,16 +137,14 @@ def near_duplicates(
     rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(rows_of, shingle, bands, rows), "signed")
     named = signed.filter("doc_id IS NOT NULL AND key IS NOT NULL")
-    heads = named.groupBy("key").agg(F.min("doc_id").alias("head"))
-    member = named.select("doc_id", "key").join(heads, "key").select("doc_id", "head")
-    buckets = written(
-        named.join(heads, "key").filter("doc_id = head").select("doc_id", F.explode("buckets").alias("bucket")),
-        "buckets",
-    )
-    sketches = named.select("doc_id", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH)])
-    links = _star_links(buckets, sketches, rows_of, shingle, percent, bands * rows)
+    classes = named.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
+    heads = written(classes.filter("n > 1").select("key", "head"), "heads")  # a table: a hot class is dealt to many tasks
+    copies = written(named.select("doc_id", "key").join(heads, "key").filter("doc_id <> head").distinct(), "copies")
+    alone = named.join(copies.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    buckets = written(alone.select("doc_id", F.explode("buckets").alias("bucket")).distinct(), "buckets")
+    links = _links(buckets, rows_of, shingle, percent)
     # copies hang on the head of their class
-    found = components(links.union(member.filter("doc_id <> head").toDF("a", "b")))
+    found = written(components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))), "found")
     return (
         signed.join(found, signed.doc_id == found.node, "left")
         .select(
@@ -165,124 +156,131 @@ def near_duplicates(
     )
 
 
-def _star_links(
-    buckets: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int, bins: int
-) -> DataFrame:
-    """Confirmed links (a, b) of class representatives: a star round, rounds with hubs, and all pairs still apart."""
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(buckets.join(hubs, "bucket").select("bucket", "doc_id", "hub"), "shared")
+def _links(buckets: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join all members of a bucket that any chain of links within it joins.
+
+    Stars first: each member of a bucket with its least one. Then buckets whose members are still in several parts: they
+    are grouped by that least one, each group has a core of shingles, and members near the core meet the nearest one
+    (again a star). What is still apart is paired by shared differences from the core.
+    """
+    hubs = written(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    shared = written(buckets.join(hubs.select("bucket", "hub"), "bucket").select("bucket", "doc_id", "hub"), "shared")
     pairs = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     texts = written(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    links = written(confirmed(pairs, texts, shingle, percent), "links")
-    differ = (1 - percent / 100) / 2  # of a link's bits
-    apart = math.ceil(bins * differ + ERRORS * math.sqrt(bins * differ * (1 - differ)))
-    turn = 0
-    while True:
-        label = components(links)
-        pairs = written(_apart_pairs(shared, sketches, label, turn, apart), "pairs")
-        more = written(confirmed(pairs, texts, shingle, percent), "links")
-        if turn >= ENOUGH and more.limit(1).count() == 0:
-            break
-        links, turn = links.union(more), turn + 1
-    pairs = written(_prefix_pairs(_torn(shared, label), texts, shingle, percent), "pairs")
+    links = written(confirmed(written(pairs, "pairs"), texts, shingle, percent), "links")
+    label = written(components(links), "label")
+    groups = written(_torn(shared, label), "groups")
+    apart = written(_differences(groups, texts, shingle, percent), "apart")
+    stars = written(_core_stars(apart), "pairs")
+    links = links.union(written(confirmed(stars, texts, shingle, percent), "links"))
+    label = written(components(links), "label")
+    pairs = written(_apart_pairs(_parted(apart, label), percent), "pairs")
     return links.union(written(confirmed(pairs, texts, shingle, percent), "links"))
 
 
+def _named(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, rows.doc_id == label.node, "left").withColumn("part", F.coalesce("component", "doc_id")).drop("node", "component")
+
+
 def _torn(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """bucket, doc_id, part and the bucket's least part, for buckets with members of several components."""
-    named = shared.join(label, shared.doc_id == label.node, "left").select(
-        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")
-    )
-    torn = (
-        named.groupBy("bucket")
-        .agg(F.min("part").alias("least"), F.max("part").alias("most"))
-        .filter("least <> most")
-        .select("bucket", "least")
-    )
-    return named.join(torn, "bucket")
+    """hub, doc_id, part of the members of buckets that have members of several components."""
+    named = _named(shared, label)
+    torn = named.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
+    return named.join(torn.select("bucket"), "bucket", "left_semi").select("hub", "doc_id", "part").distinct()
 
 
-def shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, part, n and gram for each distinct shingle of ``texts`` (row, doc_id, part, text)."""
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """row (a number of its own), doc_id and grams (hashes of its distinct shingles) of each of ``texts``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [batch.column(i).to_numpy() for i in range(3)]
-            for at, part in slices(batch.column(3)):
-                sets = [found for found, _ in shingle_sets(part, shingle)]
-                n = np.array([len(x) for x in sets], np.int64)
-                grams = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            for at, part in slices(batch.column(2)):
+                grams = [found.view(np.int64) for found, _ in shingle_sets(part, shingle)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(x, n)) for x in (*(x[at : at + len(sets)] for x in said), n)] + [pa.array(grams)],
-                    names=["row", "doc_id", "part", "n", "gram"],
+                    [batch.column(i).slice(at, len(grams)) for i in (0, 1)] + [lists(grams)], names=["row", "doc_id", "grams"]
                 )
 
-    schema = "row long, doc_id long, part long, n long, gram long"
-    return texts.select("row", "doc_id", "part", "text").mapInArrow(cut, schema)
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(cut, "row long, doc_id long, grams array<long>")
 
 
-def _prefix_pairs(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """All pairs of the members in different components that can be links, by prefix filtering.
+def _differences(groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """hub, row, doc_id, part, differs (grams in the set or in the group's core, not in both) and score.
 
-    Grams are ordered alike for all sets: first those of one component alone, then by how many sets hold them. A link
-    shares ceil(percent * n / 100) grams at least, so one of the first ``head`` of either side: what is in no other
-    component takes its place there and meets nothing. Of a pair that shares c grams of both heads, the side whose head
-    ends first holds no more of the other than c and the grams after its head: that must reach the threshold.
+    Sets of n_a and n_b grams that lack d_a and d_b of a core of h grams, and share c of their differences, have
+    h - d_a - d_b + c grams in common. They are linked if c reaches (score_a + score_b) / (2 (100 + percent)). This
+    holds of any core: it is the grams that most of a few members have, drawn by a hash.
     """
-    # rows that share a doc_id have a set each
-    members = texts.join(open_.select("doc_id", "part").distinct(), "doc_id").withColumn("row", F.monotonically_increasing_id())
-    grams = written(shingles_of(members, shingle), "grams")
-    live = grams.groupBy("gram").agg(
-        F.count("*").alias("sets"), F.min("part").alias("least"), F.max("part").alias("most")
+    members = written(sets_of(texts.join(groups.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
+    order = Window.partitionBy("hub").orderBy(F.xxhash64("hub", "doc_id"), "doc_id")
+    drawn = groups.select("hub", "doc_id").distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= CORE_ROWS)
+    few = drawn.groupBy("hub").agg(F.count("*").alias("few"))
+    often = drawn.join(members, "doc_id").select("hub", F.explode("grams").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("times"))
+    cores = written(often.join(few, "hub").filter("2 * times > few").groupBy("hub").agg(F.collect_set("gram").alias("core")), "cores")
+    each = groups.join(members, "doc_id").join(cores, "hub", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    lacks, has = F.array_except("core", "grams"), F.array_except("grams", "core")
+    score = 2 * (percent * F.size("grams") + (100 + percent) * F.size("lacks")) - (100 + percent) * F.size("core")
+    return (
+        each.withColumns({"lacks": lacks, "has": has})
+        .select("hub", "row", "doc_id", "part", F.concat("lacks", "has").alias("differs"), score.cast("long").alias("score"))
     )
-    met = grams.join(live.filter("least <> most").select("gram", "sets", "least"), "gram")
-    head = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+
+
+def _core_stars(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nearest member of each group with those that no shared difference is needed to link to it."""
+    nearest = apart.groupBy("hub").agg(F.min(F.struct("score", "doc_id", "part")).alias("first"))
+    met = apart.select("hub", "doc_id", "part", "score").join(nearest, "hub")
+    met = met.filter("score + first.score <= 0 AND part <> first.part AND doc_id <> first.doc_id")
+    return met.select(F.greatest("doc_id", "first.doc_id").alias("a"), F.least("doc_id", "first.doc_id").alias("b")).distinct()
+
+
+def _parted(apart: DataFrame, label: DataFrame) -> DataFrame:
+    """``apart`` with parts as they are by now, for groups that have several, and the least score of other parts."""
+    now = written(_named(apart.drop("part"), label), "parted")
+    by_part = now.groupBy("hub", "part").agg(F.min("score").alias("score"))
+    two = by_part.groupBy("hub").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "part"))), 1, 2).alias("two"), F.count("*").alias("parts"))
+    return now.join(two.filter("parts > 1").select("hub", "two"), "hub").withColumn("other", F.expr("if(two[0].part = part, two[1].score, two[0].score)")).drop("two")
+
+
+def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the members of a group in different parts that can be links, by prefix filtering of differences.
+
+    The differences of a group are ordered alike for all: first those of one part alone, then by how many members have
+    them. A link with any other part shares ``need`` of them at least, so one of the first ``room`` of either side: what
+    no other part has takes its place there and meets nothing. Of a pair that shares c of both heads, the side whose
+    head ends first shares no more than c and what comes after its head: that must reach what the pair needs.
+    """
+    twice = 2 * (100 + percent)
+    each = apart.select("hub", "row", "part", F.explode("differs").alias("gram"))
+    live = written(
+        each.groupBy("hub", "gram").agg(F.count("*").alias("sets"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most"),
+        "live",
+    )
+    met = each.join(live.select("hub", "gram", "sets", "least"), ["hub", "gram"])
+    by_row = met.groupBy("hub", "row").agg(F.array_sort(F.collect_list(F.struct("sets", "gram", "least"))).alias("met"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("score") + F.col("other")) / twice))
     heads = (
-        met.groupBy("row", "doc_id", "part", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("sets", "gram", "least"))).alias("met"))
-        .withColumn("head", head)
-        .withColumn("room", F.expr("int(head - (n - size(met)))"))
+        apart.select("hub", "row", "doc_id", "part", "score", F.size("differs").alias("n"), need.alias("need"))
+        .join(by_row, ["hub", "row"])
+        .withColumn("room", F.expr("cast(n - need + 1 - (n - size(met)) AS int)"))
         .filter("room > 0")
-        .select("row", "doc_id", "part", "n", F.expr("n - head AS rest"), F.expr("inline(slice(met, 1, room))"))
+        .select("hub", "row", "doc_id", "part", "score", F.expr("need - 1 AS rest"), F.expr("inline(slice(met, 1, room))"))
     )
     heads = written(heads.drop("sets"), "heads")
-    side = lambda s: heads.select("gram", "least", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "doc_id", "part", "n", "rest")])
+    side = lambda s: heads.select("hub", "gram", "least", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "doc_id", "part", "score", "rest")])
     a, b = side("a").filter("part_a <> least").drop("least"), side("b")
     once = "part_b = least OR row_a > row_b"
-    fits = f"n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}"
-    pairs = a.join(b, (a.gram == b.gram) & F.expr(f"part_a <> part_b AND ({once}) AND {fits}"))
+    pairs = a.join(b, ["hub", "gram"]).filter(f"part_a <> part_b AND doc_id_a <> doc_id_b AND ({once})")
     both = [F.expr(f"{f}({c}_a, {c}_b)").alias(f"{c}_{f}") for c in ("row", "doc_id") for f in ("greatest", "least")]
-    shares = pairs.groupBy(*both, F.expr("n_a + n_b AS n"), F.expr("greatest(rest_a, rest_b) AS rest")).agg(F.count("*").alias("c"))
-    found = shares.filter(f"(c + rest) * {100 + percent} >= {percent} * n")
+    shares = pairs.groupBy("hub", *both, F.expr("score_a + score_b AS score"), F.expr("greatest(rest_a, rest_b) AS rest")).agg(F.count("*").alias("c"))
+    found = shares.filter(f"(c + rest) * {twice} >= score")
     return found.select(F.col("doc_id_greatest").alias("a"), F.col("doc_id_least").alias("b")).distinct()
 
 
-def _apart_pairs(shared: DataFrame, sketches: DataFrame, label: DataFrame, turn: int, apart: int) -> DataFrame:
-    """Pairs of members of a bucket in different components, with sketches at most ``apart`` bits from each other.
-
-    In the first turn all members meet the hubs. Most groups are then whole, and later turns only bring those that are
-    not of the least component of their bucket before more and more hubs, so that pairs stay few.
-    """
-    open_ = written(_torn(shared, label).join(sketches, "doc_id"), "open")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "doc_id", F.lit(turn)), "doc_id")
-    hubs = (
-        open_.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= HUBS * MORE**turn)
-        .select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("doc_id", "part", *SKETCH)])
-    )
-    bits = " + ".join(f"bit_count({c} ^ hub_{c})" for c in SKETCH)
-    stray = open_.filter("part <> least") if turn else open_
-    return (
-        stray.join(hubs, (stray.bucket == hubs.bucket) & F.expr(f"part <> hub_part AND {bits} <= {apart}"))
-        .select(F.greatest("doc_id", "hub_doc_id").alias("a"), F.least("doc_id", "hub_doc_id").alias("b"))
-        .distinct()
-    )
-
-
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near copies in ``docs``: the one of the least doc_id, with all its columns.
 
     Rows without a doc_id link with nothing and stay; rows that share a doc_id are one node and stay together.
     """
-    gone = near_duplicates(docs, shingle, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, shingle, percent).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
