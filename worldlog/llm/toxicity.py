@@ -23,8 +23,9 @@ PREFIXES = (4, 5, 6, 7)
 #: none that differs from the mean by less than chance makes some of so many differ (with so many errors to spare).
 LEAST_TEXTS, FEATURES, SPARE = 4, 4_000, 0.5
 RIDGE, STEPS, RATE = 3e-4, 400, 0.05
-#: The chance of a grade over 0 from which a text counts as toxic.
-TOXIC = 0.3
+#: The chance of a grade over 0 from which a text counts as toxic is chosen on labelled rows, each judged by a fit that has
+#: not seen its fold; without labels of both kinds it is even. At most such a share of clean rows may count as toxic.
+FOLDS, EVEN, LOST = 5, 0.5, 0.005
 CACHE = 500_000
 
 _WORD = re.compile(r"\w+")
@@ -41,10 +42,11 @@ def word_features(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Weights that all thresholds share, and the ordered thresholds between the grades."""
+    """Weights that all thresholds share, the ordered thresholds between the grades, and the chance that counts as toxic."""
 
     weights: dict[int, float]
     thresholds: np.ndarray
+    limit: float = EVEN
 
     def grades(self, score: float) -> np.ndarray:
         """The probability of each grade."""
@@ -125,13 +127,15 @@ def by_dose(texts: list[list[int]], toxic: np.ndarray) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[list[int]], np.ndarray]:
     """Telling features and labels of at most ``rows`` labelled texts: a bounded sample in the order of a hash.
 
-    Features are counted and chosen in Spark; the driver gets the chosen ones of each text alone. Of rows that share a
-    doc_id the least text is taken.
+    Features are counted and chosen in Spark; each text then keeps those of its own that are chosen, as often as it has
+    them, and the driver gets those alone. Of rows of ``docs`` that share a doc_id the least text is taken; labels that
+    disagree count as toxic. Rows with a null in doc_id, text or label are left out; empty texts have no feature.
     """
     some = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .dropna()
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
@@ -153,16 +157,54 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[
     often = written(each.filter(F.col("n") >= LEAST_TEXTS), "often")
     apart = F.abs(F.col("share") - share) * F.sqrt(F.col("n") / (share * (1 - share)))
     floor = math.sqrt(2 * math.log(max(2, often.count()))) + SPARE
-    chosen = often.filter(apart > floor).orderBy(F.desc(apart), "f").limit(FEATURES).select("f")
-    telling = seen.select("doc_id", F.explode("f").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.collect_list("f").alias("f"))
-    got = seen.select("doc_id", "toxic").join(telling, "doc_id", "left").toArrow().sort_by("doc_id")  # at most ``rows``
-    found = [sorted(x or []) for x in got.column("f").to_pylist()]
-    return found, got.column("toxic").to_numpy().astype(int)
+    chosen = often.filter(apart > floor).orderBy(F.desc(apart), "f").limit(FEATURES).select("f").collect()
+    wanted = np.sort(np.array([r["f"] for r in chosen], np.int64))  # ``FEATURES`` at most
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.sort(f[np.isin(f, wanted)]) for f in (np.asarray(x.values, np.int64) for x in batch.column(2))]
+            ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+            flat = pa.array(np.concatenate([*own, np.zeros(0, np.int64)]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "toxic", "f"]
+            )
+
+    kept = seen.select("doc_id", "toxic", "f").mapInArrow(telling, "doc_id long, toxic int, f array<long>")
+    got = kept.toArrow().sort_by("doc_id")  # ``rows`` at most
+    return got.column("f").to_pylist(), got.column("toxic").to_numpy().astype(int)
+
+
+def best_limit(chances: np.ndarray, toxic: np.ndarray) -> float:
+    """Of the limits that call at most ``LOST`` of the clean texts toxic, the one that misses the fewest toxic ones.
+
+    Of limits alike, the one that loses the fewest clean texts, in the middle of the widest gap between chances.
+    """
+    edges = np.concatenate([[0.0], np.unique(chances), [1.0]])
+    middles = (edges[1:] + edges[:-1]) / 2
+    clean, bad = np.sort(chances[toxic == 0]), np.sort(chances[toxic > 0])
+    missed, lost = np.searchsorted(bad, middles), len(clean) - np.searchsorted(clean, middles)
+    order = np.lexsort((-np.diff(edges), lost, missed, lost > LOST * len(clean)))
+    return float(middles[order[0]])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """The model of at most ``rows`` labelled documents; without any, or with labels all alike, it calls nothing toxic.
+
+    Nulls, repeats and labels that disagree are settled as ``labelled`` says. The limit is chosen on rows that
+    fits of the other folds have not seen; the model is then fitted on all.
+    """
     texts, toxic = labelled(docs, labels, rows)
-    return fit(texts, by_dose(texts, toxic)) if len(texts) else Model({}, np.zeros(0))
+    if not len(texts):
+        return Model({}, np.zeros(0))
+    fold, chances = np.arange(len(texts)) % FOLDS, np.zeros(len(texts))
+    for k in range(FOLDS):
+        rest = [x for x, f in zip(texts, fold, strict=True) if f != k]
+        away = fit(rest, by_dose(rest, toxic[fold != k]))
+        chances[fold == k] = [1 - away.grades(sum(away.weights.get(f, 0.0) for f in x))[0] for x, f in zip(texts, fold, strict=True) if f == k]
+    model = fit(texts, by_dose(texts, toxic))
+    if 0 < toxic.mean() < 1:
+        model.limit = best_limit(chances, toxic)
+    return model
 
 
 class Judge:
@@ -180,11 +222,11 @@ class Judge:
             if w not in known:  # a difference of sets would walk all of ``known``
                 known[w] = sum(weights.get(f, 0.0) for f in word_features(w))
         p = self.model.grades(sum(sorted(s for w in found if (s := known[w]))))
-        return float(p @ np.arange(len(p))), int(p.argmax()), bool(1 - p[0] >= TOXIC)
+        return float(p @ np.arange(len(p))), int(p.argmax()), bool(1 - p[0] >= self.model.limit)
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity (expected grade), grade (likeliest), toxic (the chance of a grade over 0 is ``TOXIC`` at least) of whole texts.
+    """doc_id, severity (expected grade), grade (likeliest), toxic (the chance of a grade over 0 reaches the model's limit) of whole texts.
 
     Null and empty texts have no feature and get the score 0. Rows are judged one by one: repeated rows and null ids
     stay, more columns are left alone, no rows give no rows. A model without grades calls nothing toxic.
@@ -205,7 +247,10 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
+    """The rows of ``docs`` that the model does not call toxic, with all their columns.
+
+    Texts are judged as in ``severity``: null and empty ones stay unless the limit takes a text without any feature.
+    """
 
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
