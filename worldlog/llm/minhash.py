@@ -174,7 +174,7 @@ def _links(buckets: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     stars = written(_core_stars(apart), "pairs")
     links = links.union(written(confirmed(stars, texts, shingle, percent), "links"))
     label = written(components(links), "label")
-    pairs = written(_apart_pairs(_parted(apart, label), percent), "pairs")
+    pairs = written(_apart_pairs(_named(apart.drop("part"), label), percent), "pairs")
     return links.union(written(confirmed(pairs, texts, shingle, percent), "links"))
 
 
@@ -228,18 +228,18 @@ def _differences(groups: DataFrame, texts: DataFrame, shingle: int, percent: int
 
 def _core_stars(apart: DataFrame) -> DataFrame:
     """Pairs (a, b) of the nearest member of each group with those that no shared difference is needed to link to it."""
-    nearest = apart.groupBy("hub").agg(F.min(F.struct("score", "doc_id", "part")).alias("first"))
+    nearest = written(apart.groupBy("hub").agg(F.min(F.struct("score", "doc_id", "part")).alias("first")), "nearest")
     met = apart.select("hub", "doc_id", "part", "score").join(nearest, "hub")
     met = met.filter("score + first.score <= 0 AND part <> first.part AND doc_id <> first.doc_id")
     return met.select(F.greatest("doc_id", "first.doc_id").alias("a"), F.least("doc_id", "first.doc_id").alias("b")).distinct()
 
 
-def _parted(apart: DataFrame, label: DataFrame) -> DataFrame:
-    """``apart`` with parts as they are by now, for groups that have several, and the least score of other parts."""
-    now = written(_named(apart.drop("part"), label), "parted")
-    by_part = now.groupBy("hub", "part").agg(F.min("score").alias("score"))
-    two = by_part.groupBy("hub").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "part"))), 1, 2).alias("two"), F.count("*").alias("parts"))
-    return now.join(two.filter("parts > 1").select("hub", "two"), "hub").withColumn("other", F.expr("if(two[0].part = part, two[1].score, two[0].score)")).drop("two")
+def _with_other(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` of keys that several parts have, with the least score that another part has there as ``other``."""
+    by_part = rows.groupBy(*keys, "part").agg(F.min("score").alias("score"))
+    two = by_part.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "part"))), 1, 2).alias("two"), F.count("*").alias("parts"))
+    two = written(two.filter("parts > 1").drop("parts"), "two")  # a table: a hot key is dealt to many tasks
+    return rows.join(two, keys).withColumn("other", F.expr("if(two[0].part = part, two[1].score, two[0].score)")).drop("two")
 
 
 def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
@@ -247,34 +247,35 @@ def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
 
     The differences of a group are ordered alike for all: first those of one part alone, then by how many members have
     them. A link with any other part shares ``need`` of them at least, so one of the first ``room`` of either side: what
-    no other part has takes its place there and meets nothing. Of a pair that shares c of both heads, the side whose
-    head ends first shares no more than c and what comes after its head: that must reach what the pair needs.
+    no other part has takes its place there and meets nothing. The first that a link's sides share leaves both with as
+    many (``left``) as the link needs: rows that no other part's score can meet with so many left go before they meet,
+    and pairs that have fewer left than they need do not become rows. Of the rest shared differences are counted.
     """
     twice = 2 * (100 + percent)
+    apart = written(_with_other(apart, ["hub"]), "parted")
     each = apart.select("hub", "row", "part", F.explode("differs").alias("gram"))
-    live = written(
-        each.groupBy("hub", "gram").agg(F.count("*").alias("sets"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most"),
-        "live",
-    )
-    met = each.join(live.select("hub", "gram", "sets", "least"), ["hub", "gram"])
-    by_row = met.groupBy("hub", "row").agg(F.array_sort(F.collect_list(F.struct("sets", "gram", "least"))).alias("met"))
+    live = each.groupBy("hub", "gram").agg(F.count("*").alias("sets"), F.min("part").alias("least"), F.max("part").alias("most"))
+    live = written(live.filter("least <> most").select("hub", "gram", "sets"), "live")
+    by_row = each.join(live, ["hub", "gram"]).groupBy("hub", "row").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("met"))
     need = F.greatest(F.lit(1), F.ceil((F.col("score") + F.col("other")) / twice))
     heads = (
-        apart.select("hub", "row", "doc_id", "part", "score", F.size("differs").alias("n"), need.alias("need"))
+        apart.select("hub", "row", "doc_id", "part", "score", need.alias("need"), F.size("differs").alias("n"))
         .join(by_row, ["hub", "row"])
-        .withColumn("room", F.expr("cast(n - need + 1 - (n - size(met)) AS int)"))
+        .withColumns({"size": F.size("met"), "room": F.expr("cast(size(met) - need + 1 AS int)")})
         .filter("room > 0")
-        .select("hub", "row", "doc_id", "part", "score", F.expr("need - 1 AS rest"), F.expr("inline(slice(met, 1, room))"))
+        .select("hub", "row", "doc_id", "part", "score", "size", F.expr("posexplode(slice(met, 1, room)) AS (at, x)"))
+        .select("hub", "row", "doc_id", "part", "score", (F.col("size") - F.col("at")).alias("left"), "x.gram")
     )
-    heads = written(heads.drop("sets"), "heads")
-    side = lambda s: heads.select("hub", "gram", "least", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "doc_id", "part", "score", "rest")])
-    a, b = side("a").filter("part_a <> least").drop("least"), side("b")
-    once = "part_b = least OR row_a > row_b"
-    pairs = a.join(b, ["hub", "gram"]).filter(f"part_a <> part_b AND doc_id_a <> doc_id_b AND ({once})")
-    both = [F.expr(f"{f}({c}_a, {c}_b)").alias(f"{c}_{f}") for c in ("row", "doc_id") for f in ("greatest", "least")]
-    shares = pairs.groupBy("hub", *both, F.expr("score_a + score_b AS score"), F.expr("greatest(rest_a, rest_b) AS rest")).agg(F.count("*").alias("c"))
-    found = shares.filter(f"(c + rest) * {twice} >= score")
-    return found.select(F.col("doc_id_greatest").alias("a"), F.col("doc_id_least").alias("b")).distinct()
+    heads = written(heads, "heads")
+    able = written(_with_other(heads, ["hub", "gram"]).filter(F.expr(f"score + other <= {twice} * left")).drop("other"), "able")
+    side = lambda s: able.select("hub", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "doc_id", "part", "score", "left")])
+    fits = f"part_a <> part_b AND doc_id_a <> doc_id_b AND score_a + score_b <= {twice} * least(left_a, left_b)"
+    pairs = side("a").join(side("b"), ["hub", "gram"]).filter(f"row_a < row_b AND {fits}").select("hub", "row_a", "row_b").distinct()
+    own = apart.select("hub", "row", "doc_id", "score", "differs")
+    mine, theirs = (own.select("hub", *[F.col(c).alias(f"{c}_{s}") for c in own.columns[1:]]) for s in "ab")
+    both = written(pairs, "pairs").join(mine, ["hub", "row_a"]).join(theirs, ["hub", "row_b"])
+    found = both.filter(F.size(F.array_intersect("differs_a", "differs_b")) * twice >= F.col("score_a") + F.col("score_b"))
+    return found.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
