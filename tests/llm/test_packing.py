@@ -18,7 +18,6 @@ def test_pieces_are_the_texts_and_fill_sequences(spark):
     rows = corpus.texts()
     got = packing.pack(corpus.table(spark, rows), with_ids=True).collect()
     plain = Tokenizer.from_file(packing.default_tokenizer())
-    plain.encode_special_tokens = True
     want = Counter()
     for i, t in rows:
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
@@ -67,3 +66,12 @@ def test_best_fit_is_best_fit_decreasing():
 
 def test_no_rows(spark):
     assert packing.pack(corpus.table(spark, [])).count() == 0
+
+
+def test_added_tokens_are_read_as_the_library_reads_them():
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.Encoder(packing.default_tokenizer())
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>"]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert encode(text) == np.array(want, "<u4").tobytes()
+    assert 50256 in plain.encode("a <|endoftext|> b", add_special_tokens=False).ids

@@ -82,15 +82,18 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, those of the ``tokenizers`` library.
 
     The vocabulary's pattern never joins a space to what stands before it, unless that is white space too. So texts
-    without spaces after white space are cut before each space, and chunks met before are not encoded again.
+    without spaces after white space are cut before each space, and chunks met before are not encoded again. Texts that
+    spell a token that the vocabulary adds, such as an end mark, are encoded whole, as the library reads them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        slow, fast = self.ids, quick(json.loads(self.tokenizer.to_str()))
+        rules = json.loads(self.tokenizer.to_str())
+        added = sorted((t["content"] for t in rules.get("added_tokens", [])), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        slow, fast = self.ids, quick(rules)
         self.first, self.later = Chunks("", slow, fast), Chunks(" ", slow, fast)
 
     def ids(self, text: str) -> list[int]:
@@ -100,7 +103,7 @@ class Encoder:
         return np.array(self.ids(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _JOINED.search(text):
+        if _JOINED.search(text) or self.added.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
         for known in (self.first, self.later):
