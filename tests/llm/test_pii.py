@@ -62,3 +62,10 @@ def test_masking_keeps_rows_and_columns(spark):
     assert got.count() == docs.count()
     assert pii.detect(corpus.table(spark, [])).count() == 0
     assert got.filter(F.col("doc_id").isNull()).count() == 2
+
+
+def test_context_words_are_whole_words():
+    score = lambda text: pii.spans(text)[0][3]
+    assert score("discard 4111 1111 1111 1111") == score("4111 1111 1111 1111") < score("my card: 4111 1111 1111 1111")
+    assert score("a description 10.1.2.3") == score("10.1.2.3") < score("two servers, 10.1.2.3")
+    assert score("hotel +1 555 010 2030") < score("tel +1 555 010 2030")

@@ -15,10 +15,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "e-mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
@@ -34,6 +34,9 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
+#: Context words count as whole words, with a plural or verb ending at most.
+_WORDS = {kind: re.compile(rf"\b(?:{'|'.join(words)})(?:s|ed|ing)?\b", re.I) for kind, words in CONTEXT.items()}
+
 Span = tuple[int, int, str, float]
 
 
@@ -86,8 +89,8 @@ def spans(text: str) -> list[Span]:
     """(start, end, kind, score) by start, then kind; base kinds stay whatever their score."""
     found = []
     for a, b, kind in proposals(text):
-        near = (text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS]).lower()
-        score = min(1.0, SCORES[kind] + CONTEXT_GAIN * any(w in near for w in CONTEXT[kind]))
+        near = _WORDS[kind].search(text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS])
+        score = min(1.0, SCORES[kind] + CONTEXT_GAIN * bool(near))
         if kind in BASE_KINDS or score >= LEAST_SCORE:
             found.append((a, b, kind, score))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
