@@ -63,3 +63,21 @@ def test_no_rows(spark):
 def test_nulls_and_repeats_stay(spark):
     rows = corpus.texts()
     assert fingerprint.compared(corpus.table(spark, rows)).count() == len(rows)
+
+
+def test_unlike_texts_are_never_wholly_alike(spark):
+    line = "one two three four\n"
+    docs = spark.createDataFrame([(1, line), (2, line * 2), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.compared(docs).collect()}
+    assert got[2].fingerprint != got[1].fingerprint
+    assert 0 < got[2].near_next < 1
+    assert got[4].near_next == 1  # both are empty
+    pair = fingerprint.likeness(F.lit("x:a,"), F.lit("x:a,")), fingerprint.likeness(F.lit("x:a,"), F.lit("y:a,a,"))
+    assert [*docs.limit(1).select(*pair).first()] == [1.0, 0.5]
+
+
+def test_columns_stay_and_long_texts_are_whole(spark):
+    docs = spark.createDataFrame([(1, "word " * 50_000, 5)], "doc_id long, text string, _leaves int")
+    got = fingerprint.fingerprints(docs).first()
+    assert got._leaves == 5
+    assert got.fingerprint.count(",") == 12_500

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: A leaf: up to four words of a line with the white space around them. Leaves make up the whole text.
 LEAF = r"(?:[^\S\n]*+\S++[^\S\n]*+){1,4}\n?|[^\S\n]*+\n|[^\S\n]++"
-#: Rows of a run of neighbouring ids at least, runs at most, and runs that are small enough to broadcast.
-RUN_ROWS, RUNS, BROADCAST_RUNS = 1_000, 100_000, 200_000
+#: Rows of a run of neighbouring ids, about, and runs that are few enough to broadcast.
+RUN_ROWS, BROADCAST_RUNS = 250, 200_000
 
 
 def fingerprint(text: Column) -> Column:
@@ -41,10 +41,13 @@ def leaves_of(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the leaves in both over the leaves of each: 0 to 1; of two empty texts 1."""
+    """Twice the nodes in both over the nodes of each, where the distinct leaves and the root count: 0 to 1.
+
+    Unlike roots are never wholly alike, whatever leaves they share in whatever order; equal texts, empty ones too, are.
+    """
     x, y = leaves_of(a), leaves_of(b)
-    both, all_ = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
-    return F.when(all_ == 0, 1.0).otherwise(2.0 * both / all_)
+    both = F.size(F.array_intersect(x, y)) + (a == b).cast("int")
+    return 2.0 * both / (F.size(x) + F.size(y) + 2)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -56,8 +59,8 @@ def differing(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with ``fingerprint`` of the whole ``text``; null text counts as empty. All rows and columns stay."""
-    leaves = docs.drop("fingerprint").withColumn("_leaves", fingerprint(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return leaves.withColumn("fingerprint", rooted(F.col("_leaves"))).drop("_leaves")
+    leaves = docs.withColumn("fingerprint", fingerprint(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return leaves.withColumn("fingerprint", rooted(F.col("fingerprint")))
 
 
 def with_next(rows: DataFrame) -> DataFrame:
@@ -69,13 +72,12 @@ def with_next(rows: DataFrame) -> DataFrame:
     n, least, most = rows.agg(F.count("*"), F.min("key"), F.max("key")).first()
     if not n:
         return rows.withColumn("next", F.struct(*rows.columns))
-    limit = max(RUN_ROWS, n // RUNS)
-    shift = max(0, int(math.log2(max(1, (most - least + 1) / n * limit))))
+    shift = max(0, int(math.log2(max(1, (most - least + 1) / n * RUN_ROWS))))
     while True:
         run = F.expr(f"shiftright(key, {min(shift, 63)})")
         heads = rows.groupBy(run.alias("run")).agg(F.max("key").alias("head"), F.count("*").alias("n"))
         largest, count = heads.agg(F.max("n"), F.count("*")).first()
-        if largest <= 4 * limit or not shift:
+        if largest <= 4 * RUN_ROWS or not shift:
             break
         shift = max(0, shift - 4)
     if count > BROADCAST_RUNS:  # ids in many small runs: their heads are put in order alike
@@ -106,7 +108,8 @@ def compared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"),
+        # rows without an id stand below all others, spread over many runs
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)) + F.pmod(F.xxhash64(text), F.lit(2**40))).alias("key"),
         F.xxhash64(text).alias("tie"),
         text.alias("text"),
     )

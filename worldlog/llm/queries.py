@@ -95,8 +95,8 @@ marked AS (SELECT x, regexp_replace(array_to_string(list_transform(regexp_extrac
 prints AS MATERIALIZED (SELECT x, sha256(array_to_string(list_transform(string_split(m, '|'), lambda s: md5(array_to_string(list_transform(string_split(s, ';'), lambda p: md5(p)), ''))), '')) || ':' || m AS f,
   list_distinct(list_filter(regexp_split_to_array(m, '[,;|]'), lambda l: l <> '')) AS leaves, list_filter(regexp_split_to_array(m, '[;|]'), lambda l: l <> '') AS lines FROM marked)
 SELECT doc_id, CAST(length(texts.t) AS BIGINT) AS n_chars, sha256(texts.e) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
-  CASE WHEN len(a.leaves) + len(b.leaves) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END AS near_edited,
-  CASE WHEN len(a.leaves) + len(c.leaves) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves)) END AS near_next,
+  2.0::DOUBLE * (len(list_intersect(a.leaves, b.leaves)) + CAST(texts.t = texts.e AS INT)) / (len(a.leaves) + len(b.leaves) + 2) AS near_edited,
+  2.0::DOUBLE * (len(list_intersect(a.leaves, c.leaves)) + CAST(texts.t = texts.n AS INT)) / (len(a.leaves) + len(c.leaves) + 2) AS near_next,
   array_to_string(list_filter(list_transform(a.lines, lambda p, i: CASE WHEN list_contains(b.lines, p) THEN -1 ELSE i - 1 END), lambda i: i >= 0), ',') AS edited_paragraphs
 FROM texts JOIN prints a ON a.x = texts.t JOIN prints b ON b.x = texts.e JOIN prints c ON c.x = texts.n
 """
