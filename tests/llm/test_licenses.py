@@ -85,3 +85,10 @@ def test_genuine_headers(spark):
     docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert {i: got[i].licenses for i in got} == {i: want for i, (_, want) in enumerate(cases)}, got
+
+
+def test_both_readings_count(spark):
+    isc = "# Permission to use, copy, modify, and/or distribute this software for any purpose\n# with or without fee is hereby granted, provided that the above copyright notice and\n# this permission notice appear in all copies.\n"
+    assert found(spark, "Released under the MIT License\nby the authors of this work\n\n" + isc)[1] == "ISC,MIT"
+    assert found(spark, isc + "\n\nReleased under the MIT License\nby the authors\n")[0] == "grant-isc notice:MIT"
+    assert found(spark, "Released under the MIT License\n\nReleased under the MIT License\n")[0] == "notice:MIT notice:MIT"

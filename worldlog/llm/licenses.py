@@ -150,30 +150,42 @@ def catalogue() -> dict[str, str]:
     return known | {normal(part): id_ for part, id_ in PARTS.items()}
 
 
-def _ids(text: Column, table: Column, shortest: int, longest: int) -> Column:
+def _ids(text: Column, known: dict[str, str]) -> Column:
     for pattern, plain in PLAIN:
         text = F.regexp_replace(text, pattern, plain)
     sentences = F.transform(
         F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     )
-    likely = F.filter(sentences, lambda s: F.length(s).between(shortest, longest))
-    return F.filter(F.transform(likely, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    likely = F.filter(sentences, lambda s: s.isin(*known))  # a set: only hits are looked up in the map, which is searched
+    return F.transform(likely, lambda s: F.element_at(table, s))
+
+
+#: A line end within a paragraph goes, with the comment marks around it; a semicolon before it ends a sentence.
+WRAPPED = r"(?<![\s*#/-])[\s*#/-]*\n[ \t*#/;-]*"
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of known sentences, in the order of the text.
 
-    Sentences are looked for line by line, and in paragraphs whose lines are joined (comment marks at line ends and
-    beginnings go with them): of the two readings, that with more known sentences counts, else the first.
+    Paragraphs end at blank lines. Each is read line by line, and with its lines joined (comment marks at line ends and
+    beginnings go with them). Its sentences are those of the reading that has all that the other has; where either has
+    sentences of its own, those of the joined reading come after those of the lines. What both find counts once.
     """
     known = catalogue()
-    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-    bounds = min(map(len, known)), max(map(len, known))
     text = F.coalesce(text.cast("string"), F.lit(""))
-    by_line = _ids(text, table, *bounds)
-    # a line end goes unless a blank line follows; a semicolon before it ends a sentence
-    by_paragraph = _ids(F.regexp_replace(text, r"(?<!\n)[\s*#/-]*\n(?!\s*\n)[ \t*#/;-]*", " "), table, *bounds)
-    return F.when(F.size(by_paragraph) > F.size(by_line), by_paragraph).otherwise(by_line)
+    read = F.transform(
+        F.split(text, r"\n\s*\n"),
+        lambda p: F.struct(_ids(p, known).alias("lines"), _ids(F.regexp_replace(p, WRAPPED, " "), known).alias("joined")),
+    )
+    more = lambda x, y: F.array_except(x, y)
+    merged = F.transform(
+        read,
+        lambda r: F.when(F.size(more(r["lines"], r["joined"])) == 0, r["joined"])
+        .when(F.size(more(r["joined"], r["lines"])) == 0, r["lines"])
+        .otherwise(F.concat(r["lines"], more(r["joined"], r["lines"]))),
+    )
+    return F.flatten(merged)
 
 
 def scan(docs: DataFrame) -> DataFrame:
