@@ -18,8 +18,8 @@ from .words import Words, runs, slices
 WINDOW = 50
 #: Words of the m-mers of which a window's least hash is its minimiser.
 MER = 10
-#: Minimisers that more super-k-mers have are not sorted in one bucket: their windows are grouped by a 128-bit hash.
-HOT = 2_000
+#: Minimisers of more windows are not sorted in one bucket: their windows are grouped by a 128-bit hash, in many tasks.
+HOT = 40_000
 
 
 def least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -208,7 +208,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot:
     ).select("doc_id", "text_key", "s.*")
     shared = (
         each.groupBy("minimiser")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times"))
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("times"))
         .filter("least < most")
         .select("minimiser", (F.col("times") > hot).alias("hot"))
     )
