@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 from worldlog.llm import html, html_pages
 
@@ -45,3 +46,29 @@ def test_blocks_and_references(spark):
     assert got[2].text == got[3].text == ""
     assert len(got) == 5
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_deep_and_odd_pages_take_linear_time():
+    deep = "<div>" * 60_000 + "x"
+    cases = [deep, "<table>" + deep + "<tr></tr>" * 30_000, "<a '" * 100_000, "<p title=\"" * 60_000, "<svg>" * 60_000, "<b <b " * 60_000, "<!-- " * 60_000, '<p "' * 30_000 + ">", "</li></section>" * 40_000]
+    for source in cases:
+        began = time.perf_counter()
+        html.parse(source)
+        assert time.perf_counter() - began < 6, source[:20]
+
+
+def test_markup_that_is_cut_off():
+    text = lambda source: " ".join(x for _, x in html.parse(source).runs)
+    assert text("<p>a<!-- b > c") == "a"
+    assert text("<p>a<b title='x > y'>c</b> d") == "ac d"
+    assert text("<p>a > b <i>c</i") == "a > b c</i"
+    assert text("<li>a<ul><li>b</ul>c</li>d") == "a b c d"
+
+
+def test_repeated_and_long_pages(spark):
+    long_ = "<body><article>" + "".join(f"<p>Sentence number {i} of the article says a little.</p>" for i in range(5_000)) + "</article></body>"
+    pages = spark.createDataFrame([(1, "u", long_), (1, "u", long_)], "page_id long, url string, html string")
+    got = html.extract(pages).collect()
+    assert len(got) == 2
+    assert got[0] == got[1]
+    assert got[0].text.count("\n") == 4_999

@@ -44,7 +44,7 @@ TRAINING_PAGES, STEPS, RATE, RIDGE = 600, 300, 0.5, 1e-4
 
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>)",
+    r"(?P<rest>(?>[^<>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^<>\"']*+)*+)(?=>)|[^>]*+)>)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -75,6 +75,9 @@ def parse(source: str) -> Page:
     """The tree of block elements of a page, however broken its markup."""
     page, stack, text, link, at, skip = Page(), [0], [], 0, 0, ""
     nodes = page.nodes
+    depths: dict[str, list[int]] = {}  # where each tag stands in the stack
+    barred: list[int] = [0]  # and where tags do that stop a search
+    unended: set[str] = set()
 
     def flush() -> None:
         if text:
@@ -84,13 +87,15 @@ def parse(source: str) -> Page:
                 page.runs.append((stack[-1], said))
 
     def close(name: str, scopes: frozenset[str] | tuple = ()) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if nodes[stack[depth]].tag == name:
-                flush()
-                del stack[depth:]
-                return
-            if nodes[stack[depth]].tag in scopes:
-                return
+        depth = (depths.get(name) or [0])[-1]
+        if not depth or (scopes and depth < barred[-1]):
+            return
+        flush()
+        while len(stack) > depth:
+            tag = nodes[stack.pop()].tag
+            depths[tag].pop()
+            if tag in SCOPES:
+                barred.pop()
 
     def add(raw: str) -> None:
         if raw and not skip:
@@ -100,11 +105,13 @@ def parse(source: str) -> Page:
             nodes[stack[-1]].chars += n
             nodes[stack[-1]].linked += n if link else 0
 
-    for m in _TAG.finditer(source):
+    for m in _TAG.finditer(source, 0, source.rfind(">") + 1):  # no tag ends after the last bracket
         if m.start() < at:
             continue
         add(source[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):  # a comment that never ends
+            at = len(source)
         name = (m["name"] or "").lower()
         if not name:
             continue
@@ -122,7 +129,9 @@ def parse(source: str) -> Page:
             continue
         if name in UNREAD:
             nodes[stack[-1]].controls += name in ("textarea", "select", "button")
-            ending = re.compile(rf"</{name}\b", re.I).search(source, at)
+            ending = None if name in unended else re.compile(rf"</{name}\b", re.I).search(source, at)
+            if not ending:
+                unended.add(name)
             if name in ("script", "style", "title", "textarea", "noframes", "iframe"):  # raw text up to the end tag
                 at = ending.start() if ending else len(source)
             skip = name if ending else ""
@@ -145,6 +154,9 @@ def parse(source: str) -> Page:
             nodes.append(Node(name, stack[-1], cues, int(said[1]) if said else -1))
             if name not in VOID_BLOCKS:
                 stack.append(len(nodes) - 1)
+                depths.setdefault(name, []).append(len(stack) - 1)
+                if name in SCOPES:
+                    barred.append(len(stack) - 1)
             link = 0
     add(source[at:])
     flush()
