@@ -75,3 +75,21 @@ def test_filter_and_empty_tables(spark, case):
     assert decontam.contaminated(corpus.table(spark, []), bench).count() == 0
     assert decontam.contaminated(table, bench.limit(0)).count() == 0
     assert decontam.without_contaminated(table, bench.limit(0)).count() == table.count()
+
+
+def test_the_likest_window_may_lie_between_shared_shingles(spark):
+    """Two words inserted in the middle of an item, whose first and last shingles other items have too."""
+    item = [f"w{i}" for i in range(60)]
+    items = [(0, " ".join(item))] + [(i, " ".join([*item[:5], *[f"o{i}x{j}" for j in range(20)], *item[-5:]])) for i in range(1, 9)]
+    docs = [(1, " ".join([*[f"a{i}" for i in range(3)], *item[:30], "new", "words", *item[30:], *[f"z{i}" for i in range(9)]]))]
+    got = decontam.contaminated(corpus.table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)[(1, 0)]
+    assert [(r.item_id, r.similarity, r.start) for r in got] == [(0, want[0], want[1])]
+
+
+def test_long_texts_and_more_columns_of_the_benchmark(spark):
+    draw = random.Random(3)
+    words = [f"v{draw.randrange(5000)}" for _ in range(40_000)]
+    bench = spark.createDataFrame([(1, " ".join(words[20_000:20_030]), "x", 1)], "item_id long, text string, key string, n int")
+    got = decontam.contaminated(corpus.table(spark, [(1, " ".join(words))]), bench).collect()
+    assert [(r.item_id, r.start, r.similarity) for r in got] == [(1, 20_000, 1.0)]

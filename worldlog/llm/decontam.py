@@ -1,8 +1,10 @@
 """Operator 8, benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
 SQL functions alone. A window can be like an item only if the two share a shingle. So windows are taken where a document
-has a shingle of an item: as long as the item, and placed so that the shared shingles coincide. All other windows have
-similarity 0. Words are lower-case runs of letters and digits.
+has a shingle of an item: as long as the item, placed so that the shared shingles coincide, and everywhere between two such
+places. If all shingles that a window shares coincide to its right, its first word is in none of them: one step to the right
+loses nothing, and so to the left. The likest window therefore lies at such a place or between two of them, and these are
+no farther apart than the threshold lets windows of the item's length be (``gap``). Words are lower-case runs of letters and digits.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def _of_size(texts: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
     # where an item of n words has a shingle
     spots = items.select("n", F.posexplode(shingles(k)).alias("at", "s")).distinct()
     hint = F.broadcast if spots.count() <= BROADCAST_SHINGLES else (lambda x: x)
-    windows = written(_windows(texts, hint(spots), k), "windows")
+    windows = written(_windows(texts, hint(spots), k, least, unseen), "windows")
     # windows of one text need one fingerprint, however many documents have it
     said = windows.groupBy("n", "wid").agg(F.min("said").alias("said")).withColumn("w", F.split("said", " "))
     hashed = written(said.select("n", "wid", F.array_distinct(shingles(k)).alias("h")), "hashed")
@@ -131,11 +133,15 @@ def _of_size(texts: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
     )
 
 
-def _windows(texts: DataFrame, spots: DataFrame, k: int) -> DataFrame:
+def _windows(texts: DataFrame, spots: DataFrame, k: int, least: float, most_weight: float) -> DataFrame:
     """doc_id, n, start, said, wid (its hash): the windows of ``texts`` (doc_id, key, w) at shingles of ``spots``.
 
     The shingles meet the items' without the words; of documents that have none of them, the words do not move at all.
+    Places g words apart leave g of the window's n - k + 1 shingles that the item has not. They weigh 1 at least, what is
+    shared ``most_weight`` at most, and may be (1 - least) / least of what is shared.
     """
+    x = (1 - least) / least * most_weight
+    gap = F.expr(f"cast(floor((n - {k - 1}) * {x / (1 + x)}) as int)")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
     hits = (
         texts.select("doc_id", "key", F.size("w").alias("size"), F.posexplode(shingles(k)).alias("pos", "s"))
@@ -144,7 +150,10 @@ def _windows(texts: DataFrame, spots: DataFrame, k: int) -> DataFrame:
         .distinct()
     )
     hits = written(hits, "hits")
-    places = hits.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(
+    some = hits.groupBy("doc_id", "key", "n").agg(F.array_sort(F.collect_list("start")).alias("at")).withColumn("gap", gap)
+    filled = "transform(at, (x, i) -> if(get(at, i + 1) - x <= gap, sequence(x, at[i + 1] - 1), array(x)))"
+    every = some.select("doc_id", "key", "n", F.explode(F.flatten(F.expr(filled))).alias("start"))
+    places = every.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(
         F.collect_list(F.struct("n", "start")).alias("places")
     )
     found = texts.join(places, texts.doc_id.eqNullSafe(F.col("of")) & (texts.key == F.col("of_key")))
