@@ -13,6 +13,8 @@ from .store import fresh_path, written
 
 #: End-of-document id and tokens in a block of the scan.
 END_ID, BLOCK = 2, 1 << 20
+#: Documents in a file that is written here, so that files stay small: a file is scanned in one task.
+FILE_DOCS = 50_000
 
 
 def default_tokenizer() -> str:
@@ -25,7 +27,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
     """Flat files of little-endian 16-bit ids, each document's followed by id 2, one file for each partition.
 
     The vocabulary has fewer than 65,536 ids and text never gives id 2. A null text is an empty document. Files are
-    written by Spark, to any store it writes; their line separator is the end id.
+    written by Spark, to any store it writes; their line separator is the end id. Repeated rows are written each for
+    itself, more columns are left alone, no rows give files without ids.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +42,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["value"])
 
     ids = docs.select(F.col("text").cast("string")).mapInArrow(encode, "value binary")
-    ids.select(F.col("value").cast("string")).write.option("lineSep", chr(END_ID) + "\0").text(path)
+    ids.select(F.col("value").cast("string")).write.option("lineSep", chr(END_ID) + "\0").option("maxRecordsPerFile", FILE_DOCS).text(path)
 
 
 def blocks_of(spark: SparkSession, path: str, end_id: int, width: int, block: int) -> DataFrame:
@@ -114,7 +117,11 @@ def count_tokens(
 
 
 def corpus_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The counts of ``docs`` (text) by way of token files in the shared folder."""
+    """The counts of ``docs`` (text) by way of token files in the shared folder.
+
+    Null and empty texts are documents of no tokens; repeated rows count each for itself; more columns are left alone; no
+    rows give no rows. Documents are told by file and ordinal: flat files hold no ids.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_token_files(docs, path, tokenizer)
