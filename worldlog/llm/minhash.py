@@ -17,6 +17,8 @@ from .words import Words, mix, runs, slices
 BANDS, ROWS = 40, 6
 #: Members of a group whose majority makes its core. The core changes how much is compared, never what is found.
 CORE_ROWS = 9
+#: Pairs whose texts a task holds as copies of its own at a time.
+PAIRS = 500
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -109,12 +111,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for (x, _), (y, _) in zip(shingle_sets(batch.column(2), shingle), shingle_sets(batch.column(3), shingle), strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS):
+                batch, keep = whole.slice(at, PAIRS), []
+                for (x, _), (y, _) in zip(shingle_sets(batch.column(2), shingle), shingle_sets(batch.column(3), shingle), strict=True):
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+                yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     with_a = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     with_both = with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +25,8 @@ RIDGE, STEPS, RATE = 3e-4, 400, 0.05
 #: The chance of a grade over 0 from which a text counts as toxic is chosen on labelled rows, each judged by a fit that has
 #: not seen its fold; without labels of both kinds it is even. At most such a share of clean rows may count as toxic.
 FOLDS, EVEN, LOST = 5, 0.5, 0.005
-CACHE = 500_000
+#: Words whose scores a task keeps, and rows whose features it holds at a time.
+CACHE, ROWS = 150_000, 100
 
 _WORD = re.compile(r"\w+")
 
@@ -144,10 +144,12 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[f for w in sorted(words(x.as_py())) for f in word_features(w)] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "toxic", "f"]
-            )
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                found = [[f for w in sorted(words(x.as_py())) for f in word_features(w)] for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "toxic", "f"]
+                )
 
     seen = written(texts.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, f array<long>"), "features")
     total, share = seen.agg(F.count("*"), F.avg(F.col("toxic").cast("double"))).first()
@@ -252,10 +254,12 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     Texts are judged as in ``severity``: null and empty ones stay unless the limit takes a text without any feature.
     """
 
-    @F.pandas_udf("boolean")
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    place = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model)
-        for some in texts:
-            yield pd.Series([not judge(x)[2] for x in some], dtype=bool)
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string())
+            yield batch.filter(pa.array([not judge(x.as_py())[2] for x in texts], pa.bool_()))
 
-    return docs.filter(clean(F.col("text").cast("string")))
+    return docs.mapInArrow(clean, docs.schema)
