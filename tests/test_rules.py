@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worldlog.functions import scalar
-from worldlog.operators import access, evidence, graph, log, versions
+from worldlog.operators import access, evidence, graph, log, versions, views
 from worldlog.plans import state
 from worldlog.sources import feeds
 from worldlog.streaming import live
@@ -194,3 +194,50 @@ def test_ingest_records_repeats_once(spark):
     apply(spark.createDataFrame([(4, "b"), (5, "c")], schema), 1)  # run again after a loss
     got = sorted((r.seq, r.duplicate) for r in spark.read.parquet(path).collect())
     assert got == [(1, False), (2, True), (3, False), (4, True), (5, False)]
+
+
+def test_nobody_sees_a_sealed_row(spark):
+    schema = "pair string, ord int, owning_authority string, compartments array<string>, releasability array<string>, min_role string"
+    rows = [(f"{i}/{j}", k, *MARKS[x]) for i in range(len(MARKS)) for j in range(len(MARKS)) for k, x in enumerate((i, j))]
+    joined = access.joined_markings(spark.createDataFrame(rows, schema), "pair").filter("sealed").persist()
+    assert joined.count() > 5
+    for owner in ("A", "B", ""):
+        everything = access.Context(owner, ("C", "D"), ("X", "Y"), "SUPERVISOR")
+        assert joined.filter(access.can_view(everything)).count() == 0
+    with pytest.raises(ValueError, match="sealed"):
+        access.Context("A", (access.SEALED_COMPARTMENT,))
+
+
+def test_redaction_of_short_forms_and_texts_without_ids(spark):
+    long_, other = "doc-" + "a1b2c3d4e5f60718293a4b5c", "doc-" + "a1b2c3d4e5f6ffffffffffff"
+    rows = [(1, f"see {long_}, {long_[:24]}@v3 and {long_[:18]}."), (2, "nothing here"), (3, f"{long_[:16]} is not one id's alone"), (4, "doc-7 doc-8"), (5, "")]
+    hidden = spark.createDataFrame([(long_,), (other,), ("doc-7",), ("doc-7",)], "id string")
+    got = {r.k: r.t for r in views.redacted(spark.createDataFrame(rows, "k int, t string"), "k", "t", hidden).collect()}
+    assert got == {1: "see REDACTED, REDACTED and REDACTED.", 2: "nothing here", 3: f"{long_[:16]} is not one id's alone", 4: "REDACTED doc-8", 5: ""}
+
+
+def test_key_status_at_equal_times(spark):
+    keys = spark.createDataFrame([("k", 5, 1, "VALID"), ("k", 5, 2, "REVOKED"), ("k", 9, 3, "VALID")], "key_id string, status_time int, seq int, status string")
+    uses = spark.createDataFrame([(1, "k", 4), (2, "k", 5), (3, "k", 9), (4, "z", 9)], "use_id int, key_id string, at int")
+    assert {r.use_id: r.status for r in views.key_status(uses, keys).collect()} == {2: "REVOKED", 3: "VALID"}
+
+
+def test_json_leaves_of_any_depth(spark):
+    deep = "x"
+    for _ in range(40):
+        deep = f'{{"k":[{deep}]}}' if deep != "x" else '{"z":1.50,"a":null}'
+    rows = spark.createDataFrame([(1, deep), (2, "torn{"), (3, "[true,{}]"), (4, None)], "id long, body string")
+    got = [(r.id, r.path, r.value) for r in feeds.json_fields(rows, "id", "body").collect()]
+    stem = "$" + ".k[0]" * 39
+    assert sorted(got) == [(1, f"{stem}.a", ""), (1, f"{stem}.z", "1.50"), (3, "$[0]", "true")]
+
+
+def test_a_broken_table_of_seen_keys_is_no_first_batch(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/seen"
+    spark.createDataFrame([(1,)], "other long").write.parquet(path)
+    with pytest.raises(Exception, match="batch_id"):
+        live.ingest_batch(path, ["key"])(spark.createDataFrame([(1, "a")], "seq long, key string"), 0)
+
+
+def test_folding_decomposes(spark):
+    assert value(spark, views.folded(F.lit("Őşžé ﬀ ß ø Ǻ é"))) == "Osze ﬀ ss ø A e"

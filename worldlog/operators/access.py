@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 ROLES = ("OBSERVER", "ANALYST", "SUPERVISOR")
 SEAL = "SEALED_UNJOINABLE_MARKINGS"
+#: A compartment that no reader can hold: what carries it is denied to all.
+SEALED_COMPARTMENT = "worldlog:unjoinable-seal"
 
 
 @dataclass(frozen=True)
@@ -21,6 +23,10 @@ class Context:
     releasability: tuple[str, ...] = ()
     role: str = "OBSERVER"
 
+    def __post_init__(self) -> None:
+        if SEALED_COMPARTMENT in self.compartments:
+            raise ValueError("no reader can hold the compartment of sealed rows")
+
 
 def rank(role: Column) -> Column:
     """0, 1, ... of a known role; null of others."""
@@ -49,7 +55,8 @@ def joined_markings(rows: DataFrame, *keys: str) -> DataFrame:
     """The marking that a row derived from each group must carry, and whether it had to be sealed.
 
     Compartments unite, releasability intersects (a marking without any makes it empty), the highest role counts, the
-    owner is the first one's by ``ord``. A join that would lock what was released, or that spans owners, is sealed.
+    owner is the first one's by ``ord``. A join that would lock what was released, or that spans owners, is sealed: it
+    also carries a compartment that nobody holds, and says so in ``caveats``.
     One grouping with map-side partials: the intersection is that of values that all of the group's rows have.
     """
     n_rows = rows.groupBy(*keys).agg(
@@ -65,8 +72,9 @@ def joined_markings(rows: DataFrame, *keys: str) -> DataFrame:
     return n_rows.withColumn("_shared", shared).withColumn("sealed", unsafe).select(
         *keys,
         "owning_authority",
-        "compartments",
+        F.when(F.col("sealed"), F.array_sort(F.array_append("compartments", F.lit(SEALED_COMPARTMENT)))).otherwise(F.col("compartments")).alias("compartments"),
         F.when(F.col("sealed"), F.array().cast("array<string>")).otherwise(F.col("_shared")).alias("releasability"),
         F.when(F.col("sealed"), ROLES[-1]).otherwise(F.get(F.array(*map(F.lit, ROLES)), F.col("_rank").cast("int"))).alias("min_role"),
         "sealed",
+        F.when(F.col("sealed"), SEAL).otherwise("").alias("caveats"),
     )

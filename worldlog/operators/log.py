@@ -106,7 +106,7 @@ def snapshot_diff(prior: DataFrame, now: DataFrame, key: str, digest: str) -> Da
 
 
 def delta_verdict(base: DataFrame, bundle: DataFrame) -> DataFrame:
-    """verdict, n: how a delta's events (seq, entry_hash) meet a store: DUPLICATE, DIVERGED, APPLIED or MISSING_BASE."""
+    """verdict, n: how a delta's events (seq, entry_hash) meet a store: DUPLICATE, DIVERGED, NEW or MISSING_BASE."""
     head = base.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("head"))
     met = bundle.alias("d").join(base.select(F.col("seq"), F.col("entry_hash").alias("own")), "seq", "left").join(F.broadcast(head))
     verdict = (

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a response status means, and letters that fold to others.
+from worldlog.functions import scalar
+
+# What a response status means, and how Cyrillic letters are written in Latin ones.
 STATUS_CLASS = {401: "ACCESS_RESTRICTED", 402: "ACCESS_RESTRICTED", 403: "ACCESS_RESTRICTED", 407: "ACCESS_RESTRICTED", 451: "ACCESS_RESTRICTED"}
-FOLDED = ("ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ", "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy")
 CYRILLIC = ("абвгдезийклмнопрстуфыэ", "abvgdeziyklmnoprstufye")
 CYRILLIC_LONG = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya", "ё": "yo", "ъ": "", "ь": ""}
 AUTHORITY = ("OBSERVED", "DERIVED", "INFERRED", "ASSUMED")
@@ -48,7 +50,7 @@ def resolved(refs: DataFrame, records: DataFrame) -> DataFrame:
     """
     pin = F.nullif(F.regexp_extract("ref", r"@v(\d+)$", 1), F.lit("")).cast("long")
     bare = F.regexp_replace("ref", r"@v\d+$", "")
-    asked = refs.select("ref", F.split_part(bare, F.lit(":"), F.lit(1)).alias("_kind"), F.split_part(bare, F.lit(":"), F.lit(2)).alias("id"), pin.alias("_pin"))
+    asked = refs.select("ref", F.split_part(bare, F.lit(":"), F.lit(1)).alias("_kind"), F.regexp_replace(bare, "^[^:]*:", "").alias("id"), pin.alias("_pin"))
     fits = ((F.col("_kind") == "*") | (F.col("_kind") == F.col("kind"))) & (F.col("_pin").isNull() | (F.col("_pin") == F.col("version")))
     met = asked.join(records.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & fits, "left")
     return met.groupBy("ref").agg(F.max_by(F.struct("kind", "version"), F.struct("version", "kind")).alias("_r")).select("ref", "_r.kind", "_r.version")
@@ -66,9 +68,17 @@ def weakest_authority(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by("authority", rank).alias("authority"))
 
 
+@cache
+def _marks() -> tuple[str, str]:
+    """Latin letters that decompose to a letter and marks, the letters without them, and the marks (which go)."""
+    bare = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    found = {c: b for c, b in bare.items() if b != c}
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
 def folded(text: Column) -> Column:
-    """Latin letters without their marks."""
-    return F.replace(F.translate(text, *FOLDED), F.lit("ß"), F.lit("ss"))
+    """Latin letters without their marks, by canonical decomposition."""
+    return F.replace(F.translate(text, *_marks()), F.lit("ß"), F.lit("ss"))
 
 
 def cyrillic_to_latin(text: Column) -> Column:
@@ -76,26 +86,38 @@ def cyrillic_to_latin(text: Column) -> Column:
     return F.translate(lower, *CYRILLIC)
 
 
-def admission(actions: DataFrame, keys: DataFrame, now: int, skew: int = 300) -> DataFrame:
-    """actions with ``code``, the first refusal in a fixed order, null if admitted.
+def key_status(uses: DataFrame, keys: DataFrame) -> DataFrame:
+    """use_id, status of the key of each use (use_id, key_id, at): its last one by status_time at that time, then by seq."""
+    states = keys.withColumnRenamed("key_id", "_key")
+    ruled = uses.join(states, (uses.key_id == states["_key"]) & (states.status_time <= uses["at"]))
+    return ruled.groupBy("use_id").agg(F.max_by("status", F.struct("status_time", "seq")).alias("status"))
 
-    actions: action_id, actor, key_id, nonce, at, digest, said_digest; keys: key_id, owner, status_time, status. A key
-    counts as what its last status at the action's time says; a nonce is good once, for its first use.
+
+def admission(actions: DataFrame, sessions: DataFrame, keys: DataFrame, expected: dict[str, object], now: int, skew: int = 300) -> DataFrame:
+    """action_id and ``code``, the first refusal in a fixed order: session, actor, mission, target, nonce, version, clock,
+    signature, key; null if admitted.
+
+    actions: action_id, session_id, actor, mission_id, target, nonce, version, at, digest, said_digest; sessions:
+    session_id, actor, key_id; keys: key_id, status_time, seq, status. ``expected``: the mission_id, target and version
+    that hold. A nonce is good once, for its first use; a key counts as what it was when the action was signed.
     """
-    states = keys.withColumnRenamed("key_id", "_key")
-    ruled = actions.join(states, (actions.key_id == states["_key"]) & (states.status_time <= actions["at"]), "left")
-    last = ruled.groupBy("action_id").agg(F.max_by("status", "status_time").alias("_status"), F.max_by("owner", "status_time").alias("_owner"))
-    first = actions.groupBy("nonce").agg(F.min("action_id").alias("_first"))
-    known = keys.select("key_id").distinct().withColumn("_known", F.lit(True))
-    met = actions.join(last, "action_id").join(first, "nonce").join(known, "key_id", "left")
+    known = sessions.select("session_id", F.col("actor").alias("_actor"), F.col("key_id").alias("_key"))
+    first = actions.filter("nonce IS NOT NULL").groupBy("nonce").agg(F.min("action_id").alias("_first"))
+    met = actions.join(known, "session_id", "left").join(first, "nonce", "left")
+    status = key_status(met.select(F.col("action_id").alias("use_id"), F.col("_key").alias("key_id"), "at"), keys)
+    held = keys.select(F.col("key_id").alias("_held")).distinct()
+    met = met.join(held, F.col("_key") == F.col("_held"), "left").join(status.withColumnRenamed("use_id", "action_id"), "action_id", "left")
+    differs = lambda c, value: ~F.coalesce(F.col(c) == value, F.lit(False))
     code = first_code(
-        (F.col("_known").isNull(), "UNKNOWN_KEY"),
-        (F.col("_status").isNull(), "KEY_NOT_YET_VALID"),
-        (F.col("_status") == "REVOKED", "KEY_REVOKED"),
-        (F.col("_owner") != F.col("actor"), "WRONG_ACTOR"),
-        (F.abs(F.col("at") - now) > skew, "CLOCK_SKEW"),
-        (F.col("digest") != F.col("said_digest"), "DIGEST_MISMATCH"),
-        (F.col("action_id") != F.col("_first"), "NONCE_USED"),
+        (F.col("_key").isNull(), "EXPIRED_SESSION"),
+        (differs("actor", F.col("_actor")), "WRONG_ACTOR"),
+        (differs("mission_id", F.lit(expected["mission_id"])), "WRONG_MISSION"),
+        (differs("target", F.lit(expected["target"])), "WRONG_TARGET"),
+        (differs("_first", F.col("action_id")), "REPLAYED_NONCE"),
+        (differs("version", F.lit(expected["version"])), "STALE_VERSION"),
+        (~F.coalesce(F.abs(F.col("at") - now) <= skew, F.lit(False)), "CLOCK_SKEW"),
+        (F.col("_held").isNull() | differs("said_digest", F.col("digest")), "INVALID_SIGNATURE"),
+        (differs("status", F.lit("VALID")), "KEY_NOT_VALID"),
     )
     return met.select("action_id", code.alias("code"))
 
@@ -107,24 +129,41 @@ def route_exposure(routes: DataFrame, findings: DataFrame) -> DataFrame:
     return routes.join(counts, "route", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+#: What the fingerprint of an edge binds, in order.
+EDGE_FIELDS = ("from_kind", "from_id", "to_kind", "to_id", "edge_kind", "effect_order", "authority", "basis_ids", "assumption_ids", "note")
+
+
 def edge_chain(edges: Column) -> Column:
-    """A fingerprint of a path: the hashes of its edges in order."""
-    return F.array_join(F.transform(edges, lambda e: F.substring(F.sha2(e, 256), 1, 12)), ">")
+    """A fingerprint of a path (array of structs of ``EDGE_FIELDS``): those of its edges in order."""
+
+    def one(edge: Column) -> Column:
+        parts = [edge[f] for f in EDGE_FIELDS]
+        parts[7], parts[8], parts[9] = F.array_join(parts[7], ","), F.array_join(parts[8], ","), F.substring(parts[9], 1, 300)
+        return scalar.digest_id("edgefp", *parts)
+
+    return F.array_join(F.transform(edges, one), ">")
+
+
+TOKEN = r"\b[a-z]+-[0-9a-f]+(?:@v\d+)?\b"
+#: Ids are also known by their first so many characters, where those are one id's alone.
+SHORT_FORMS = (24, 18, 16)
 
 
 def redacted(rows: DataFrame, key: str, text: str, hidden: DataFrame) -> DataFrame:
-    """key and text with every hidden id (and its ``@vN``) replaced by REDACTED.
+    """key and text with every hidden id, its ``@vN`` and its unique short forms replaced by REDACTED.
 
-    Texts are cut at id-shaped tokens, the tokens meet the hidden ids in a join, and each text is put together again:
-    the ids may be as many as the texts.
+    Only the id-shaped tokens of texts meet the hidden ids, in a join, since these may be as many as the texts; each text
+    is then put together from its parts. ``key`` is unique.
     """
-    token = r"[a-z]+-\d+(?:@v\d+)?"
-    cut = rows.select(key, F.posexplode(F.split(F.regexp_replace(text, rf"\b({token})\b", "\u0001$1\u0001"), "\u0001")).alias("pos", "part"))
-    bare = F.regexp_replace("part", r"@v\d+$", "")
-    met = cut.withColumn("_id", F.when(F.col("pos") % 2 == 1, bare)).join(hidden.select(F.col("id").alias("_id"), F.lit(True).alias("_hide")), "_id", "left")
-    said = F.when(F.col("_hide"), "REDACTED").otherwise(F.col("part"))
-    parts = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("p"))
-    return parts.select(key, F.array_join("p.said", "").alias(text))
+    ids = hidden.select("id").distinct()
+    short = [ids.filter(F.length("id") > n).groupBy(F.substring("id", 1, n).alias("id")).agg(F.count("*").alias("n")).filter("n = 1").select("id") for n in SHORT_FORMS]
+    known = reduce(DataFrame.union, short, ids).distinct()
+    cut = rows.select(key, F.split(text, TOKEN).alias("_parts"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("_tokens"))
+    asked = cut.select(key, F.posexplode("_tokens").alias("_at", "_token")).withColumn("id", F.regexp_replace("_token", r"@v\d+$", ""))
+    met = asked.join(known, "id", "left_semi").groupBy(key).agg(F.collect_set("_at").alias("_hide"))
+    token = lambda i: F.when(F.array_contains("_hide", i), "REDACTED").otherwise(F.coalesce(F.get("_tokens", i), F.lit("")))
+    whole = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, token(i))), "")
+    return cut.join(met, key, "left").select(key, whole.alias(text))
 
 
 TRANSFORMS = {

@@ -59,14 +59,16 @@ def a09_dependence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and conversation turns as searches of the document that they name; most documents have none."""
     names = F.array(*map(F.lit, ("EXECUTED_WITH_RESULTS", "EXECUTED_EMPTY", "ACCESS_RESTRICTED", "SOURCE_FAILED", "POLICY_REFUSED", "OTHER")))
-    which = F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 2).otherwise((F.col("l_suppkey") + F.col("l_linenumber")) % 6)
-    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey % 5 <> 0 AND l_quantity > 45")
-    return lines.select(F.col("l_suppkey").alias("source_id"), F.get(names, which.cast("int")).alias("outcome"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 3 == 0, F.col("quality")).otherwise((F.col("doc_id") + F.col("toxic")) % 6).alias("which"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_id"), ((F.col("conv_id") + F.col("turn")) % 4).alias("which"))
+    return labels.union(turns).select("source_id", F.get(names, F.col("which").cast("int")).alias("outcome"))
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("family"), (F.col("s_suppkey") % 7 != 0).alias("has_profile"))
+    family = F.concat_ws("/", "source", "lang")
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), family.alias("family"), (F.col("doc_id") % 7 != 0).alias("has_profile"))
     return evidence.coverage(sources, _executions(spark, sf_dir))
 
 
@@ -115,11 +117,13 @@ def j03_visible_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j04_visible_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts all of whose buyers the reader may see: a hidden buyer hides the part; no list of buyers is collected."""
+    """Supplies (a part from a supplier) all of whose buyers the reader may see: a hidden buyer hides the supply; no list
+    of buyers is collected."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    buyers = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("l_partkey", F.col("o_custkey").alias("object_id")).distinct()
-    hidden = buyers.join(_seen(spark, sf_dir), "object_id", "left_anti").select("l_partkey").distinct()
-    return buyers.select("l_partkey").distinct().join(hidden, "l_partkey", "left_anti")
+    supply = ["l_partkey", "l_suppkey"]
+    buyers = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(*supply, F.col("o_custkey").alias("object_id")).distinct()
+    hidden = buyers.join(_seen(spark, sf_dir), "object_id", "left_anti").select(*supply).distinct()
+    return buyers.select(*supply).distinct().join(hidden, supply, "left_anti")
 
 
 def j05_unprocessed_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +183,7 @@ def j14_shared_identifier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j15_association_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's version against the next one, as if they were two objects."""
-    rows = roles.objects(spark, sf_dir).filter("object_id % 3 <> 0")
+    rows = roles.objects(spark, sf_dir)
     side = lambda p, shift: rows.select(
         "object_id", (F.col("version") + shift).alias("version"), F.when(F.col("seq") % 4 > 0, "A").otherwise("B").alias(f"{p}_type"),
         F.when(F.col("seq") % 3 == 0, F.col("object_id")).alias(f"{p}_ref"), F.col("valid_from").alias(f"{p}_time"),
@@ -230,23 +234,25 @@ def g01_timeline_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.filter("day IS NOT NULL").groupBy("day", "kind").agg(F.count("*").alias("n"))
 
 
-def _sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.07")
-    return lines.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000_000).alias("dst"))
+def _same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one text are the same, and so are those of one source, language and length: stars on the least one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"), F.concat_ws("/", "source", "lang", "n_chars").alias("shape"))
+    star = lambda key: docs.join(docs.groupBy(key).agg(F.min("doc_id").alias("dst")), key).select(F.col("doc_id").alias("src"), "dst")
+    return star("digest").union(star("shape"))
 
 
 def g05_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_sparse_edges(spark, sf_dir))
+    return graph.components(_same_as(spark, sf_dir))
 
 
 def g06_theme_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of at least three nodes: how many nodes each has."""
-    sizes = graph.components(_sparse_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n"))
+    """Components of at least three claims (documents): how many each has."""
+    sizes = graph.components(_same_as(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n"))
     return sizes.filter("n >= 3")
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = roles.relations(spark, sf_dir).filter("n_lines >= 2")
+    rows = roles.relations(spark, sf_dir)
     return rows.select(F.concat(F.lit("c"), F.col("source_id")).alias("src"), F.concat(F.lit("s"), F.col("target_id")).alias("dst"))
 
 
@@ -266,12 +272,12 @@ def _rests_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g09_transitive_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dependents(_rests_on(spark, sf_dir), spark.createDataFrame([(1,), (2,), (3,), (5,)], "node long"))
+    return graph.dependents(_rests_on(spark, sf_dir), spark.range(1, 64).withColumnRenamed("id", "node"))
 
 
 def g11_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line, order, customer, nation, region; what the reader may not see is a REDACTED hop that does not end the way."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     seen = _seen(spark, sf_dir).withColumn("visible", F.lit(True))
@@ -322,21 +328,21 @@ _CLAIMS = """, claims AS (SELECT lang, source AS source_id, doc_id AS observatio
 _BASIS = """SELECT observation_id % {} AS bucket, count(DISTINCT observation_id) AS n_observations, count(DISTINCT source_id) AS n_sources, count(DISTINCT lang) AS n_languages,
   count(*) FILTER (WHERE degraded) AS n_degraded, min(state_time) AS first_time, max(state_time) AS last_time FROM claims GROUP BY 1"""
 _CLAIMS = "WITH" + _CLAIMS[1:]
-_COVERAGE = """WITH e AS (SELECT l_suppkey AS source_id, ['EXECUTED_WITH_RESULTS', 'EXECUTED_EMPTY', 'ACCESS_RESTRICTED', 'SOURCE_FAILED', 'POLICY_REFUSED', 'OTHER'][
-    CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 2 ELSE (l_suppkey + l_linenumber) % 6 END + 1] AS outcome FROM lineitem WHERE l_suppkey % 5 <> 0 AND l_quantity > 45),
+_COVERAGE = """WITH w AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 3 = 0 THEN quality ELSE (doc_id + toxic) % 6 END AS i FROM labels UNION ALL SELECT conv_id, (conv_id + turn) % 4 FROM conversations),
+  e AS (SELECT source_id, ['EXECUTED_WITH_RESULTS', 'EXECUTED_EMPTY', 'ACCESS_RESTRICTED', 'SOURCE_FAILED', 'POLICY_REFUSED', 'OTHER'][i + 1] AS outcome FROM w),
   f AS (SELECT source_id, bool_or(outcome LIKE 'EXECUTED%') AS x, bool_or(outcome IN ('ACCESS_RESTRICTED', 'POLICY_REFUSED')) AS r, bool_or(outcome = 'SOURCE_FAILED') AS d FROM e GROUP BY 1),
-  coverage AS (SELECT s_suppkey AS source_id, s_nationkey AS family, CASE WHEN x IS NULL THEN CASE WHEN s_suppkey % 7 <> 0 THEN 'NOT_SEARCHED' ELSE 'UNKNOWN' END
+  coverage AS (SELECT doc_id AS source_id, documents.source || '/' || lang AS family, CASE WHEN x IS NULL THEN CASE WHEN doc_id % 7 <> 0 THEN 'NOT_SEARCHED' ELSE 'UNKNOWN' END
     WHEN x AND NOT d AND NOT r THEN 'COVERED' WHEN x THEN 'PARTIALLY_COVERED' WHEN r AND NOT d THEN 'ACCESS_RESTRICTED' WHEN d THEN 'SOURCE_FAILED' ELSE 'UNKNOWN' END AS state
-    FROM supplier LEFT JOIN f ON s_suppkey = source_id) """
+    FROM documents LEFT JOIN f ON doc_id = source_id) """
 _FORECASTS = ", f AS (SELECT *, power(probability - outcome::INT, 2) AS b, -ln(CASE WHEN outcome THEN probability ELSE 1 - probability END) AS s, CASE WHEN days <= 7 THEN 'SHORT' WHEN days <= 90 THEN 'MEDIUM' ELSE 'LONG' END AS band FROM forecasts)"
 _BUCKETS = ", b AS (SELECT least(CAST(floor(probability * 10) AS INT), 9) AS bucket, count(*) AS n, avg(probability) AS p, avg(outcome::INT) AS r FROM forecasts GROUP BY 1)"
 _POINTS = "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 180 AS lon, embedding[2]::DOUBLE * 90 AS lat FROM embeddings) "
 _HAVERSINE = "2 * 6371008.8 * asin(sqrt(least(1, power(sin(radians({2}.lat - {1}.lat) / 2), 2) + cos(radians({1}.lat)) * cos(radians({2}.lat)) * power(sin(radians({2}.lon - {1}.lon) / 2), 2))))"
 _DIST = lambda a, b: _HAVERSINE.replace("{1}", a).replace("{2}", b)
-_TRADE = ", e AS (SELECT 'c' || source_id AS a, 's' || target_id AS b FROM relations WHERE n_lines >= 2), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+_TRADE = ", e AS (SELECT 'c' || source_id AS a, 's' || target_id AS b FROM relations), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 _KINDS = "['RELATION', 'EVENT', 'ENTITY_ATTRIBUTE', 'ROLE_SIGNAL', 'MEASURE'][object_id % 5 + 1]"
-_SPARSE = "SELECT l_orderkey AS a, l_partkey + 10000000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.07"
-_COMPONENTS = f"""WITH RECURSIVE e AS ({_SPARSE}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+_SAME_AS = "SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang, n_chars) FROM documents"
+_COMPONENTS = f"""WITH RECURSIVE e AS ({_SAME_AS}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a), c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1) """
 
 
@@ -354,7 +360,7 @@ SQL = {
     "j02_claim_standing": "SELECT doc_id AS claim_id, CASE WHEN toxic = 1 THEN 'WITHDRAWN' WHEN quality = 0 THEN 'DISPUTED' WHEN quality IS NULL THEN 'UNREVIEWED' ELSE 'CURRENT' END AS state FROM documents LEFT JOIN labels USING (doc_id)",
     "a08_source_independence": "SELECT source AS source_id, count(*) AS n, count(DISTINCT md5(text)) AS n_texts, count(DISTINCT lang) AS n_languages, max(n_chars) - min(n_chars) AS spread FROM documents GROUP BY 1",
     "a09_dependence_groups": "SELECT sha256(text) AS group_id, count(*) AS n, min(doc_id) AS first, count(DISTINCT source) AS n_sources FROM documents GROUP BY 1 HAVING count(*) >= 2",
-    "a05_coverage_state": f"{_COVERAGE} SELECT source_id, state FROM (SELECT s.s_suppkey AS source_id, c.state FROM supplier s JOIN coverage c ON c.source_id = s.s_suppkey)",
+    "a05_coverage_state": f"{_COVERAGE} SELECT source_id, state FROM coverage",
     "a06_coverage_summary": f"""{_COVERAGE} SELECT state AS label, count(*) AS n FROM coverage GROUP BY 1
         UNION ALL SELECT '(families unsearched)', count(*) FROM (SELECT family FROM coverage GROUP BY 1 HAVING bool_and(state IN ('NOT_SEARCHED', 'UNKNOWN')))""",
     "a07_coverage_matrix": f"""{_COVERAGE} SELECT family, count(*) FILTER (WHERE state = 'COVERED') AS covered, count(*) FILTER (WHERE state = 'PARTIALLY_COVERED') AS partially_covered,
@@ -368,7 +374,7 @@ SQL = {
     "j03_visible_relationships": duck(
         f"""SELECT source_id, target_id, n_lines FROM relations WHERE source_id IN ({VISIBLE_SQL}) AND target_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (
         SELECT c_nationkey FROM customer WHERE c_custkey IN ({VISIBLE_SQL})))""", "relations", "markings"),
-    "j04_visible_activities": duck(f"SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING bool_and(o_custkey IN ({VISIBLE_SQL}))", "markings"),
+    "j04_visible_activities": duck(f"SELECT l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING bool_and(o_custkey IN ({VISIBLE_SQL}))", "markings"),
     "j05_unprocessed_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "j06_phantom_refs": "SELECT o_custkey + 40 AS cited, count(*) AS n FROM orders WHERE o_custkey + 40 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1",
     "j07_observation_diff": duck(
@@ -389,7 +395,7 @@ SQL = {
         FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1""",
     "j14_shared_identifier_pairs": "SELECT doc_id AS object_id, head, 'text' AS system FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS head FROM documents) WHERE doc_id > head",
     "j15_association_decide": duck(
-        f""", o AS (SELECT object_id, version, CASE WHEN seq % 4 > 0 THEN 'A' ELSE 'B' END AS type, CASE WHEN seq % 3 = 0 THEN object_id END AS ref, valid_from AS t, seq % 360 - 180.0::DOUBLE AS lon, seq % 170 - 85.0::DOUBLE AS lat, status FROM objects WHERE object_id % 3 <> 0),
+        f""", o AS (SELECT object_id, version, CASE WHEN seq % 4 > 0 THEN 'A' ELSE 'B' END AS type, CASE WHEN seq % 3 = 0 THEN object_id END AS ref, valid_from AS t, seq % 360 - 180.0::DOUBLE AS lon, seq % 170 - 85.0::DOUBLE AS lat, status FROM objects),
         p AS (SELECT l.object_id, l.version, l.type = r.type AS same, l.ref AS lr, r.ref AS rr, abs(epoch(r.t - l.t)) / 3600 AS gap, {_DIST('l', 'r')} AS metres, l.status <> r.status AS contradiction FROM o l JOIN o r ON l.object_id = r.object_id AND r.version = l.version + 1),
         f AS (SELECT object_id, version, CASE WHEN lr = rr THEN 'SYSTEM_MATCH' WHEN lr IS NOT NULL AND rr IS NOT NULL THEN 'CONFLICT' ELSE 'ABSENT' END AS identifier, CASE WHEN same THEN 'MATCH' ELSE 'MISMATCH' END AS type,
           CASE WHEN gap <= 12 THEN 'COMPATIBLE' ELSE 'INCOMPATIBLE' END AS temporal, CASE WHEN metres <= 80000 * greatest(gap, 0.25) THEN 'COMPATIBLE' ELSE 'IMPLAUSIBLE_SPEED' END AS geospatial, contradiction FROM p)
@@ -408,10 +414,10 @@ SQL = {
     "g07_k_hop": duck(f"{_TRADE}, r AS (SELECT 'c1' AS node, CAST(0 AS BIGINT) AS hop UNION SELECT 'c2', 0 UNION SELECT u.b, hop + 1 FROM r JOIN u ON r.node = u.a WHERE hop < 2) SELECT node, min(hop) AS hop FROM r GROUP BY 1", "relations", recursive=True),
     "g08_shortest_path": duck(f"{_TRADE}, r AS (SELECT 'c7' AS node, CAST(0 AS BIGINT) AS hop UNION SELECT u.b, hop + 1 FROM r JOIN u ON r.node = u.a WHERE hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY 1", "relations", recursive=True),
     "g09_transitive_dependents": """WITH RECURSIVE e AS (SELECT u.doc_id AS a, d.doc_id AS b FROM documents d JOIN documents u ON u.doc_id = d.doc_id // 2 AND u.lang = d.lang WHERE d.doc_id > 0),
-        r AS (SELECT unnest([1, 2, 3, 5])::BIGINT AS node UNION SELECT b FROM r JOIN e ON r.node = e.a) SELECT node FROM r WHERE node NOT IN (1, 2, 3, 5)""",
+        r AS (SELECT unnest(range(1, 64)) AS node UNION SELECT b FROM r JOIN e ON r.node = e.a) SELECT node FROM r WHERE node NOT BETWEEN 1 AND 63""",
     "g11_descent": duck(
         f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN c_custkey IN ({VISIBLE_SQL}) THEN c_name ELSE 'REDACTED' END AS customer, r_name AS region
-        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity = 50) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""", "markings"),
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""", "markings"),
     "q14_hypothesis_matrix": "SELECT l_partkey, CAST(coalesce(sum(s) FILTER (WHERE l_linestatus = 'F'), 0) AS BIGINT) AS f, CAST(coalesce(sum(s) FILTER (WHERE l_linestatus = 'O'), 0) AS BIGINT) AS o FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS s FROM lineitem) GROUP BY 1",
     "f08_haversine": f"{_POINTS}, b AS (SELECT 13.4 AS lon, 52.5 AS lat) SELECT p.id, round({_DIST('p', 'b')}, 3) AS metres FROM p, b",
     "f09_point_to_line": f"{_POINTS} SELECT id, round(least({_segment(0.0, 0.0, 10.0, 0.0)}, {_segment(10.0, 0.0, 10.0, 10.0)}), 2) AS metres FROM p",

@@ -170,7 +170,7 @@ def a16_marking_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = roles.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id"), "c_nationkey", "c_mktsegment")
     marked = roles.markings(spark, sf_dir).join(customer, "object_id").withColumn("ord", F.col("object_id"))
     joined = access.joined_markings(marked, "c_nationkey", "c_mktsegment")
-    return joined.select("c_nationkey", "c_mktsegment", "owning_authority", "min_role", "sealed", F.array_join("compartments", ",").alias("compartments"), F.array_join("releasability", ",").alias("releasability"))
+    return joined.select("c_nationkey", "c_mktsegment", "owning_authority", "min_role", "sealed", "caveats", F.array_join("compartments", ",").alias("compartments"), F.array_join("releasability", ",").alias("releasability"))
 
 
 def a17_failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,8 @@ SQL = {
         c AS (SELECT c_nationkey, c_mktsegment, string_agg(DISTINCT x, ',' ORDER BY x) AS compartments FROM (SELECT *, unnest(compartments) AS x FROM m) GROUP BY 1, 2),
         l AS (SELECT c_nationkey, c_mktsegment, string_agg(x, ',' ORDER BY x) AS releasability FROM (SELECT c_nationkey, c_mktsegment, x, count(*) AS k FROM (SELECT *, unnest(releasability) AS x FROM m) GROUP BY ALL)
           JOIN g USING (c_nationkey, c_mktsegment) WHERE k = n GROUP BY 1, 2)
-        SELECT c_nationkey, c_mktsegment, owning_authority, CASE WHEN s THEN 'SUPERVISOR' ELSE ['OBSERVER', 'ANALYST', 'SUPERVISOR'][r + 1] END AS min_role, s AS sealed, compartments,
+        SELECT c_nationkey, c_mktsegment, owning_authority, CASE WHEN s THEN 'SUPERVISOR' ELSE ['OBSERVER', 'ANALYST', 'SUPERVISOR'][r + 1] END AS min_role, s AS sealed, CASE WHEN s THEN 'SEALED_UNJOINABLE_MARKINGS' ELSE '' END AS caveats,
+          compartments || CASE WHEN s THEN ',worldlog:unjoinable-seal' ELSE '' END AS compartments,
           CASE WHEN s THEN '' ELSE coalesce(releasability, '') END AS releasability
         FROM (SELECT *, releasability IS NULL AND (owners > 1 OR longest > 0) AS s FROM g JOIN c USING (c_nationkey, c_mktsegment) LEFT JOIN l USING (c_nationkey, c_mktsegment))""", "markings"),
     "a17_failure_streak": duck("SELECT subject, count(*) FILTER (WHERE value < 20 AND seq > last) AS streak FROM log JOIN (SELECT subject, coalesce(max(seq) FILTER (WHERE value >= 20), -1) AS last FROM log GROUP BY 1) USING (subject) GROUP BY 1", "log"),

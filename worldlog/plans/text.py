@@ -34,11 +34,9 @@ def f17_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f19_labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents, each with its place in the text, that begin with a capital and end with a stop."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("start", F.coalesce(F.sum(F.length("said") + 1).over(before), F.lit(0)))
-    return placed.filter(F.col("said").rlike(r"^[A-Z][a-z]+ [a-z]+\.$")).select("doc_id", "line", "start", "said")
+    """Labelled lines of documents that begin with a labelled source and language."""
+    head = F.concat(F.lit("Source of Text: "), "source", F.lit(".\nLink: http://x.org\n  Language (code):  "), "lang", F.lit(" \n"), "text")
+    return feeds.labelled_lines(table(spark, sf_dir, "documents").select("doc_id", head.alias("text")), "doc_id", "text")
 
 
 def f20_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +149,12 @@ SQL = {
         CASE WHEN p = '' THEN '/' ELSE p END AS url_key FROM (SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM pages)""",
     "f14_normalize_statement": r"""SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' .,;:!?"''«»“”') AS statement FROM conversations""",
     "f17_cues": "SELECT conv_id, turn, turn % 3 = 0 OR regexp_matches(text, '(?i)\\b(correction|corrected|erratum)\\b') AS corrects, turn % 3 = 1 OR regexp_matches(text, '(?i)\\b(retraction|retracted|withdrawn)\\b') AS retracts FROM conversations",
-    "f19_labelled_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-        p AS (SELECT *, coalesce(sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
-        SELECT doc_id, CAST(line AS INT) AS line, CAST(start AS BIGINT) AS start, said FROM p WHERE regexp_matches(said, '^[A-Z][a-z]+ [a-z]+\.$')""",
+    "f19_labelled_lines": r"""WITH t AS (SELECT doc_id, string_split('Source of Text: ' || source || '.' || chr(10) || 'Link: http://x.org' || chr(10) || '  Language (code):  ' || lang || ' ' || chr(10) || text, chr(10))[:200] AS all_lines FROM documents),
+        l AS (SELECT doc_id, unnest(all_lines) AS said, generate_subscripts(all_lines, 1) AS line FROM t),
+        p AS (SELECT *, coalesce(sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM l),
+        m AS (SELECT doc_id, base, said, regexp_extract(said, '^\s*([A-Za-zÀ-ÿ][\p{L}\p{N}_ /()-]{2,48}):\s+(.{2,160}?)\s*\.?\s*$', 1) AS label, regexp_extract(said, '^\s*([A-Za-zÀ-ÿ][\p{L}\p{N}_ /()-]{2,48}):\s+(.{2,160}?)\s*\.?\s*$', 2) AS value FROM p)
+        SELECT doc_id, trim(regexp_replace(lower(trim(label)), '[^a-z0-9]+', '_', 'g'), '_') AS attribute, value, CAST(base + length(regexp_extract(said, '^\s*[^:]*:\s+')) AS BIGINT) AS start, CAST(base + length(regexp_extract(said, '^\s*[^:]*:\s+')) + length(value) AS BIGINT) AS "end"
+        FROM m WHERE label <> '' AND NOT regexp_matches(value, '^(//|http)')""",
     "f20_json_fields": """SELECT event_id, '$.a.k' AS path, props->>'$.k' AS value FROM events UNION ALL SELECT event_id, '$.b[0]', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, '$.b[1].c', '' FROM events""",
     "f27_probability_literals": duck("SELECT forecast_id, abs(CAST(round(probability * 100 + forecast_id % 3 - 1) AS INT) / 100.0::DOUBLE - probability) <= 0.005 AS agrees FROM forecasts", "forecasts"),
     "s04_strict_json": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'INVALID' WHEN 2 THEN 'INVALID' WHEN 3 THEN 'NOT_FINITE' ELSE 'NOT_AN_OBJECT' END AS problem FROM events",

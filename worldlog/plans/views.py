@@ -79,17 +79,28 @@ def j17_overlapping_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j19_resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of a kind, of any kind, pinned to a version or not, some to nothing."""
-    rows = roles.objects(spark, sf_dir).filter("object_id <= 60")
+    rows = roles.objects(spark, sf_dir)
     records = rows.select(F.when(F.col("object_id") % 2 == 0, "object").otherwise("claim").alias("kind"), F.col("object_id").cast("string").alias("id"), "version")
-    ids = spark.range(1, 70).select(F.col("id").cast("string").alias("i"), F.get(F.array(*map(F.lit, ("object", "*", "claim"))), (F.col("id") % 3).cast("int")).alias("k"), F.when(F.col("id") % 4 == 0, "@v2").otherwise("").alias("v"))
+    cited = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 9).alias("id"))
+    ids = cited.select(F.col("id").cast("string").alias("i"), F.get(F.array(*map(F.lit, ("object", "*", "claim"))), (F.col("id") % 3).cast("int")).alias("k"), F.when(F.col("id") % 4 == 0, "@v2").otherwise("").alias("v"))
     return views.resolved(ids.select(F.concat("k", F.lit(":"), "i", "v").alias("ref")), records)
 
 
 def j23_stakeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers tied to the first suppliers by a relation in either role, with the role."""
-    rows = roles.relations(spark, sf_dir).filter("flag = 'R'")
-    seeds = spark.range(1, 4).select(F.col("id").alias("target_id"))
-    return rows.join(F.broadcast(seeds), "target_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("n_roles"), F.sum("n_lines").alias("n_lines"))
+    """Who is tied to the relevant set by a relation, with the role: customers of its suppliers, suppliers of its customers."""
+    rows, own = roles.relations(spark, sf_dir), ("source_id", "target_id")
+    nations = table(spark, sf_dir, "nation").filter("n_nationkey < 3").select("n_nationkey")
+    relevant = {
+        "source_id": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("relevant"), F.col("c_nationkey").alias("n_nationkey")),
+        "target_id": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("relevant"), F.col("s_nationkey").alias("n_nationkey")),
+    }
+    sides = [
+        rows.join(relevant[b].join(nations, "n_nationkey", "left_semi"), rows[b] == F.col("relevant"), "left_semi")
+        .groupBy(F.lit(a.removesuffix("_id")).alias("role"), F.col(a).alias("stakeholder"))
+        .agg(F.count("*").alias("n_ties"), F.sum("n_lines").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))
+        for a, b in (own, own[::-1])
+    ]
+    return sides[0].union(sides[1])
 
 
 def a03_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +133,14 @@ def a21_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t04_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open ones first, then by time: places of the first hundred."""
+    """Open ones first, then by time."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("late"), "o_orderdate")
-    return rows.orderBy("late", "o_orderdate", "o_orderkey").limit(100).select("o_orderkey", "late")
+    return rows.orderBy("late", "o_orderdate", "o_orderkey").select("o_orderkey", "late")
 
 
 def t08_least_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes (suppliers) by distinct disruptions (returned parts of large orders), and the least exposed one's mark."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 48")
+    """Routes (suppliers) by distinct disruptions (parts), and the least exposed one's mark."""
+    lines = table(spark, sf_dir, "lineitem")
     found = lines.select(F.col("l_suppkey").alias("route"), F.col("l_partkey").alias("disruption"), F.col("l_linestatus").alias("condition"), F.col("l_linenumber").alias("rank"))
     exposed = views.route_exposure(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("route")), found)
     least = exposed.agg(F.min_by("route", F.struct("n", "route")).alias("best"))
@@ -137,8 +148,8 @@ def t08_least_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g03_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' nations against customers': in one only, or in both."""
-    a, b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    """Ids of documents against those of conversations: in one only, or in both."""
+    a, b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"))
     return a.intersect(b).withColumn("side", F.lit("both")).union(a.subtract(b).withColumn("side", F.lit("left"))).union(b.subtract(a).withColumn("side", F.lit("right")))
 
 
@@ -166,10 +177,15 @@ def f16_quoted_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f31_edge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    numbered = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(line).alias("i")).filter("i <= 3")
-    rows = numbered.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")).alias("e"))
-    return rows.select("o_custkey", views.edge_chain(F.col("e")).alias("chain"))
+    """Each customer's orders as the edges of one path, ten fields an edge, in the order of their keys."""
+    ten = {
+        "from_kind": F.lit("customer"), "from_id": F.col("o_custkey").cast("string"), "to_kind": F.lit("order"), "to_id": F.col("o_orderkey").cast("string"), "edge_kind": F.col("o_orderstatus"),
+        "effect_order": F.when(F.col("o_orderkey") % 2 == 0, "FIRST").otherwise("SECOND"), "authority": F.lit("OBSERVED"), "basis_ids": F.array(F.lit("b1"), F.col("o_orderpriority")),
+        "assumption_ids": F.array().cast("array<string>"), "note": F.repeat(F.lit("why "), 90),
+    }
+    edges = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.struct(*[c.alias(n) for n, c in ten.items()]).alias("edge"))
+    paths = edges.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "edge"))).alias("e"))
+    return paths.select("o_custkey", views.edge_chain(F.col("e.edge")).alias("chain"))
 
 
 def q33_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,16 +206,19 @@ def q34_stale_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q38_action_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as signed actions: unknown, early, revoked and borrowed keys, clocks, digests, used nonces."""
-    rows = roles.log(spark, sf_dir).filter("k < 40")
+    """Every event as a signed action, each of the ten refusals for some of them."""
+    rows, k = roles.log(spark, sf_dir), F.col("k")
+    bad = lambda n: k % 23 == n
     actions = rows.select(
-        F.col("seq").alias("action_id"), F.col("subject").alias("actor"), (F.col("subject") + F.when(F.col("k") == 3, 1).otherwise(0)).alias("key_id"), (F.col("subject") * 1000 + F.col("k")).alias("nonce"),
-        (F.lit(1000) + F.when(F.col("k") % 13 == 0, 400).otherwise(F.col("k"))).alias("at"), F.md5(F.col("k").cast("string")).alias("digest"), F.md5(F.when(F.col("k") % 17 == 0, "x").otherwise(F.col("k").cast("string"))).alias("said_digest"),
+        F.col("seq").alias("action_id"), (F.col("subject") % 50).alias("session_id"), F.when(bad(2), -1).otherwise(F.col("subject") % 50).alias("actor"), F.when(bad(3), "other").otherwise("mission").alias("mission_id"),
+        F.when(bad(4), "x").otherwise("object").alias("target"), F.when(bad(5), F.lit(None)).otherwise(F.col("subject") * 1000 + k).alias("nonce"), F.when(bad(6), 1).otherwise(2).alias("version"),
+        F.when(bad(7), F.lit(None)).when(bad(8), 1400).otherwise(1000 + k % 300).alias("at"), F.md5(k.cast("string")).alias("digest"), F.md5(F.when(bad(9), "x").otherwise(k.cast("string"))).alias("said_digest"),
     )
-    users = rows.select("subject").distinct().filter("subject % 7 <> 0")
-    keys = users.select(F.col("subject").alias("key_id"), F.col("subject").alias("owner"), F.when(F.col("subject") % 5 == 0, 5000).otherwise(10).alias("status_time"), F.lit("ACTIVE").alias("status"))
-    keys = keys.union(users.filter("subject % 11 = 0").select("subject", "subject", F.lit(900), F.lit("REVOKED")))
-    return views.admission(actions, keys, 1000)
+    n = F.col("id")
+    sessions = spark.range(50).filter("id % 7 <> 1").select(n.alias("session_id"), n.alias("actor"), n.alias("key_id"))
+    keys = spark.range(50).filter("id % 11 <> 4").select(n.alias("key_id"), F.when(n % 5 == 0, 1100).otherwise(10).alias("status_time"), n.alias("seq"), F.lit("VALID").alias("status"))
+    keys = keys.union(keys.filter("key_id % 9 = 3").select("key_id", "status_time", F.col("seq") + 100, F.lit("REVOKED")))
+    return views.admission(actions, sessions, keys, {"mission_id": "mission", "target": "object", "version": 2}, 1000)
 
 
 def f29_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,10 +269,13 @@ SQL = {
         SELECT "at", token FROM f WHERE (token LIKE 'doc-%' OR token LIKE 'item-%') AND token NOT IN (SELECT 'doc-' || doc_id FROM documents UNION ALL SELECT 'item-' || item_id FROM benchmark)""",
     "j17_overlapping_basis": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1",
     "j19_resolve_references": duck(
-        """, r AS (SELECT CASE WHEN object_id % 2 = 0 THEN 'object' ELSE 'claim' END AS kind, object_id AS id, version FROM objects WHERE object_id <= 60),
-        a AS (SELECT i, ['object', '*', 'claim'][i % 3 + 1] AS k, i % 4 = 0 AS pinned FROM range(1, 70) t(i))
+        """, r AS (SELECT CASE WHEN object_id % 2 = 0 THEN 'object' ELSE 'claim' END AS kind, object_id AS id, version FROM objects),
+        a AS (SELECT c_custkey + 9 AS i, ['object', '*', 'claim'][i % 3 + 1] AS k, i % 4 = 0 AS pinned FROM customer)
         SELECT k || ':' || i || CASE WHEN pinned THEN '@v2' ELSE '' END AS ref, max(kind) AS kind, max(version) AS version FROM a LEFT JOIN r ON r.id = i AND (k = '*' OR k = kind) AND (NOT pinned OR version = 2) GROUP BY 1""", "objects"),
-    "j23_stakeholders": duck("SELECT source_id, count(*) AS n_roles, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM relations WHERE flag = 'R' AND target_id IN (1, 2, 3) GROUP BY 1", "relations"),
+    "j23_stakeholders": duck(
+        """SELECT 'source' AS role, source_id AS stakeholder, count(*) AS n_ties, CAST(sum(n_lines) AS BIGINT) AS n_lines, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags
+        FROM relations WHERE target_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 3) GROUP BY 2 UNION ALL
+        SELECT 'target', target_id, count(*), CAST(sum(n_lines) AS BIGINT), string_agg(DISTINCT flag, ',' ORDER BY flag) FROM relations WHERE source_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 3) GROUP BY 2""", "relations"),
     "a03_overview": duck(
         f""", m AS (SELECT * FROM objects WHERE object_id IN ({VISIBLE_SQL})) SELECT 'versions' AS measure, count(*) AS n FROM m UNION ALL SELECT 'objects', count(DISTINCT object_id) FROM m
         UNION ALL SELECT 'open', count(*) FILTER (WHERE status = 'O') FROM m UNION ALL SELECT 'urgent', count(*) FILTER (WHERE priority = '1-URGENT') FROM m""", "objects", "markings"),
@@ -261,25 +283,27 @@ SQL = {
     "a15_weakest_authority": f"SELECT o_custkey, {_CODES}[max(o_orderkey % 11 % 4) + 1] AS authority FROM orders GROUP BY 1",
     "a19_hypothesis_independence": "SELECT lang, count(DISTINCT text) AS n_groups, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1) GROUP BY 1",
     "a21_status_counts": "SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY 1",
-    "t04_review_queue": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS late FROM orders ORDER BY late, o_orderdate, o_orderkey LIMIT 100",
-    "t08_least_exposed": """WITH e AS (SELECT s_suppkey AS route, count(DISTINCT l_partkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1)
+    "t04_review_queue": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS late FROM orders",
+    "t08_least_exposed": """WITH e AS (SELECT s_suppkey AS route, count(DISTINCT l_partkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1)
         SELECT route, n, route = (SELECT route FROM e ORDER BY n, route LIMIT 1) AS least FROM e""",
-    "g03_set_difference": """WITH a AS (SELECT s_nationkey AS nation FROM supplier), b AS (SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000)
-        SELECT nation, 'both' AS side FROM (FROM a INTERSECT FROM b) UNION ALL SELECT nation, 'left' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT nation, 'right' FROM (FROM b EXCEPT FROM a)""",
+    "g03_set_difference": """WITH a AS (SELECT doc_id AS id FROM documents), b AS (SELECT conv_id AS id FROM conversations)
+        SELECT id, 'both' AS side FROM (FROM a INTERSECT FROM b) UNION ALL SELECT id, 'left' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT id, 'right' FROM (FROM b EXCEPT FROM a)""",
     "g12_ascent": "SELECT s_nationkey, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders, count(DISTINCT o_custkey) AS n_customers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "g14_invalidated_assumption": "SELECT o_custkey, count(*) AS n_stale, sum(o_totalprice) AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 97 = 5) GROUP BY 1",
-    "f15_name_folding": f"SELECT doc_id, md5(replace(translate(text, '{views.FOLDED[0]}', '{views.FOLDED[1]}'), 'ß', 'ss')) AS folded FROM documents",
+    "f15_name_folding": "SELECT doc_id, md5(replace(strip_accents(text), 'ß', 'ss')) AS folded FROM documents",
     "f16_quoted_name": "SELECT c_custkey, c_name AS name FROM customer",
-    "f31_edge_chain": "SELECT o_custkey, string_agg(left(sha256(CAST(o_orderkey AS VARCHAR)), 12), '>' ORDER BY o_orderkey) AS chain FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 3 GROUP BY 1",
+    "f31_edge_chain": """SELECT o_custkey, string_agg('edgefp-' || left(sha256(concat_ws('|', 'customer', o_custkey, 'order', o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'FIRST' ELSE 'SECOND' END,
+        'OBSERVED', 'b1,' || o_orderpriority, '', left(repeat('why ', 90), 300))), 24), '>' ORDER BY o_orderkey) AS chain FROM orders GROUP BY 1""",
     "q33_faithfulness": duck(
         """SELECT 'REPLACES_NEWER' AS finding, count(*) AS n FROM (SELECT seq, lag(seq) OVER (PARTITION BY object_id ORDER BY version) AS p FROM objects) WHERE seq < p
         UNION ALL SELECT 'ANCHOR_UNRESOLVED', count(*) FROM lineitem WHERE l_partkey + 3 NOT IN (SELECT p_partkey FROM part)""", "objects"),
     "q34_stale_listing": "SELECT 'order' AS family, o_orderkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-01' UNION ALL SELECT DISTINCT 'line', l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-02-01'",
     "q38_action_admission": duck(
-        """, a AS (SELECT seq, subject, k, subject + (k = 3)::INT AS key, 1000 + CASE WHEN k % 13 = 0 THEN 400 ELSE k END AS "at", min(seq) OVER (PARTITION BY subject, k) AS first FROM log WHERE k < 40),
-        u AS (SELECT DISTINCT subject FROM log WHERE k < 40 AND subject % 7 <> 0)
-        SELECT seq AS action_id, CASE WHEN key NOT IN (SELECT subject FROM u) THEN 'UNKNOWN_KEY' WHEN key % 5 = 0 AND key % 11 <> 0 THEN 'KEY_NOT_YET_VALID' WHEN key % 11 = 0 THEN 'KEY_REVOKED'
-          WHEN key <> subject THEN 'WRONG_ACTOR' WHEN abs("at" - 1000) > 300 THEN 'CLOCK_SKEW' WHEN k % 17 = 0 THEN 'DIGEST_MISMATCH' WHEN seq <> first THEN 'NONCE_USED' END AS code FROM a""", "log"),
+        """, a AS (SELECT seq, subject % 50 AS s, k % 23 AS b, subject * 1000 + k AS nonce, CASE k % 23 WHEN 7 THEN NULL WHEN 8 THEN 1400 ELSE 1000 + k % 300 END AS "at" FROM log),
+        f AS (SELECT *, min(seq) OVER (PARTITION BY CASE WHEN b <> 5 THEN nonce END) AS first FROM a)
+        SELECT seq AS action_id, CASE WHEN s % 7 = 1 THEN 'EXPIRED_SESSION' WHEN b = 2 THEN 'WRONG_ACTOR' WHEN b = 3 THEN 'WRONG_MISSION' WHEN b = 4 THEN 'WRONG_TARGET'
+          WHEN b = 5 OR seq > first THEN 'REPLAYED_NONCE' WHEN b = 6 THEN 'STALE_VERSION' WHEN b IN (7, 8) THEN 'CLOCK_SKEW' WHEN s % 11 = 4 OR b = 9 THEN 'INVALID_SIGNATURE'
+          WHEN s % 9 = 3 OR (s % 5 = 0 AND "at" < 1100) THEN 'KEY_NOT_VALID' END AS code FROM f""", "log"),
     "f29_redaction": """WITH t AS (SELECT conv_id * 1000 + turn AS ref, conv_id * 3 % 900 AS a, conv_id AS b FROM conversations), h AS (SELECT doc_id FROM labels WHERE toxic = 1)
         SELECT ref, 'see ' || CASE WHEN a IN (FROM h) THEN 'REDACTED' ELSE 'doc-' || a || '@v2' END || ', ' || CASE WHEN b IN (FROM h) THEN 'REDACTED' ELSE 'doc-' || b END || ' and item-1.' AS said FROM t""",
     "p03_field_mapping": """SELECT o_orderkey, upper(o_orderpriority) AS priority, CASE WHEN o_orderkey % 4 <> 0 THEN '2.5' END AS price, CASE WHEN o_orderkey % 3 > 0 THEN '2024-03-05' ELSE 'UNKNOWN' END AS day,

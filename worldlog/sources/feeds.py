@@ -5,10 +5,12 @@ Every reader keeps what it cannot read, with the reason, in place of raising: on
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,24 +41,58 @@ def strict_json(text: Column) -> Column:
     return F.when(value.isNull(), "INVALID").when(huge, "NOT_FINITE").when(~F.schema_of_variant(value).startswith("OBJECT"), "NOT_AN_OBJECT")
 
 
-def json_fields(rows: DataFrame, key: str, column: str, depth: int = 6) -> DataFrame:
-    """key, path, value of every leaf of a JSON column: ``$.a[0].b`` paths, one lateral step for each level.
+def json_fields(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path, value of every leaf of a JSON column, ``$.a[0].b`` paths, however deep, keys in their order.
 
-    Values below ``depth`` levels stay JSON text: nothing is lost.
+    Numbers keep their spelling, null is an empty value, empty objects and arrays have no leaf; texts that are no JSON
+    have no row. A text is walked once, in one pass over the rows.
     """
-    step = rows.select(key, F.lit("$").alias("path"), F.try_parse_json(column).alias("node")).filter("node IS NOT NULL")
-    leaves = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("node")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = step.filter(~inner).select(key, "path", F.coalesce(F.variant_get("node", "$", "string"), F.lit("")).alias("value"))
-        leaves = flat if leaves is None else leaves.union(flat)
-        step = (
-            step.filter(inner)
-            .lateralJoin(step.sparkSession.tvf.variant_explode(F.col("node").outer()).toDF("pos", "k", "v"))
-            .select(key, F.when(F.col("k").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(F.concat("path", F.lit("."), "k")).alias("path"), F.col("v").alias("node"))
-        )
-    return leaves.union(step.select(key, "path", F.to_json("node").alias("value")))
+
+    def leaves(text: str) -> Iterator[tuple[str, str]]:
+        try:
+            stack = [("$", json.loads(text, parse_int=str, parse_float=str))]
+        except (ValueError, RecursionError):
+            return
+        while stack:
+            path, node = stack.pop()
+            if isinstance(node, dict):
+                stack += [(f"{path}.{k}", node[k]) for k in sorted(node, reverse=True)]
+            elif isinstance(node, list):
+                stack += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(node)))]
+            else:
+                yield path, "" if node is None else str(node).lower() if isinstance(node, bool) else node
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, p, v) for i, x in enumerate(batch.column(1)) if x.is_valid for p, v in leaves(x.as_py())]
+            at, paths, values = ([r[i] for r in found] for i in range(3))
+            keys = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[key, "path", "value"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(column).cast("string")).mapInArrow(walk, f"{key} {kind}, path string, value string")
+
+
+#: ``Label: value.`` on one line; addresses are no values.
+LABELLED_LINE = r"^\s*([A-Za-zÀ-ÿ][\w /()-]{2,48}):\s+(.{2,160}?)\s*\.?\s*$"
+LINES_READ = 200
+
+
+def labelled_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, attribute, value, start, end (code points of the value in the text) of the ``Label: value.`` lines of texts.
+
+    The label in lower case, other characters as one underscore, is the attribute. The rule reads the first
+    ``LINES_READ`` lines of a text: labels stand at its head.
+    """
+    lines = rows.select(key, F.posexplode(F.slice(F.split(text, "\n"), 1, LINES_READ)).alias("_at", "_line"), F.split(text, "\n").alias("_all"))
+    before = F.aggregate(F.slice("_all", F.lit(1), F.col("_at")), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    part = lambda i: F.regexp_extract("_line", f"(?U){LABELLED_LINE}", i)
+    found = lines.filter(F.col("_line").rlike(f"(?U){LABELLED_LINE}")).select(key, part(1).alias("_label"), part(2).alias("_raw"), "_line", before.alias("_base"))
+    found = found.filter(~F.col("_raw").rlike("^(//|http)")).withColumn("value", F.trim("_raw"))
+    place = F.length(F.regexp_extract("_line", r"(?U)^(\s*[A-Za-zÀ-ÿ][\w /()-]{2,48}:\s+)", 1))
+    attribute = F.regexp_replace(F.regexp_replace(F.lower(F.trim("_label")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    start = F.col("_base") + place
+    return found.select(key, attribute.alias("attribute"), "value", start.cast("long").alias("start"), (start + F.length("value")).cast("long").alias("end"))
 
 
 def csv_rows(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:

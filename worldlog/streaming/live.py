@@ -49,6 +49,22 @@ def stream_of(spark: SparkSession, path: str, schema: str, files: int = 8) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+#: Folders that keys seen are spread over by their hash.
+SHARDS = 256
+
+
+def _table_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; none where there is no such folder. Anything else that is wrong with it is raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def ingest_batch(seen_path: str, keys: list[str]):
     """A ``foreachBatch`` function: appends a batch with ``duplicate``, by the keys that the table at ``seen_path`` has.
 
@@ -56,21 +72,21 @@ def ingest_batch(seen_path: str, keys: list[str]):
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.errors import AnalysisException
-
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(seen_path)
-            if seen.filter(F.col("batch_id") == batch_id).limit(1).count():
-                return
-            known = seen.select(*keys).distinct().withColumn("_known", F.lit(True))
-        except AnalysisException:  # the first batch of all
+        shard = F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int")
+        seen = _table_at(spark, seen_path)
+        if seen is None:  # the first batch of all
             known = batch.limit(0).select(*keys).withColumn("_known", F.lit(True))
+        elif seen.filter(F.col("batch_id") == batch_id).limit(1).count():
+            return
+        else:  # the shards of the batch's keys alone are read
+            met = [r[0] for r in batch.select(shard).distinct().collect()]  # SHARDS at most
+            known = seen.filter(F.col("shard").isin(met)).select(*keys).distinct().withColumn("_known", F.lit(True))
         first = batch.groupBy(*keys).agg(F.min("seq").alias("_first"))
         told = batch.join(first, keys).join(known, keys, "left")
         told.withColumn("duplicate", F.coalesce("_known", F.lit(False)) | (F.col("seq") > F.col("_first"))).withColumn(
             "batch_id", F.lit(batch_id)
-        ).drop("_known", "_first").write.mode("append").parquet(seen_path)
+        ).withColumn("shard", shard).drop("_known", "_first").write.mode("append").partitionBy("shard").parquet(seen_path)
 
     return apply
 
@@ -88,13 +104,19 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return rows.select("subject", F.col("w.start").alias("start"), "n")
 
 
+#: Indicators without an attribute are broadcast up to so many.
+FEW_INDICATORS = 10_000
+
+
 def fired(indicators: DataFrame, observations: DataFrame) -> DataFrame:
     """indicator_id, n, first_seq: PRESENCE indicators and their matches; both times must be later than the arming.
 
     An empty pattern is a wildcard: indicators, which are few, are matched by attribute where they name one.
     """
     exact = indicators.filter("attribute <> ''").join(observations, "attribute")
-    any_ = observations.select("*").join(F.broadcast(indicators.filter("attribute = ''").drop("attribute")))
+    wild = indicators.filter("attribute = ''").drop("attribute")
+    few = wild.limit(FEW_INDICATORS + 1).count() <= FEW_INDICATORS
+    any_ = observations.join(F.broadcast(wild) if few else wild)
     columns = ["indicator_id", "armed", "least", "seq", "recorded_time", "source_time", "value"]
     met = exact.select(*columns).union(any_.select(*columns))
     hits = met.filter("recorded_time > armed AND source_time > armed AND value >= least")
