@@ -152,3 +152,57 @@ def probabilities_in(text: Column) -> Column:
     shares = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.])(0\.\d+)(?![\d%])"), F.lit(1)), lambda x: x.cast("double"))
     percents = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.])(\d{1,3}(?:\.\d+)?)\s?%"), F.lit(1)), lambda x: x.cast("double") / 100)
     return F.concat(shares, F.filter(percents, lambda x: x <= 1))
+
+
+def source_day(text: Column) -> Column:
+    """A time as a source states it, in ISO form with its offset: a bare date is that day in UTC, a time without an offset null."""
+    said = F.trim(text)
+    zoned = F.regexp_replace(said, "Z$", "+00:00")
+    return F.when(said.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(said, F.lit("T00:00:00+00:00"))).when(said.rlike(OFFSET) & F.try_to_timestamp(said).isNotNull(), zoned)
+
+
+def first_text(*texts: Column) -> Column:
+    """The first text that is neither null nor empty; empty if there is none."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
+
+
+def state_time(status: Column, capture: Column, source: Column, retrieval: Column) -> Column:
+    """When what was seen was so: an archive's capture time, else the source's; a live page's retrieval time."""
+    return F.when(status == "HISTORICAL", first_text(capture, source)).otherwise(first_text(retrieval))
+
+
+def to_archive_stamp(instant_: Column) -> Column:
+    """The 14-digit archive stamp of an instant, in UTC."""
+    return F.date_format(F.to_utc_timestamp(instant_, F.current_timezone()), "yyyyMMddHHmmss")
+
+
+def site(url: Column) -> Column:
+    """``site:`` and the host of an address without ``www.`` and port; addresses may lack a scheme."""
+    host = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.concat(F.lit("site:"), F.regexp_replace(host, r"^www\.", ""))
+
+
+def origin_key(source: Column, native_id: Column, final_url: Column) -> Column:
+    """Whose information it is: the archived site of a capture (``stamp/address`` or the address), the site of a live page,
+    else the publisher that the source is."""
+    archived = F.regexp_replace(native_id, r"^\d{14}/(?=.)", "")
+    return F.when((source == "wayback") & (native_id != ""), site(archived)).when(source == "live-web", site(first_text(final_url, native_id))).otherwise(F.concat(F.lit("publisher:"), source))
+
+
+def world_object_id(subject: Column) -> Column:
+    """The stable id of ``SCHEME:value``; what has no scheme is a label, addresses and domains count by their key."""
+    parts = subject_parts(subject)
+    scheme = F.coalesce(parts["scheme"], F.lit("LABEL"))
+    return digest_id("wm", scheme, F.when(scheme.isin("URL", "DOMAIN"), url_key(parts["value"])).otherwise(parts["value"]))
+
+
+def anchor(text: Column, raw: Column, value: Column) -> Column:
+    """(start, end, scope) of a value in its text, from 0: VALUE within the matched piece, or anywhere if there is no such
+    piece; PIECE where only the piece is found; DOCUMENT, without places, where neither is."""
+    at = F.when(raw != "", F.position(raw, text) - 1).otherwise(-1)
+    window = F.substring(text, at + 1, F.length(raw) + F.length(value))
+    inner = F.position(value, window) - 1
+    within = F.when((at >= 0) & (value != ""), F.when(inner >= 0, at + inner).otherwise(-1)).otherwise(F.when(value != "", F.position(value, text) - 1).otherwise(-1))
+    scope = F.when(within >= 0, "VALUE").when(at >= 0, "PIECE").otherwise("DOCUMENT")
+    start = F.when(within >= 0, within).when(at >= 0, at)
+    return F.struct(start.cast("long").alias("start"), (start + F.when(within >= 0, F.length(value)).otherwise(F.length(raw))).cast("long").alias("end"), scope.alias("scope"))

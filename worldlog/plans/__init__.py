@@ -1,7 +1,7 @@
 """The registered queries of the library and the SQL that each is held against."""
 
-from . import analysis, state, text, views
+from . import analysis, ingest, reads, state, text, views
 
 FLAGSHIP = "q01_mission_view"
-QUERIES: dict = state.QUERIES | analysis.QUERIES | text.QUERIES | views.QUERIES
-ORACLE_SQL: dict = state.SQL | analysis.SQL | text.SQL | views.SQL
+QUERIES: dict = state.QUERIES | analysis.QUERIES | text.QUERIES | views.QUERIES | ingest.QUERIES | reads.QUERIES
+ORACLE_SQL: dict = state.SQL | analysis.SQL | text.SQL | views.SQL | ingest.SQL | reads.SQL

@@ -73,6 +73,42 @@ def json_fields(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, F.col(column).cast("string")).mapInArrow(walk, f"{key} {kind}, path string, value string")
 
 
+def json_documents(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, document (keys in order, no white space) of bodies that must be one object each, and the problem of the others."""
+    problem = strict_json(F.col(column))
+    return rows.select(key, F.when(problem.isNull(), F.to_json(F.try_parse_json(column))).alias("document"), problem.alias("problem"))
+
+
+def evidence_bundles(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, assertion_id, problem (NONE, INVALID, or the part that is wanting) of evidence bundles."""
+    schema = "source_object struct<source_object_id:string,content_sha256:string>, document struct<document_id:string>, assertion struct<assertion_id:string>"
+    read = rows.select(key, strict_json(F.col(column)).alias("_p"), F.from_json(column, schema).alias("b"))
+    has = lambda *names: F.coalesce(F.greatest(*[F.length(f"b.{n}") for n in names], F.lit(0)) > 0, F.lit(False)) if len(names) == 1 else has(names[0]) & has(*names[1:])
+    problem = (
+        F.when(F.col("_p").isNotNull(), "INVALID")
+        .when(~has("source_object.source_object_id", "source_object.content_sha256"), "source_object")
+        .when(~has("document.document_id"), "document")
+        .when(~has("assertion.assertion_id"), "assertion")
+        .otherwise("NONE")
+    )
+    return read.select(key, F.when(problem == "NONE", F.col("b.assertion.assertion_id")).alias("assertion_id"), problem.alias("problem"))
+
+
+def csv_feed(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """The fields of CSV files, typed, with ``problem``: WIDTH of lines unlike the header, else the fields that are not of
+    their type, else nothing. A header unlike ``fields`` is an error of the feed, which Spark raises."""
+    names = ", ".join(f"`{n}` string" for n in fields)
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", "_line").schema(f"{names}, _line string").csv(path)
+    kinds = {"number": "double", "integer": "long"}
+    good, cast, bad = F.col("_line").isNull(), [], []
+    for name, kind in fields.items():
+        value = F.when(good, F.nullif(F.col(name), F.lit("")))
+        typed = F.when(value.isNotNull(), F.lower(F.trim(value)).isin("true", "1", "yes")) if kind == "boolean" else value.try_cast(kinds.get(kind, "string"))
+        cast.append(typed.alias(name))
+        bad.append(F.when(value.isNotNull() & typed.isNull(), F.lit(name)))
+    return raw.select(*cast, F.when(~good, "WIDTH").otherwise(F.concat_ws(",", *bad)).alias("problem"))
+
+
 #: ``Label: value.`` on one line; addresses are no values.
 LABELLED_LINE = r"^\s*([A-Za-zÀ-ÿ][\w /()-]{2,48}):\s+(.{2,160}?)\s*\.?\s*$"
 LINES_READ = 200
@@ -117,19 +153,29 @@ def geojson_features(rows: DataFrame, key: str, column: str) -> DataFrame:
     each = read.select(key, F.when(F.col("g.type").eqNullSafe("FeatureCollection"), F.lit(None)).otherwise("NOT_A_COLLECTION").alias("_p"), F.posexplode_outer("g.features").alias("pos", "f"))
     point = F.from_json("f.geometry.coordinates", "array<double>")
     lon, lat = F.get(point, F.lit(0)), F.get(point, F.lit(1))
-    bounds = F.when(F.col("f.geometry.type").eqNullSafe("Point") & ~(lon.between(-180, 180) & lat.between(-90, 90)), "OUT_OF_BOUNDS")
+    kind, text = F.col("f.geometry.type"), "f.geometry.coordinates"
+    rings = F.when(kind == "Polygon", F.from_json(text, "array<array<array<double>>>"))
+    places = F.when(kind == "Point", F.array(point)).when(kind == "LineString", F.from_json(text, "array<array<double>>")).when(kind == "Polygon", F.flatten(rings))
+    on_globe = lambda p: F.coalesce(F.get(p, F.lit(0)).between(-180, 180) & F.get(p, F.lit(1)).between(-90, 90), F.lit(False))
+    closed = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1))
+    bounds = F.when(~F.forall(places, on_globe), "OUT_OF_BOUNDS").when(~F.forall(rings, closed), "RING_NOT_CLOSED")
     return each.select(key, "pos", F.col("f.geometry.type").alias("kind"), lon.alias("lon"), lat.alias("lat"), F.col("f.properties").alias("properties"), F.coalesce("_p", bounds).alias("problem"))
 
 
 def feed_items(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, native_id, title, url, published of RSS items; documents with a DTD are refused, items without an id left out."""
+    """key, native_id, title, url, published of RSS items and Atom entries; documents with a DTD are refused, items without
+    an id left out."""
     body = F.col(column)
     safe = rows.filter(~body.rlike("(?i)<!DOCTYPE|<!ENTITY"))
     item = "item array<struct<guid:string,link:string,title:string,pubDate:string,description:string>>"
     read = safe.select(key, F.explode(F.from_xml(body, f"channel struct<{item.replace(' ', ':', 1)}>")["channel"]["item"]).alias("i"))
     native = F.coalesce(F.nullif(F.col("i.guid"), F.lit("")), F.nullif(F.col("i.link"), F.lit("")))
     found = read.select(key, native.alias("native_id"), F.col("i.title").alias("title"), F.col("i.link").alias("url"), F.col("i.pubDate").alias("published"))
-    return found.filter("native_id IS NOT NULL")
+    entry = "entry array<struct<id:string,title:string,updated:string,published:string,link:struct<_href:string>>>"
+    atom = safe.filter(body.rlike(r"<feed[\s>]")).select(key, F.explode(F.from_xml(body, entry)["entry"]).alias("e"))
+    url = F.col("e.link._href")
+    entries = atom.select(key, F.coalesce(F.nullif(F.col("e.id"), F.lit("")), url).alias("native_id"), F.col("e.title").alias("title"), url.alias("url"), F.coalesce("e.updated", "e.published").alias("published"))
+    return found.union(entries).filter("native_id IS NOT NULL")
 
 
 def detected_format(media_type: Column, head: Column) -> Column:

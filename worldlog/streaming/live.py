@@ -45,6 +45,18 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(empty.schema).parquet(f"{folder}/rows")
 
 
+def catch_up(spark: SparkSession, path: str, schema: str, out: str, state: str, read: int) -> None:
+    """Appends to ``out`` the readable log lines in ``path`` that no earlier call with this ``state`` has seen, with ``read``."""
+    lines = spark.readStream.option("lineSep", "\n").text(path)
+    rows = lines.filter(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("e")).select("e.*")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:  # a batch that is run again writes its folder again
+        batch.withColumn("read", F.lit(read)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def stream_of(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
