@@ -365,7 +365,7 @@ def _captured_sql() -> str:
     """One branch for each kind of line; RE2 needs its word classes spelled out."""
     spelled = {k: p.replace(r"[\w.", r"[\p{L}\p{N}_.").replace(r"\w+", r"[\p{L}\p{N}_]+").replace("'", "''") for k, p in provenance.PATTERNS.items()}
     each = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, regexp_extract(w, '(?im){p}', 1) AS v FROM t" for k, p in spelled.items())
-    return f"""WITH s AS (SELECT doc_id, {_HEADS}[doc_id % 19 + 1] || chr(10) || text AS x FROM documents), t AS (SELECT doc_id, left(x, 2500) || CASE WHEN length(x) > 5000 THEN chr(10) || right(x, 2500) ELSE '' END AS w FROM s),
+    return rf"""WITH s AS (SELECT doc_id, {_HEADS}[doc_id % 19 + 1] || chr(10) || text AS x FROM documents), t AS (SELECT doc_id, left(x, 2500) || CASE WHEN length(x) > 5000 THEN chr(10) || right(x, 2500) ELSE '' END AS w FROM s),
       e AS ({each}), c AS (SELECT doc_id, type, left(trim(regexp_replace(v, '\s+', ' ', 'g'), ' .,;:|-–—'), 200) AS value FROM e) SELECT * FROM c WHERE value <> ''"""
 
 

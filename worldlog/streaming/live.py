@@ -62,7 +62,7 @@ def stream_of(spark: SparkSession, path: str, schema: str, files: int = 8) -> Da
 
 
 #: Folders that keys seen are spread over by their hash.
-SHARDS = 256
+SHARDS = 32
 
 
 def _table_at(spark: SparkSession, path: str) -> DataFrame | None:
