@@ -169,6 +169,50 @@ def decide() -> Column:
     )
 
 
+# Attributes that change by themselves, and the endings of those that name a thing.
+VOLATILE = ("position_note", "observed_at", "reported_speed_kmh")
+IDENTIFIER_ENDINGS = r"(_id|_ref|_callsign)$"
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """All ten features of pairs and the outcome; pairs that negative evidence parts are rejected.
+
+    Columns ``l_`` and ``r_``: type, refs (array of system, external_id), attributes (map of texts), time, lon, lat,
+    sources (array), confidence (null if it was not assessed); and ``negative`` (array). Nulls are unknown, never unlike.
+    """
+    gap = F.abs(scalar.hours_between(F.col("l_time"), F.col("r_time")))
+    distance = F.round(scalar.haversine_m(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")), 1)
+    systems = lambda c: F.transform(c, lambda r: r["system"])
+    names = lambda c: F.map_filter(c, lambda k, v: k.rlike(IDENTIFIER_ENDINGS) & v.isNotNull() & ~v.isin("", "UNKNOWN"))
+    left, right = names("l_attributes"), names("r_attributes")
+    shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
+    identifier = (
+        F.when(F.arrays_overlap("l_refs", "r_refs"), "SYSTEM_MATCH")
+        .when(F.arrays_overlap(systems("l_refs"), systems("r_refs")), "CONFLICT")
+        .when(F.size(shared) == 0, "ABSENT")
+        .when(F.forall(shared, lambda k: F.try_element_at(left, k) == F.try_element_at(right, k)), "ATTRIBUTE_MATCH")
+        .otherwise("CONFLICT")
+    )
+    plain = F.filter(F.array_intersect(F.map_keys("l_attributes"), F.map_keys("r_attributes")), lambda k: ~k.isin(*VOLATILE) & ~k.rlike(IDENTIFIER_ENDINGS))
+    unlike = F.array_sort(F.filter(plain, lambda k: scalar.contradicts(F.try_element_at(F.col("l_attributes"), k), F.try_element_at(F.col("r_attributes"), k))))
+    features = pairs.withColumns(
+        {
+            "identifier": identifier,
+            "type": F.when(F.col("l_type").eqNullSafe(F.col("r_type")), "MATCH").otherwise("MISMATCH"),
+            "gap_hours": gap,
+            "temporal": F.when(gap.isNull(), "UNKNOWN").when(gap <= 12, "COMPATIBLE").otherwise("INCOMPATIBLE"),
+            "distance_m": distance,
+            "geospatial": F.when(gap.isNull() | distance.isNull(), "UNKNOWN").when(distance <= 80_000 * F.greatest(gap, F.lit(0.25)), "COMPATIBLE").otherwise("IMPLAUSIBLE_SPEED"),
+            "sources": F.when((F.size("l_sources") == 0) | (F.size("r_sources") == 0), "UNKNOWN").when(F.arrays_overlap("l_sources", "r_sources"), "SAME_SOURCE").otherwise("DIFFERENT_SOURCES"),
+            "contradictions": unlike,
+            "contradiction": F.size(unlike) > 0,
+            "confidence": F.when(F.col("l_confidence").isNotNull() & F.col("r_confidence").isNotNull(), F.least("l_confidence", "r_confidence")),
+        }
+    )
+    parted = (F.size("negative") > 0) & (F.col("type") == "MATCH")
+    return features.withColumn("outcome", F.when(parted, "REJECT_ASSOCIATION").otherwise(decide()))
+
+
 def observation_changes(prior: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """keys, change_class of what differs between two sets of observations (kind, value); corrections by ``corrects``."""
     was, now = prior.select(*keys, F.col("kind").alias("_k0"), F.col("value").alias("_v0")), current.select(*keys, F.col("kind").alias("_k1"), F.col("value").alias("_v1"), "corrects")
