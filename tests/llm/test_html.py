@@ -72,3 +72,34 @@ def test_repeated_and_long_pages(spark):
     assert len(got) == 2
     assert got[0] == got[1]
     assert got[0].text.count("\n") == 4_999
+
+
+RAW = [
+    "<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>if(a<b){x()}</script>", "<SCRIPT type='a>b'>x<y</Script >", "<style>a<b{c:d}</style>",
+    "<script>document.write('<p>no</p><script>')</script>", "<script>a<!-- b</script>", "<textarea>x<y <p></textarea>", "<noframes><p <b</noframes>",
+    "<iframe>a<b</iframe>", "<script></script>", "<script>s='<a href=\"'</script>", "<style>/* <!-- */</style>",
+]
+
+
+def test_raw_text_hides_nothing_after_it():
+    text = lambda source: " ".join(x for _, x in html.parse(source).runs)
+    for raw in RAW:
+        assert text(f"{raw}<p>one</p>") == "one", raw
+        assert text(f"<p>one</p>{raw}<p>two</p>") == "one two", raw
+        assert text(f"<p>one {raw} two</p>{raw}{raw}<p>three</p>{raw}") == "one two three", raw
+        assert text(f"<head><title>a<b</title>{raw}</head><body><p>one</p>") == "one", raw
+    assert text("<p>a</p><script>x<y") == "a"
+    assert text("<p>a</p><script>x<y</p>") == "a"
+
+
+def test_articles_with_scripts_at_every_place():
+    """Pages of the generator keep their main text when scripts are put before, within and after their blocks."""
+    model = html.default_model()
+    for page in html_pages.labelled_pages(60, seed=7):
+        want = html.main_text(page, model)
+        places = [i for i in range(len(page)) if page.startswith(("<p", "</p>", "<h1", "</body>"), i)]
+        for raw in RAW[:4]:
+            changed = page
+            for i in reversed(places):
+                changed = changed[:i] + raw + changed[i:]
+            assert html.main_text(changed, model) == want, raw

@@ -105,9 +105,8 @@ def parse(source: str) -> Page:
             nodes[stack[-1]].chars += n
             nodes[stack[-1]].linked += n if link else 0
 
-    for m in _TAG.finditer(source, 0, source.rfind(">") + 1):  # no tag ends after the last bracket
-        if m.start() < at:
-            continue
+    last = source.rfind(">") + 1  # no tag ends after the last bracket
+    while m := _TAG.search(source, at, last):  # from `at`: raw text is not searched for tags
         add(source[at : m.start()])
         at = m.end()
         if m[0].startswith("<!--") and not m[0].endswith("-->"):  # a comment that never ends
