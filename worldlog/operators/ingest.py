@@ -13,40 +13,6 @@ from worldlog.functions import scalar
 BLOCK = 4_096
 
 
-def payload_status(payloads: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``payloads`` (payload_id, schema_id, body: JSON) with ``status``, ``effective`` (version) and ``reasons``.
-
-    schemas: schema_id, version, kind (document, rows or geojson), required (field names), compatible (versions that it
-    also reads), fallback (true for the version that the feed names). A payload may declare a ``schema_version``: that one
-    counts if it is registered, else the feed's if it is compatible, else the payload is UNSUPPORTED_SCHEMA_VERSION.
-    """
-    body = F.try_parse_json("body")
-    own = payloads.withColumn("_declared", F.try_variant_get(body, "$.schema_version", "string"))
-    feed = schemas.filter("fallback").select("schema_id", *[F.col(c).alias(f"_f_{c}") for c in ("version", "kind", "required", "compatible")])
-    exact = schemas.select("schema_id", F.col("version").alias("_declared"), *[F.col(c).alias(f"_x_{c}") for c in ("kind", "required")])
-    met = own.join(feed, "schema_id", "left").withColumn("_declared", F.coalesce("_declared", "_f_version")).join(exact, ["schema_id", "_declared"], "left")
-    fits = F.col("_x_kind").isNotNull()
-    falls = ~fits & F.coalesce(F.array_contains("_f_compatible", F.col("_declared")), F.lit(False))
-    kind = F.when(fits, F.col("_x_kind")).when(falls, F.col("_f_kind"))
-    required = F.when(fits, F.col("_x_required")).when(falls, F.col("_f_required"))
-    named = met.withColumns({"_kind": kind, "_required": required, "effective": F.when(falls, F.col("_f_version")).otherwise(F.col("_declared"))})
-    shape = (
-        F.when(body.isNull(), "payload is no JSON")
-        .when((F.col("_kind") == "rows") & ~F.coalesce(F.schema_of_variant(F.try_variant_get(body, "$.rows", "variant")).startswith("ARRAY"), F.lit(False)), "payload must contain rows")
-        .when((F.col("_kind") == "geojson") & ~F.coalesce(F.try_variant_get(body, "$.type", "string") == "FeatureCollection", F.lit(False)), "payload must be a FeatureCollection")
-        .when((F.col("_kind") == "document") & ~F.schema_of_variant(body).startswith("OBJECT"), "payload must be an object")
-    )
-    one = lambda v, i, at: F.transform(F.col("_required"), lambda f: F.when(~F.coalesce(F.contains(v, F.concat(F.lit('"'), f, F.lit('":'))), F.lit(False)), F.concat(F.lit(at), i, F.lit("missing "), f)))
-    parts = F.from_json("body", "rows array<string>, features array<struct<properties:string>>")
-    by_row = F.flatten(F.transform(parts["rows"], lambda r, i: one(r, F.concat(i.cast("string"), F.lit(": ")), "row ")))
-    by_feature = F.flatten(F.transform(parts["features"], lambda f, i: one(f["properties"], F.concat(i.cast("string"), F.lit(": ")), "feature ")))
-    whole = one(F.to_json(body), F.lit(""), "")
-    fields = F.when(F.col("_kind") == "rows", by_row).when(F.col("_kind") == "geojson", by_feature).otherwise(whole)
-    judged = named.withColumn("_shape", shape).withColumn("reasons", F.when(F.col("_kind").isNull(), F.array(F.lit("schema version not registered"))).when(F.col("_shape").isNotNull(), F.array("_shape")).otherwise(F.array_compact(fields)))
-    status = F.when(F.col("_kind").isNull(), "UNSUPPORTED_SCHEMA_VERSION").when(F.size("reasons") > 0, "INVALID").otherwise("VALID")
-    return judged.select(*payloads.columns, "effective", F.col("_kind").alias("kind"), status.alias("status"), "reasons")
-
-
 def units(payloads: DataFrame) -> DataFrame:
     """payload_id, pos, unit (JSON): a document is one unit, rows are each one, features are their properties and geometry."""
     parts = F.from_json("body", "rows array<string>, features array<struct<geometry:string,properties:string>>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worldlog import roles
 from worldlog.functions import scalar
-from worldlog.operators import ingest, log
+from worldlog.operators import ingest, log, schemas
 from worldlog.operators.graph import shared_folder
 from worldlog.roles import duck, table
 from worldlog.sources import feeds
@@ -113,39 +113,47 @@ def s25_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.committed_prefix(rows)[1].select("file", "n_kept", "n_lost")
 
 
+def _field(name: str, kind: str = "string", required: bool = False, form: str | None = None, enum: list[str] | None = None) -> tuple:
+    return name, kind, required, form, enum
+
+
 _SCHEMAS = [
-    ("orders", "1", "rows", ["id", "amount"], ["0"], True), ("orders", "2", "rows", ["id"], [], False),
-    ("places", "1", "geojson", ["id"], [], True), ("notes", "1", "document", ["id", "said"], [], True),
+    ("orders", "1", "rows", [_field("id", required=True), _field("amount", "number", True), _field("to"), _field("kind", enum=["a", "b"]), _field("seen", form="iso-datetime")], ["0"], True),
+    ("orders", "2", "rows", [_field("id", required=True)], [], False),
+    ("places", "1", "geojson", [_field("id", required=True), _field("to")], [], True),
+    ("notes", "1", "document", [_field("id", required=True), _field("said", required=True), _field("n", "integer"), _field("sum", form="sha256")], [], True),
 ]
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as payloads of three feeds, some of other or unknown versions, some short of a field, some without an id."""
-    key, k = F.col("o_orderkey"), F.col("o_orderkey") % 12
+    """Orders as payloads of three feeds: other and unknown versions, fields that are missing, nested, null, mistyped or
+    undeclared, shapes and geometries that are wrong, torn texts, units without an id."""
+    key, k = F.col("o_orderkey"), F.col("o_orderkey") % 20
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     cust = F.when(k == 9, "").otherwise(F.col("o_custkey").cast("string"))
     row = say('{"id":"', cust, '","amount":', F.col("o_totalprice"), ',"to":"', F.col("o_orderpriority"), '"}')
     short = say('{"id":"', cust, '"}')
+    place = lambda lon, rest: say('{"geometry":{"type":"Point","coordinates":[', lon, ',2]},"properties":', rest, "}")
     body = (
         F.when(k == 0, say('{"rows":[', row, ",", row, "]}")).when(k == 1, say('{"schema_version":"2","rows":[', short, "]}")).when(k == 2, say('{"schema_version":"0","rows":[', row, "]}"))
         .when(k == 3, say('{"schema_version":"7","rows":[', row, "]}")).when(k == 4, say('{"rows":[', row, ",", short, "]}")).when(k == 5, say('{"row":', row, "}"))
-        .when(k == 6, say('{"type":"FeatureCollection","features":[{"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"id":"', cust, '","to":"sea"}}]}'))
-        .when(k == 7, say('{"type":"Other"}')).when(k == 8, say('{"id":"', cust, '","said":"x"}')).when(k == 9, say('{"rows":[', row, "]}")).when(k == 10, say('{"id":"', cust, '"')).otherwise(say('{"id":"', cust, '","to":"sky"}'))
+        .when(k == 6, say('{"type":"FeatureCollection","features":[', place("1", say('{"id":"', cust, '","to":"sea"}')), "]}"))
+        .when(k == 7, say('{"type":"Other"}')).when(k == 8, say('{"id":"', cust, '","said":"x"}')).when(k == 9, say('{"rows":[', row, "]}")).when(k == 10, say('{"id":"', cust, '"')).when(k == 11, say('{"id":"', cust, '","to":"sky"}'))
+        .when(k == 12, say('{"note":{"id":"', cust, '","said":"y"}}')).when(k == 13, say('{"id":null,"said":"x","n":1.5}')).when(k == 14, say('{"id":', key, ',"said":["x"],"n":', key, ',"sum":"ab"}'))
+        .when(k == 15, say('{"rows":[{"id":"a","amount":"12"},7,{"id":"b","amount":1,"kind":"odd","seen":"2024-01-01T00:00:00"},{"id":"c","amount":2,"kind":"b","seen":"2024-01-01T00:00:00Z","more":true}]}'))
+        .when(k == 16, say('{"type":"FeatureCollection","features":[', place("200", F.lit('{"id":"p"}')), ",[],", place("3", F.lit("null")), "]}"))
+        .when(k == 17, "[1]").when(k == 18, say('{"id":"', cust, '","said":"z","n":true,"sum":"', F.sha2(key.cast("string"), 256), '","schema_version":""}')).otherwise(F.lit(None))
     )
-    feed = F.when(k.isin(6, 7), "places").when(k.isin(8, 10, 11), "notes").otherwise("orders")
+    feed = F.when(k.isin(6, 7, 16), "places").when(k.isin(8, 10, 11, 12, 13, 14, 17, 18), "notes").otherwise("orders")
     return table(spark, sf_dir, "orders").select(key.alias("payload_id"), feed.alias("schema_id"), body.alias("body"))
 
 
-def _schemas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SCHEMAS, "schema_id string, version string, kind string, required array<string>, compatible array<string>, fallback boolean")
-
-
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.payload_status(_payloads(spark, sf_dir), _schemas(spark))
+    return schemas.payload_status(_payloads(spark, sf_dir), spark.createDataFrame(_SCHEMAS, schemas.SCHEMA))
 
 
 def p02_payload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).select("payload_id", "effective", "status", F.array_join("reasons", "; ").alias("reasons"))
+    return _judged(spark, sf_dir).select("payload_id", "effective", "status", F.array_join("reasons", "; ").alias("reasons"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 def r04_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +221,40 @@ def x6_transitions_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.once(orders, earlier).select("transition_id", "subject_id", "transition_type", "caused_by")
 
 
-_P = """, p AS (SELECT o_orderkey AS payload_id, o_orderkey % 12 AS k, CASE WHEN k IN (6, 7) THEN 'places' WHEN k IN (8, 10, 11) THEN 'notes' ELSE 'orders' END AS schema_id, CASE WHEN k = 9 THEN '' ELSE o_custkey::VARCHAR END AS cust, o_totalprice, o_orderpriority FROM orders),
-  j AS (SELECT *, CASE k WHEN 1 THEN '2' WHEN 3 THEN '7' ELSE '1' END AS effective, CASE WHEN k = 3 THEN 'UNSUPPORTED_SCHEMA_VERSION' WHEN k IN (4, 5, 7, 10, 11) THEN 'INVALID' ELSE 'VALID' END AS status,
-    CASE k WHEN 3 THEN 'schema version not registered' WHEN 4 THEN 'row 1: missing amount' WHEN 5 THEN 'payload must contain rows' WHEN 7 THEN 'payload must be a FeatureCollection' WHEN 10 THEN 'payload is no JSON' WHEN 11 THEN 'missing said' ELSE '' END AS reasons FROM p),
+_P = r""", p AS (SELECT o_orderkey AS payload_id, o_orderkey % 20 AS k, CASE WHEN k IN (6, 7, 16) THEN 'places' WHEN k IN (8, 10, 11, 12, 13, 14, 17, 18) THEN 'notes' ELSE 'orders' END AS schema_id,
+    CASE WHEN k = 9 THEN '' ELSE o_custkey::VARCHAR END AS cust, o_totalprice, o_orderpriority, '{"id":"' || cust || '","amount":' || o_totalprice || ',"to":"' || o_orderpriority || '"}' AS r FROM orders),
+  b AS (SELECT *, CASE k WHEN 0 THEN '{"rows":[' || r || ',' || r || ']}' WHEN 1 THEN '{"schema_version":"2","rows":[{"id":"' || cust || '"}]}' WHEN 2 THEN '{"schema_version":"0","rows":[' || r || ']}' WHEN 3 THEN '{"schema_version":"7","rows":[' || r || ']}'
+    WHEN 4 THEN '{"rows":[' || r || ',{"id":"' || cust || '"}]}' WHEN 5 THEN '{"row":' || r || '}' WHEN 6 THEN '{"type":"FeatureCollection","features":[{"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"id":"' || cust || '","to":"sea"}}]}'
+    WHEN 7 THEN '{"type":"Other"}' WHEN 8 THEN '{"id":"' || cust || '","said":"x"}' WHEN 9 THEN '{"rows":[' || r || ']}' WHEN 10 THEN '{"id":"' || cust || '"' WHEN 11 THEN '{"id":"' || cust || '","to":"sky"}' WHEN 12 THEN '{"note":{"id":"' || cust || '","said":"y"}}'
+    WHEN 13 THEN '{"id":null,"said":"x","n":1.5}' WHEN 14 THEN '{"id":' || payload_id || ',"said":["x"],"n":' || payload_id || ',"sum":"ab"}'
+    WHEN 15 THEN '{"rows":[{"id":"a","amount":"12"},7,{"id":"b","amount":1,"kind":"odd","seen":"2024-01-01T00:00:00"},{"id":"c","amount":2,"kind":"b","seen":"2024-01-01T00:00:00Z","more":true}]}'
+    WHEN 16 THEN '{"type":"FeatureCollection","features":[{"geometry":{"type":"Point","coordinates":[200,2]},"properties":{"id":"p"}},[],{"geometry":{"type":"Point","coordinates":[3,2]},"properties":null}]}'
+    WHEN 17 THEN '[1]' WHEN 18 THEN '{"id":"' || cust || '","said":"z","n":true,"sum":"' || sha256(payload_id::VARCHAR) || '","schema_version":""}' END AS body FROM p),
+  s(schema_id, version, kind, compatible) AS (VALUES ('orders', '1', 'rows', '0'), ('orders', '2', 'rows', ''), ('places', '1', 'geojson', ''), ('notes', '1', 'document', '')),
+  f(schema_id, version, no, name, type, required, form, enum) AS (VALUES ('orders', '1', 1, 'id', 'string', true, '', NULL), ('orders', '1', 2, 'amount', 'number', true, '', NULL), ('orders', '1', 3, 'to', 'string', false, '', NULL), ('orders', '1', 4, 'kind', 'string', false, '', ['a', 'b']),
+    ('orders', '1', 5, 'seen', 'string', false, 'iso-datetime', NULL), ('orders', '2', 1, 'id', 'string', true, '', NULL), ('places', '1', 1, 'id', 'string', true, '', NULL), ('places', '1', 2, 'to', 'string', false, '', NULL),
+    ('notes', '1', 1, 'id', 'string', true, '', NULL), ('notes', '1', 2, 'said', 'string', true, '', NULL), ('notes', '1', 3, 'n', 'integer', false, '', NULL), ('notes', '1', 4, 'sum', 'string', false, 'sha256', NULL)),
+  v AS (SELECT b.*, CASE WHEN json_valid(body) THEN body::JSON END AS doc, coalesce(nullif(doc->>'$.schema_version', ''), '1') AS declared FROM b),
+  w AS (SELECT v.*, coalesce(x.version, c.version) AS version, coalesce(x.kind, c.kind) AS kind, coalesce(x.version, c.version, declared) AS effective FROM v
+    LEFT JOIN s x ON x.schema_id = v.schema_id AND x.version = declared LEFT JOIN s c ON c.schema_id = v.schema_id AND c.version = '1' AND c.compatible = declared AND x.version IS NULL),
+  h AS (SELECT *, CASE WHEN kind IS NULL THEN 'schema version not registered' WHEN doc IS NULL THEN 'payload is no JSON' WHEN kind = 'rows' AND json_type(doc, '$.rows') IS DISTINCT FROM 'ARRAY' THEN 'payload must contain rows'
+    WHEN kind = 'geojson' AND (doc->>'$.type') IS DISTINCT FROM 'FeatureCollection' THEN 'payload must be a GeoJSON FeatureCollection' WHEN kind = 'document' AND json_type(doc) <> 'OBJECT' THEN 'payload must be an object' END AS shape FROM w),
+  lists AS (SELECT payload_id, schema_id, version, kind, CASE kind WHEN 'rows' THEN json_extract(doc, '$.rows[*]') WHEN 'geojson' THEN json_extract(doc, '$.features[*]') ELSE [doc] END AS l FROM h WHERE shape IS NULL),
+  parts AS (SELECT payload_id, schema_id, version, kind, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS i FROM lists),
+  d AS (SELECT *, CASE WHEN kind = 'geojson' AND json_type(part) = 'OBJECT' THEN CASE WHEN coalesce(json_type(part, '$.properties'), 'NULL') = 'NULL' THEN '{}'::JSON ELSE json_extract(part, '$.properties') END ELSE part END AS own,
+    CASE kind WHEN 'rows' THEN 'row ' || i || ': ' WHEN 'geojson' THEN 'feature ' || i || ': ' ELSE '' END AS place FROM parts),
+  t AS (SELECT *, json_type(own, '$.' || name) AS found, own->>('$.' || name) AS x FROM d JOIN f USING (schema_id, version) WHERE json_type(part) = 'OBJECT'),
+  ok AS (SELECT *, CASE type WHEN 'string' THEN found = 'VARCHAR' WHEN 'number' THEN found IN ('BIGINT', 'UBIGINT', 'DOUBLE') ELSE found IN ('BIGINT', 'UBIGINT') END AS fits FROM t),
+  e AS (SELECT payload_id, i, 0 AS no, place || CASE kind WHEN 'geojson' THEN 'feature is not an object' ELSE 'payload is not an object' END AS said FROM d WHERE json_type(part) <> 'OBJECT'
+    UNION ALL SELECT payload_id, i, 0, place || 'invalid geometry' FROM d WHERE kind = 'geojson' AND json_type(part) = 'OBJECT' AND NOT CAST(part->>'$.geometry.coordinates[0]' AS DOUBLE) BETWEEN -180 AND 180
+    UNION ALL SELECT payload_id, i, no, place || name || ': required field missing' FROM ok WHERE required AND coalesce(found, 'NULL') = 'NULL'
+    UNION ALL SELECT payload_id, i, no, place || name || CASE WHEN NOT fits THEN ': expected ' || type WHEN form = 'iso-datetime' THEN ': not a timezone-aware ISO datetime' WHEN form = 'sha256' THEN ': not a sha256' ELSE ': ''' || x || ''' not in enum' END
+      FROM ok WHERE found <> 'NULL' AND (NOT fits OR form = 'iso-datetime' AND NOT regexp_matches(x, '(Z|[+-]\d\d:?\d\d)$') OR form = 'sha256' AND length(x) <> 64 OR enum IS NOT NULL AND NOT list_contains(enum, x))),
+  keyed AS (SELECT payload_id, schema_id, version, i, place, unnest(json_keys(own)) AS key FROM d WHERE json_type(part) = 'OBJECT' AND json_type(own) = 'OBJECT'),
+  g AS (SELECT payload_id, i, place || 'undeclared field present: ' || key AS said, key FROM keyed n WHERE key <> 'schema_version' AND NOT EXISTS (SELECT 1 FROM f WHERE f.schema_id = n.schema_id AND f.version = n.version AND f.name = n.key)),
+  j AS (SELECT h.payload_id, k, schema_id, cust, o_totalprice, o_orderpriority, effective, CASE WHEN kind IS NULL THEN 'UNSUPPORTED_SCHEMA_VERSION' WHEN shape IS NOT NULL OR ee.reasons IS NOT NULL THEN 'INVALID' ELSE 'VALID' END AS status,
+    coalesce(shape, ee.reasons, '') AS reasons, coalesce(gg.warnings, '') AS warnings, coalesce(shape, ee.one, '') AS one FROM h LEFT JOIN (SELECT payload_id, string_agg(said, '; ' ORDER BY i, no) AS reasons, arg_min(said, i * 100 + no) AS one FROM e GROUP BY 1) ee USING (payload_id)
+    LEFT JOIN (SELECT payload_id, string_agg(said, '; ' ORDER BY i, key) AS warnings FROM g GROUP BY 1) gg USING (payload_id)),
   u AS (SELECT payload_id, CAST(unnest(CASE WHEN k = 0 THEN [0, 1] ELSE [0] END) AS INT) AS pos, k, cust, o_orderpriority FROM j WHERE status = 'VALID'),
   m AS (SELECT *, 'obj-' || cust AS object_id FROM u WHERE cust <> ''),
   o AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1),
@@ -238,8 +277,8 @@ SQL = {
     "s25_torn_tail": duck(
         """, t AS (SELECT source_id, min(seq) AS torn FROM log WHERE seq IN (700, 1500, 2500, 2600) GROUP BY 1)
         SELECT source_id AS file, count(*) FILTER (WHERE torn IS NULL OR seq < torn) AS n_kept, count(*) FILTER (WHERE seq >= torn) AS n_lost FROM log LEFT JOIN t USING (source_id) GROUP BY 1""", "log"),
-    "p02_payload_status": f"{_P} SELECT payload_id, effective, status, reasons FROM j",
-    "r04_quarantine": f"{_P} SELECT schema_id, status, reasons AS reason, count(*) AS n FROM j WHERE status <> 'VALID' GROUP BY ALL",
+    "p02_payload_status": f"{_P} SELECT payload_id, effective, status, reasons, warnings FROM j",
+    "r04_quarantine": f"{_P} SELECT schema_id, status, one AS reason, count(*) AS n FROM j WHERE status <> 'VALID' GROUP BY ALL",
     "p05_units": f"""{_P} SELECT payload_id, pos, CASE k WHEN 1 THEN '{{"id":"' || cust || '"}}' WHEN 6 THEN '{{"id":"' || cust || '","to":"sea","__geometry":{{"type":"Point","coordinates":[1,2]}}}}' WHEN 8 THEN '{{"id":"' || cust || '","said":"x"}}'
         ELSE '{{"id":"' || cust || '","amount":' || (SELECT o_totalprice FROM orders WHERE o_orderkey = payload_id) || ',"to":"' || o_orderpriority || '"}}' END AS unit FROM u""",
     "q04_ingest": f"{_P} SELECT object_id, version, payload_id, pos, transformation_id FROM made",
