@@ -1,7 +1,8 @@
 """The registered queries of the library and the SQL that each is held against."""
 
-from . import analysis, assess, ingest, reads, state, text, views, world
+from . import analysis, assess, connect, ingest, reads, state, text, views, world
 
 FLAGSHIP = "q01_mission_view"
-QUERIES: dict = state.QUERIES | analysis.QUERIES | text.QUERIES | views.QUERIES | ingest.QUERIES | reads.QUERIES | world.QUERIES | assess.QUERIES
-ORACLE_SQL: dict = state.SQL | analysis.SQL | text.SQL | views.SQL | ingest.SQL | reads.SQL | world.SQL | assess.SQL
+_ALL = (state, analysis, text, views, ingest, reads, world, assess, connect)
+QUERIES: dict = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for module in _ALL for name, sql in module.SQL.items()}

@@ -32,13 +32,16 @@ def s01_log_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s02_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log that grows between two reads: the second read takes up where the first ended. seq and the read that saw it."""
-    rows = roles.log(spark, sf_dir).select(F.to_json(F.struct("seq", "source_id")).alias("value"), "seq")
+    """A log that grows between two reads, some of its lines torn: the second read takes up where the first ended, and what
+    cannot be read is kept with the reason."""
+    line = F.to_json(F.struct("seq", "source_id"))
+    rows = roles.log(spark, sf_dir).select(F.when(F.col("seq") % 13 == 5, F.expr("left(source_id, 2)")).otherwise(line).alias("value"), "seq")
     path, out, state = (_folder(spark, x) for x in ("segments", "tail", "state"))
     for read, part in enumerate(("seq <= 4000", "seq > 4000"), 1):
         rows.filter(part).select("value").write.mode("append").text(path)
         live.catch_up(spark, path, "seq long, source_id string", out, state, read)
-    return spark.read.schema("seq long, source_id string, read int").parquet(out).select("seq", "source_id", "read")
+    found = spark.read.schema("seq long, source_id string, problem string, line string, read int").parquet(out)
+    return found.select("seq", "source_id", "problem", "line", "read")
 
 
 def s06_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +266,9 @@ _P = "WITH" + _P[1:]
 
 SQL = {
     "s01_log_framing": "SELECT CASE event_id % 10 WHEN 3 THEN 'EMPTY_LINE' WHEN 5 THEN 'CARRIAGE_RETURN' WHEN 7 THEN 'TORN_OR_INVALID' ELSE 'NONE' END AS problem, count(*) AS n FROM events GROUP BY 1",
-    "s02_tail": duck("SELECT seq, source_id, CAST(CASE WHEN seq <= 4000 THEN 1 ELSE 2 END AS INT) AS read FROM log", "log"),
+    "s02_tail": duck(
+        """SELECT CASE WHEN seq % 13 <> 5 THEN seq END AS seq, CASE WHEN seq % 13 <> 5 THEN source_id END AS source_id, CASE WHEN seq % 13 = 5 THEN 'INVALID_JSON' END AS problem,
+        CASE WHEN seq % 13 = 5 THEN left(source_id, 2) END AS line, CAST(CASE WHEN seq <= 4000 THEN 1 ELSE 2 END AS INT) AS read FROM log""", "log"),
     "s06_json_documents": """SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '{"a":{"b":[2],"y":1},"z":' || user_id || '}' END AS document, CASE WHEN event_id % 4 = 0 THEN 'NOT_AN_OBJECT' END AS problem FROM events""",
     "s07_csv_feed": """SELECT CASE WHEN k > 1 THEN o_orderkey END AS key, CASE WHEN k NOT IN (0, 1, 4, 6) THEN 2.5::DOUBLE END AS price, CASE WHEN k > 1 THEN k > 5 END AS flag,
         CASE WHEN k <= 1 THEN 'WIDTH' WHEN k = 4 THEN 'price' ELSE '' END AS problem FROM (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders)""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from worldlog.operators.graph import saved
+from worldlog.sources import connectors
 
 MARKED = "seq long, source_id string, source_time timestamp, watermark timestamp, late boolean"
 
@@ -46,12 +47,15 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
 
 
 def catch_up(spark: SparkSession, path: str, schema: str, out: str, state: str, read: int) -> None:
-    """Appends to ``out`` the readable log lines in ``path`` that no earlier call with this ``state`` has seen, with ``read``."""
-    lines = spark.readStream.option("lineSep", "\n").text(path)
-    rows = lines.filter(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("e")).select("e.*")
+    """Appends to ``out`` the log lines in ``path`` that no earlier call with this ``state`` has seen, with ``read``.
+
+    Lines that are not readable keep their place and text with the problem; a line without its end waits for it.
+    """
+    lines = connectors.segment_stream(spark, path)
+    rows = lines.select(F.when(F.col("problem").isNull(), F.from_json("line", schema)).alias("e"), "problem", F.when(F.col("problem").isNotNull(), F.col("line")).alias("line"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:  # a batch that is run again writes its folder again
-        batch.withColumn("read", F.lit(read)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.select("e.*", "problem", "line").withColumn("read", F.lit(read)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
