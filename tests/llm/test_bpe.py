@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -24,6 +25,10 @@ def plain(ranks):
     return tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
+def ids_of(pieces: bpe.Pieces, text: str) -> list[int]:
+    return np.frombuffer(pieces.encode([text])[0], np.int32).tolist()
+
+
 def test_awkward_rows_against_another_library(spark, plain):
     rows = [*corpus.texts(), (71, "x" * 50_000), (72, " \n" * 3_000), (73, "<|endoftext|> a"), (74, "don't I'LL"), (75, "日本 🙂‍🙂 é")]
     got = bpe.round_trip(corpus.table(spark, rows)).collect()
@@ -36,7 +41,8 @@ def test_awkward_rows_against_another_library(spark, plain):
 
 def test_every_token_is_reached_by_merges_or_whole(ranks):
     codec = bpe.Codec(ranks)
-    assert all(codec.encode(t) == [i] and codec.decode([i]) == t for t, i in ranks.items())
+    assert codec.merged(list(ranks)) == [[i] for i in ranks.values()]
+    assert all(codec.decode(np.array([i])) == t for t, i in ranks.items())
 
 
 def test_random_characters_of_every_plane(ranks, plain):
@@ -45,7 +51,19 @@ def test_random_characters_of_every_plane(ranks, plain):
     text = "".join(chr(draw.randrange(*draw.choice(planes))) for _ in range(60_000))
     split, codec = bpe.Splitter(bpe.default_pattern()), bpe.Codec(ranks)
     assert "".join(split(text)) == text
-    assert [i for p in split(text) for i in codec.encode(p.encode())] == plain.encode_ordinary(text)
+    want = plain.encode_ordinary(text)
+    assert np.frombuffer(b"".join(codec.encode_all(split(text))), np.int32).tolist() == want
+    for cuts in (True, False):
+        assert ids_of(bpe.Pieces(codec, split, cuts), text) == want
+
+
+def test_texts_cut_before_spaces(ranks, plain):
+    known = bpe.Pieces(bpe.Codec(ranks), bpe.Splitter(bpe.default_pattern()), True)
+    draw = random.Random(6)
+    for _ in range(300):
+        text = "".join(draw.choices(["a", " ", "  ", "\n", "\u00a0", "\x1c", "'s", "9", "!", "é", "\u3000", "it's", "\x85"], k=30))
+        assert ids_of(known, text) == plain.encode_ordinary(text), text
+        known.held = draw.choice([known.held, bpe.KEPT_CHARS + 1])  # it may begin anew at any time
 
 
 def test_a_token_that_no_merges_lead_to():
@@ -53,8 +71,8 @@ def test_a_token_that_no_merges_lead_to():
     codec = bpe.Codec(ranks)
     plain = tiktoken.Encoding("small", pat_str=r"\w+|\W", mergeable_ranks=ranks, special_tokens={})
     for text in ["abc", "xyz", "xyza", "abcabc", "bcab", "aabbcc", "abcd", "z"]:
-        assert codec.encode(text.encode()) == plain.encode_ordinary(text), text
-    assert codec.merged(b"xyz") != [300] == codec.encode(b"xyz")
+        assert np.frombuffer(codec.encode_all([text])[0], np.int32).tolist() == plain.encode_ordinary(text), text
+    assert codec.merged([b"xyz"]) != [[300]]
 
 
 def test_vocabularies_that_cannot_be_written():

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
@@ -22,10 +25,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .packing import byte_letters
 from .words import slices
 
-#: Pre-tokens whose ids a task keeps; more begin anew.
-CACHE = 400_000
-#: Longer pre-tokens are encoded each time and not kept.
-KEPT_LENGTH = 64
+#: Characters of texts' chunks and matches whose ids a task keeps; beyond them it begins anew.
+KEPT_CHARS = 12_000_000
+_SPACES, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 # Fixed values of sentencepiece's model format: field numbers, types of pieces, the kind of model.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _PIECE, _SCORE, _TYPE = 1, 2, 3
@@ -102,25 +104,19 @@ class Splitter:
 
         self.pattern = regex.compile(pattern)
         self.unlike = stand_ins()
-        inside = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs(sorted(self.unlike)))
-        self.any_unlike = regex.compile(f"[{inside}]" if inside else "(?!)")
+        self._odd = np.zeros(0x110000, bool)
+        self._odd[list(self.unlike)] = True
+
+    def alike(self, texts: list[str]) -> bool:
+        """Whether both libraries class all characters of the texts alike."""
+        return not any(self._odd[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any() for t in texts if not t.isascii())
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not self.any_unlike.search(text):
+        if self.alike([text]):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.unlike))]
 
 
-def _runs(points: list[int]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for p in points:
-        if out and out[-1][1] == p - 1:
-            out[-1][1] = p
-        else:
-            out.append([p, p])
-    return [(a, b) for a, b in out]
-
-
 @functools.cache
 def stand_ins() -> dict[int, str]:
     """A character of the class that ``tiktoken`` sees, for each that ``regex`` classes otherwise."""
@@ -147,32 +143,75 @@ class Codec:
 
         self.ranks = ranks
         self.letters = str.maketrans({b: c for b, c in byte_letters().items()})
-        self.ids = np.array(sorted(ranks.values()), np.int64)
+        self.ids = sorted(ranks.values())  # by place of the piece
+        self.plain = self.ids == list(range(len(ranks)))
         self.tokens = {i: t for t, i in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
 
-    def merged(self, raw: bytes) -> list[int]:
-        """The ids that merging leads to."""
-        return self.ids[self.model.encode(raw.decode("latin-1").translate(self.letters))].tolist()
+    def encode_all(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as 32-bit bytes; one that is a token as a whole is that token, even where no merges lead to it."""
+        raw = [p.encode() for p in pieces]
+        ids = [[self.ranks[r]] if r in self.ranks else None for r in raw]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, found in zip(rest, self.merged([raw[i] for i in rest]), strict=True):
+            ids[i] = found
+        return [struct.pack(f"<{len(x)}i", *x) for x in ids]
 
-    def encode(self, raw: bytes) -> list[int]:
-        """Ids of one pre-token; one that is a token as a whole is that token, even where no merges lead to it."""
-        whole = self.ranks.get(raw)
-        return [whole] if whole is not None else self.merged(raw) if raw else []
+    def merged(self, raw: list[bytes]) -> list[list[int]]:
+        """The ids that merging leads to."""
+        found = self.model.encode([r.decode("latin-1").translate(self.letters) for r in raw], num_threads=1)
+        return found if self.plain else [[self.ids[i] for i in x] for x in found]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-class Known(dict):
-    """Ids of pre-tokens met before, as 32-bit bytes; others are encoded when asked for."""
+class Pieces:
+    """Encodes whole texts, and keeps the ids (32-bit bytes) of what it has met: matches of the pattern, and chunks of them.
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    Where ``cuts`` says that no match of the pattern joins a space to a character before it that is no white space, texts
+    are cut into chunks before such spaces; a chunk is split by the pattern only when it is first met.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.encode(piece.encode()), np.int32).tobytes()
-        return self.setdefault(piece, ids) if len(piece) <= KEPT_LENGTH else ids
+    def __init__(self, codec: Codec, split: Splitter, cuts: bool):
+        self.codec, self.split, self.cuts = codec, split, cuts
+        self.whole: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # chunks that follow a space and begin with it
+        self.matches: dict[str, bytes] = {}
+        self.held = 0
+
+    def _learn(self, known: dict[str, bytes], lead: str, chunks: set[str], alike: bool) -> None:
+        new = list(chunks.difference(known))
+        split = list(map(self.split.pattern.findall if alike else self.split, [lead + c for c in new]))
+        fresh = list(set(itertools.chain.from_iterable(split)).difference(self.matches))
+        self.matches.update(zip(fresh, self.codec.encode_all(fresh), strict=True))
+        known.update((c, b"".join(map(self.matches.__getitem__, s))) for c, s in zip(new, split, strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, fresh))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if self.held > KEPT_CHARS:
+            self.held = 0
+            for known in (self.whole, self.spaced, self.matches):
+                known.clear()
+        cut = []
+        for text in texts:
+            if not self.cuts:
+                cut.append(([text], []))
+            elif _SPACES.search(text):
+                cut.append((_CUT.split(text), []))
+            else:
+                first, *rest = text.split(" ")
+                cut.append(([first], rest))
+        alike = self.split.alike(texts)
+        self._learn(self.whole, "", set().union(*(whole for whole, _ in cut)), alike)
+        self._learn(self.spaced, " ", set().union(*(spaced for _, spaced in cut)), alike)
+        return [b"".join([*map(self.whole.__getitem__, whole), *map(self.spaced.__getitem__, spaced)]) for whole, spaced in cut]
+
+
+def joins_no_space(pattern: str) -> bool:
+    """Whether a pattern is known to begin a match at each space that follows another character than white space."""
+    return pattern == default_pattern()
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
@@ -184,12 +223,11 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str | None
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = Splitter(pattern or default_pattern()), Known(Codec(read_ranks(vocabulary or default_vocabulary())))
+        said = pattern or default_pattern()
+        known = Pieces(Codec(read_ranks(vocabulary or default_vocabulary())), Splitter(said), joins_no_space(said))
         for batch in batches:
             for at, part in slices(batch.column(place)):
-                if len(known) > CACHE:
-                    known.clear()
-                ids = [b"".join(map(known.__getitem__, split(t))) for t in part.to_pylist()]
+                ids = known.encode(part.to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
@@ -212,7 +250,9 @@ def decoded(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                said = [codec.decode(ids or []) for ids in part.column(place).to_pylist()]
+                column = part.column(place)
+                flat, ends = column.flatten().to_numpy(), np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
+                said = [codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.binary())], names=names)
 
     rows = tokens.drop("decoded")
