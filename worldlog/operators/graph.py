@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +82,32 @@ def dependents(edges: DataFrame, changed: DataFrame) -> DataFrame:
         if not front.limit(1).count():
             return found.join(changed, "node", "left_anti")
         found = found.union(front)
+
+
+def typed_paths(edges: DataFrame, wanted: DataFrame, types: list[str], hops: int = 3) -> DataFrame:
+    """seed, target, step, src, relation_id, relation_type, dst: the edges of a shortest path for each wanted (seed, target).
+
+    ``edges``: relation_id, src, dst, relation_type, status; only ACTIVE ones of the given types count, in both directions. Of
+    several shortest paths that one is given whose last edge has the least (relation_id, node before), and so on towards
+    the seed. Pairs farther apart than ``hops`` edges, or the same node twice, have no rows. Each round keeps one
+    predecessor for each (seed, node); paths are put together from those, no path is carried along.
+    """
+    good = edges.filter((F.col("status") == "ACTIVE") & F.col("relation_type").isin(types) & (F.col("src") != F.col("dst")))
+    columns = ["relation_id", "relation_type"]
+    links = saved(good.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), *columns).union(good.select("dst", "src", *columns)), "links")
+    none = F.lit(None)
+    front = wanted.select("seed", F.col("seed").alias("node")).distinct()
+    front = front.withColumns({"hop": F.lit(0), "prev": none.cast(good.schema["src"].dataType), "relation_id": none.cast(good.schema["relation_id"].dataType), "relation_type": none.cast("string")})
+    found = front = saved(front, "paths")
+    for hop in range(1, hops + 1):
+        step = front.select("seed", F.col("node").alias("_a")).join(links, "_a")
+        least = step.groupBy("seed", F.col("_b").alias("node")).agg(F.min(F.struct("relation_id", F.col("_a").alias("prev"), "relation_type")).alias("_by"))
+        new = least.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        front = saved(new.select("seed", "node", F.lit(hop).alias("hop"), "_by.prev", "_by.relation_id", "_by.relation_type"), "paths")
+        found = found.union(front)
+    at = wanted.distinct().join(found.withColumnRenamed("node", "target"), ["seed", "target"]).filter("hop > 0").withColumn("node", F.col("target"))
+    rows = []
+    for _ in range(hops):
+        rows.append(at.select("seed", "target", F.col("hop").alias("step"), F.col("prev").alias("src"), "relation_id", "relation_type", F.col("node").alias("dst")))
+        at = at.select("seed", "target", F.col("prev").alias("node")).join(found, ["seed", "node"]).filter("hop > 0")
+    return reduce(DataFrame.union, rows)
