@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from worldlog.sources import connectors
+from worldlog.sources import connectors, feeds, provenance
 
 
 def lines_of(raw: bytes) -> list[tuple[int, bytes, bool]]:
@@ -94,3 +94,32 @@ def test_connectors_by_kind(spark):
     assert [r.payload_id for r in geo.filter("problem IS NULL").collect()] == [8]
     with pytest.raises(ValueError, match="unknown connector kind"):
         connectors.connector("pdf", "x", "y")
+
+
+def test_provenance_words_lose_no_match(spark):
+    """Trying a type's pattern only where one of its words stands gives what trying all patterns gives."""
+    draw = random.Random(12)
+    says = [
+        "Published by", "PUBLISHER:", "PUBLİSHED BY", "publıshed by", "publiſhed  by", "Herausgegeben von", "HERAUSGEBER", "Éditeur :", "editeur", "publié par", "PUBLIÉ PAR", "Publicado por", "Editado por", "pubblicato da", "issued by", "ISSUING AUTHORITY",
+        "erlassen von", "émis par", "EMIS PAR", "emitido por", "emesso da", "\nby Ann Bo\n", "edited by", "Editor", "Redaktion", "RÉDACTEUR", "submitted by", "uploaded by", "deposited by", "eingereicht von", "soumis par", "presentado por", "© 2001", "(C)", "Copyright",
+        "translated by", "translation of", "Übersetzt von", "ubersetzung von", "traduit par", "traduction de", "traducido por", "tradotto da", "syndicated from", "via AFP", "VIA PA  Media", "wire service", "mirrored from", "mirror site", "Spiegelserver", "miroir de", "espejo de",
+        "the Wayback Machine", "archived by", "Archive-It", "internet archive", "archiviert von", "the wayback machine", "the WAYBAC\u212a machine", "reda\u212ation", "archivé par", "commissioned by", "prepared for", "study for", "im Auftrag von", "commandé par", "encargado por", "operated by", "managed by", "betrieben von", "exploité par", "gestionado por",
+        "owned by", "a subsidiary of", "a division of", "Eigentümer", "eigentumer", "propriété de", "propiedad de", "Official Journal of", "Amtsblatt der", "Journal officiel du", "Diario Oficial de", "gazzetta ufficiale della", "This act revises", "replaces", "supersedes", "amends", "corrects",
+        "withdraws", "retracts", "consolidates", "COM 2020-33", "AD No. 12/45", "L 1.2.3", "C ١٢٣", "published on 3 May 2021", "of 12 June 1999", "For more information, contact", "Press Office", "Pressestelle", "contact presse",
+    ]
+    rows = [(i, "".join(draw.choices([*says, "x", " of ", "\n", " | ", " The Office of Papers", " Line & Co.", " ", "K", "."], k=draw.randint(1, 60)))) for i in range(400)] + [(900 + i, s + " The Body of it") for i, s in enumerate(says)] + [(998, None), (999, "")]
+    table = spark.createDataFrame(rows, "id long, body string")
+    got, want = (sorted(map(tuple, provenance.captured(table, "id", "body", everywhere).collect())) for everywhere in (False, True))
+    assert got == want
+    assert {x[1] for x in got} == set(provenance.PATTERNS)
+
+
+def test_leaves_and_items_that_are_not_read(spark):
+    deep = "[" * 20_000 + "1" + "]" * 20_000
+    rows = [(1, deep), (2, '{"a":1,"a":2}'), (3, "{"), (4, '{"a":"[[[","b":[{"c":null}]}'), (5, None), (6, "[" * 256 + "]" * 256), (7, "[" * 257 + "]" * 257)]
+    got = feeds.json_leaves(spark.createDataFrame(rows, "id long, body string"), "id", "body").collect()
+    assert sorted((r.id, r.path, r.value, r.problem) for r in got if r.problem) == [(1, None, None, "TOO_DEEP"), (2, None, None, "INVALID"), (3, None, None, "INVALID"), (7, None, None, "TOO_DEEP")]
+    assert [(r.path, r.value) for r in got if r.id == 4] == [("$.a", "[[["), ("$.b[0].c", "")]
+    feeds_ = [(1, "<!DOCTYPE x><rss><channel><item><guid>1</guid></item></channel></rss>"), (2, "<rss><channel></channel></rss>"), (3, None), (4, "<rss><channel><item><title>t</title></item><item><guid>g</guid></item></channel></rss>"), (5, '<feed><entry><id>e</id></entry><entry><title>u</title><link href="http://x"/></entry></feed>')]
+    found = feeds.feed_items(spark.createDataFrame(feeds_, "id long, body string"), "id", "body").collect()
+    assert sorted((r.id, r.native_id or "", r.problem) for r in found) == [(1, "", "DTD_REFUSED"), (2, "", "NO_ITEMS"), (3, "", "NO_ITEMS"), (4, "", "NO_NATIVE_ID"), (4, "g", None), (5, "e", None), (5, "http://x", None)]

@@ -171,7 +171,7 @@ def test_feeds(spark):
     assert [(r.id, r.lon, r.problem) for r in geo] == [(1, 1.0, None), (1, 1.0, "OUT_OF_BOUNDS"), (2, None, "NOT_A_COLLECTION")]
     rss = "<rss><channel><item><guid>g1</guid><title>T</title></item><item><link>http://l</link></item><item><title>none</title></item></channel></rss>"
     items = feeds.feed_items(spark.createDataFrame([(1, rss), (2, "<!DOCTYPE x><rss/>")], "id long, body string"), "id", "body").collect()
-    assert [r.native_id for r in items] == ["g1", "http://l"]
+    assert [(r.id, r.native_id, r.problem) for r in items] == [(1, "g1", None), (1, "http://l", None), (1, None, "NO_NATIVE_ID"), (2, None, "DTD_REFUSED")]
 
 
 def test_stream_equals_batch_over_several_files(spark):

@@ -98,7 +98,7 @@ def s13_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k == 0, atom).when(k == 1, F.concat(F.lit("<!DOCTYPE rss>"), rss)).otherwise(rss)
     found = feeds.feed_items(table(spark, sf_dir, "pages").select("page_id", body.alias("body")), "page_id", "body")
     stamp = F.coalesce(scalar.mail_time(F.col("published")), scalar.instant(F.col("published")))
-    return found.select("page_id", "native_id", "title", "url", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("published"))
+    return found.select("page_id", "native_id", "title", "url", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("published"), "problem")
 
 
 def s20_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +274,9 @@ SQL = {
         CASE WHEN k <= 1 THEN 'WIDTH' WHEN k = 4 THEN 'price' ELSE '' END AS problem FROM (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders)""",
     "s08_geojson_feed": "SELECT vec_id, ['Point', 'Polygon', 'Polygon', 'LineString', 'Point'][vec_id % 5 + 1] AS kind, ['OUT_OF_BOUNDS', 'NONE', 'RING_NOT_CLOSED', 'OUT_OF_BOUNDS', 'NONE'][vec_id % 5 + 1] AS problem FROM embeddings",
     "s09_evidence_bundles": """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'a' || doc_id END AS assertion_id, ['NONE', 'source_object', 'source_object', 'document', 'assertion', 'INVALID'][doc_id % 6 + 1] AS problem FROM documents""",
-    "s13_feed_items": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'e' ELSE 'g' END || page_id AS native_id, CASE WHEN page_id % 4 = 0 THEN 'A' ELSE 'T' END AS title, url,
-        CASE WHEN page_id % 4 = 0 THEN '2024-03-01 00:00:00' ELSE '2024-01-02 02:04:05' END AS published FROM pages WHERE page_id % 4 <> 1""",
+    "s13_feed_items": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'e' WHEN page_id % 4 > 1 THEN 'g' END || page_id AS native_id, CASE page_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN NULL ELSE 'T' END AS title, CASE WHEN page_id % 4 <> 1 THEN url END AS url,
+        CASE page_id % 4 WHEN 0 THEN '2024-03-01 00:00:00' WHEN 1 THEN NULL ELSE '2024-01-02 02:04:05' END AS published, CASE WHEN page_id % 4 = 1 THEN 'DTD_REFUSED' END AS problem FROM pages
+        UNION ALL SELECT page_id, NULL, 'no id', NULL, NULL, 'NO_NATIVE_ID' FROM pages WHERE page_id % 4 > 1""",
     "s20_append": duck(
         """, b AS (SELECT min(seq) AS "at", subject, k FROM log WHERE seq > 2000 GROUP BY subject, k), n AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.seq <= 3000 AND l.subject = b.subject AND l.k = b.k))
         SELECT least(3000, (SELECT max(seq) FROM log)) + row_number() OVER (ORDER BY "at") AS seq, "at", subject, k FROM n""", "log"),

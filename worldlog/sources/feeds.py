@@ -6,6 +6,7 @@ Every reader keeps what it cannot read, with the reason, in place of raising: on
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,36 +42,73 @@ def strict_json(text: Column) -> Column:
     return F.when(value.isNull(), "INVALID").when(huge, "NOT_FINITE").when(~F.schema_of_variant(value).startswith("OBJECT"), "NOT_AN_OBJECT")
 
 
-def json_fields(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, path, value of every leaf of a JSON column, ``$.a[0].b`` paths, however deep, keys in their order.
+#: Deeper texts are not read, as everywhere in the log.
+MOST_DEPTH = 256
 
-    Numbers keep their spelling, null is an empty value, empty objects and arrays have no leaf; texts that are no JSON
-    have no row. A text is walked once, in one pass over the rows.
-    """
 
-    def leaves(text: str) -> Iterator[tuple[str, str]]:
-        try:
-            stack = [("$", json.loads(text, parse_int=str, parse_float=str))]
-        except (ValueError, RecursionError):
+def _depth(text: str) -> int:
+    """How deep a JSON text nests, by its brackets outside of strings."""
+    depth = most = 0
+    for mark in _BRACKETS.findall(text):
+        if mark in "[{":
+            depth += 1
+            most = max(most, depth)
+        elif mark in "]}":
+            depth -= 1
+    return most
+
+
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("repeated key")
+    return dict(pairs)
+
+
+def _leaves(text: str) -> Iterator[tuple[str | None, str | None, str | None]]:
+    """(path, value, problem) of a text's leaves, or one row with the problem."""
+    try:
+        if _depth(text) > MOST_DEPTH:
+            yield None, None, "TOO_DEEP"
             return
-        while stack:
-            path, node = stack.pop()
-            if isinstance(node, dict):
-                stack += [(f"{path}.{k}", node[k]) for k in sorted(node, reverse=True)]
-            elif isinstance(node, list):
-                stack += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(node)))]
-            else:
-                yield path, "" if node is None else str(node).lower() if isinstance(node, bool) else node
+        stack = [("$", json.loads(text, parse_int=str, parse_float=str, object_pairs_hook=_once))]
+    except ValueError:
+        yield None, None, "INVALID"
+        return
+    while stack:
+        path, node = stack.pop()
+        if isinstance(node, dict):
+            stack += [(f"{path}.{k}", node[k]) for k in sorted(node, reverse=True)]
+        elif isinstance(node, list):
+            stack += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(node)))]
+        else:
+            yield path, "" if node is None else str(node).lower() if isinstance(node, bool) else node, None
+
+
+def json_leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path, value, problem: every leaf of a JSON column, ``$.a[0].b`` paths, keys in their order; a text that is not read
+    has one row with its problem, INVALID (torn, repeated keys) or TOO_DEEP (beyond ``MOST_DEPTH``).
+
+    Numbers keep their spelling, null is an empty value, empty objects and arrays have no leaf, null texts no row. A text
+    is walked once, in one pass over the rows.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, p, v) for i, x in enumerate(batch.column(1)) if x.is_valid for p, v in leaves(x.as_py())]
-            at, paths, values = ([r[i] for r in found] for i in range(3))
+            found = [(i, *leaf) for i, x in enumerate(batch.column(1)) if x.is_valid for leaf in _leaves(x.as_py())]
+            at, *columns = ([r[i] for r in found] for i in range(4))
             keys = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[key, "path", "value"])
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.string()) for c in columns)], names=[key, "path", "value", "problem"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(column).cast("string")).mapInArrow(walk, f"{key} {kind}, path string, value string")
+    return rows.select(key, F.col(column).cast("string")).mapInArrow(walk, f"{key} {kind}, path string, value string, problem string")
+
+
+def json_fields(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path, value of every leaf of a JSON column; ``json_leaves`` names the texts that have none since they are not read."""
+    return json_leaves(rows, key, column).filter("problem IS NULL").drop("problem")
 
 
 def json_documents(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -109,7 +147,7 @@ def csv_feed(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFram
     return raw.select(*cast, F.when(~good, "WIDTH").otherwise(F.concat_ws(",", *bad)).alias("problem"))
 
 
-#: ``Label: value.`` on one line; addresses are no values.
+# Fixed values: ``Label: value.`` on one line (addresses are no values), and how many lines of a text the rule reads.
 LABELLED_LINE = r"^\s*([A-Za-zÀ-ÿ][\w /()-]{2,48}):\s+(.{2,160}?)\s*\.?\s*$"
 LINES_READ = 200
 
@@ -118,12 +156,16 @@ def labelled_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, attribute, value, start, end (code points of the value in the text) of the ``Label: value.`` lines of texts.
 
     The label in lower case, other characters as one underscore, is the attribute. The rule reads the first
-    ``LINES_READ`` lines of a text: labels stand at its head.
+    ``LINES_READ`` lines of a text: labels stand at its head. Where each line begins is summed up along the text once, and
+    lines of another form go before they become rows.
     """
-    lines = rows.select(key, F.posexplode(F.slice(F.split(text, "\n"), 1, LINES_READ)).alias("_at", "_line"), F.split(text, "\n").alias("_all"))
-    before = F.aggregate(F.slice("_all", F.lit(1), F.col("_at")), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    none = F.array().cast("array<struct<line:string,base:int>>")
+    begun = F.struct(F.lit(0).alias("at"), none.alias("lines"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(x.rlike(f"(?U){LABELLED_LINE}"), F.array_append(acc["lines"], F.struct(x.alias("line"), acc["at"].alias("base")))).otherwise(acc["lines"]).alias("lines"))
+    heads = F.slice(F.split(text, "\n", LINES_READ + 1), 1, LINES_READ)
+    lines = rows.select(key, F.inline(F.aggregate(heads, begun, step)["lines"])).withColumnsRenamed({"line": "_line", "base": "_base"})
     part = lambda i: F.regexp_extract("_line", f"(?U){LABELLED_LINE}", i)
-    found = lines.filter(F.col("_line").rlike(f"(?U){LABELLED_LINE}")).select(key, part(1).alias("_label"), part(2).alias("_raw"), "_line", before.alias("_base"))
+    found = lines.select(key, part(1).alias("_label"), part(2).alias("_raw"), "_line", "_base")
     found = found.filter(~F.col("_raw").rlike("^(//|http)")).withColumn("value", F.trim("_raw"))
     place = F.length(F.regexp_extract("_line", r"(?U)^(\s*[A-Za-zÀ-ÿ][\w /()-]{2,48}:\s+)", 1))
     attribute = F.regexp_replace(F.regexp_replace(F.lower(F.trim("_label")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -163,19 +205,23 @@ def geojson_features(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def feed_items(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, native_id, title, url, published of RSS items and Atom entries; documents with a DTD are refused, items without
-    an id left out."""
+    """key, native_id, title, url, published, problem of RSS items and Atom entries.
+
+    Documents with a DTD are refused before they are parsed: one row, DTD_REFUSED. Items without an id are kept with
+    NO_NATIVE_ID; a document without any item, null ones too, has one row, NO_ITEMS.
+    """
     body = F.col(column)
-    safe = rows.filter(~body.rlike("(?i)<!DOCTYPE|<!ENTITY"))
-    item = "item array<struct<guid:string,link:string,title:string,pubDate:string,description:string>>"
-    read = safe.select(key, F.explode(F.from_xml(body, f"channel struct<{item.replace(' ', ':', 1)}>")["channel"]["item"]).alias("i"))
-    native = F.coalesce(F.nullif(F.col("i.guid"), F.lit("")), F.nullif(F.col("i.link"), F.lit("")))
-    found = read.select(key, native.alias("native_id"), F.col("i.title").alias("title"), F.col("i.link").alias("url"), F.col("i.pubDate").alias("published"))
-    entry = "entry array<struct<id:string,title:string,updated:string,published:string,link:struct<_href:string>>>"
-    atom = safe.filter(body.rlike(r"<feed[\s>]")).select(key, F.explode(F.from_xml(body, entry)["entry"]).alias("e"))
-    url = F.col("e.link._href")
-    entries = atom.select(key, F.coalesce(F.nullif(F.col("e.id"), F.lit("")), url).alias("native_id"), F.col("e.title").alias("title"), url.alias("url"), F.coalesce("e.updated", "e.published").alias("published"))
-    return found.union(entries).filter("native_id IS NOT NULL")
+    dtd = F.coalesce(body.rlike("(?i)<!DOCTYPE|<!ENTITY"), F.lit(False))
+    rss = "channel struct<item:array<struct<guid:string,link:string,title:string,pubDate:string,description:string>>>"
+    atom = "entry array<struct<id:string,title:string,updated:string,published:string,link:struct<_href:string>>>"
+    text = lambda c: F.nullif(c, F.lit(""))
+    shape = lambda native, title, url, published: F.struct(native.alias("native_id"), title.alias("title"), url.alias("url"), published.alias("published"))
+    items = F.transform(F.from_xml(body, rss)["channel"]["item"], lambda i: shape(F.coalesce(text(i["guid"]), text(i["link"])), i["title"], i["link"], i["pubDate"]))
+    entries = F.transform(F.from_xml(body, atom)["entry"], lambda e: shape(F.coalesce(text(e["id"]), text(e["link"]["_href"])), e["title"], e["link"]["_href"], F.coalesce(e["updated"], e["published"])))
+    found = F.when(dtd, F.lit(None)).when(body.rlike(r"<feed[\s>]"), entries).otherwise(items)
+    read = rows.select(key, dtd.alias("_dtd"), F.explode_outer(found).alias("i"))
+    problem = F.when(F.col("_dtd"), "DTD_REFUSED").when(F.col("i").isNull(), "NO_ITEMS").when(F.col("i.native_id").isNull(), "NO_NATIVE_ID")
+    return read.select(key, "i.*", problem.alias("problem"))
 
 
 def detected_format(media_type: Column, head: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How many characters of a text's head and tail are read, and the lines looked for, case aside.
@@ -29,16 +31,47 @@ PATTERNS = {
     "CONTACT_BLOCK": r"((?:for\s+more\s+information,?\s+contact|press\s+office|pressestelle|contact\s+presse)[^\n]{0,120})",
 }
 EDGES = " .,;:|-–—"
+#: Of each type, words of which a match holds one, in lower case: a type's pattern is tried where one of them stands. A
+#: pattern without words of its own is tried where ``NEEDS`` is met, or everywhere.
+WORDS = {
+    "EXPLICIT_PUBLISHER_LINE": ("publi", "pubblicato", "herausge", "diteur", "editado"),
+    "EXPLICIT_ISSUER_LINE": ("issued", "issuing", "erlassen", "mis", "emitido", "emesso"),
+    "EXPLICIT_EDITOR_LINE": ("edit", "redaktion", "dacteur"),
+    "EXPLICIT_SUBMISSION_LINE": ("submitted", "uploaded", "deposited", "eingereicht", "soumis", "presentado"),
+    "COPYRIGHT_HOLDER": ("©", "(c)", "copyright"),
+    "TRANSLATION_NOTICE": ("translat", "bersetz", "tradu", "tradotto"),
+    "SYNDICATION_NOTICE": ("syndicated", "reuters", "afp", "dpa", "via", "wire"),
+    "MIRROR_NOTICE": ("mirror", "spiegelserver", "miroir", "espejo"),
+    "ARCHIVE_PROVIDER": ("wayback", "archiv"),
+    "COMMISSIONING_NOTICE": ("commissioned", "prepared", "study", "auftrag", "command", "encargado"),
+    "OPERATING_ENTITY_NOTICE": ("operated", "managed", "betrieben", "exploit", "gestionado"),
+    "OWNERSHIP_RECORD": ("owned", "subsidiary", "division", "eigent", "propri", "propiedad"),
+    "DOCUMENT_SERIES_OWNER": ("official", "amtsblatt", "officiel", "oficial", "ufficiale"),
+    "REVISION_STATEMENT": ("revises", "replaces", "supersedes", "amends", "corrects", "withdraws", "retracts", "consolidates"),
+    "PUBLICATION_DATE": ("19", "20"),
+    "CONTACT_BLOCK": ("information", "press"),
+}
+NEEDS = {"DOCUMENT_IDENTIFIER": r"(?U)[\d./–-]{3}"}
+#: Letters that count as others where case is set aside, though lower case leaves them as they are.
+_SAME = ("ſıİ\u212a", "siik")
 
 
-def captured(rows: DataFrame, key: str, text: str) -> DataFrame:
+def captured(rows: DataFrame, key: str, text: str, everywhere: bool = False) -> DataFrame:
     """key, type, value: the first line of each type in the head and tail of a text, white space and marks at its ends aside.
 
-    Null and empty texts have none. One pass of built-in expressions over the rows.
+    Null and empty texts have none. One pass of built-in expressions over the rows: plain searches for a type's words come
+    before its pattern, which few texts then need; ``everywhere`` tries all patterns on all texts, with the same result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     tail = F.when(F.length(whole) > HEAD + TAIL, F.concat(F.lit("\n"), F.substring(whole, -TAIL, TAIL))).otherwise("")
-    read = rows.select(key, F.concat(F.substring(whole, 1, HEAD), tail).alias("_window"))
+    read = rows.select(key, F.concat(F.substring(whole, 1, HEAD), tail).alias("_window")).withColumn("_plain", F.lower(F.translate("_window", *_SAME)))
     clean = lambda c: F.substring(F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(EDGES)), 1, VALUE_CHARS)
-    found = [F.struct(F.lit(name).alias("type"), clean(F.regexp_extract("_window", f"(?idmU){p}", 1)).alias("value")) for name, p in PATTERNS.items()]
+
+    def value(name: str, pattern: str) -> Column:
+        found = clean(F.regexp_extract("_window", f"(?idmU){pattern}", 1))
+        if name in WORDS and not everywhere:
+            return F.when(reduce(lambda a, b: a | b, (F.contains("_plain", F.lit(w)) for w in WORDS[name])), found)
+        return F.when(F.col("_window").rlike(NEEDS[name]), found) if name in NEEDS and not everywhere else found
+
+    found = [F.struct(F.lit(name).alias("type"), value(name, p).alias("value")) for name, p in PATTERNS.items()]
     return read.select(key, F.inline(F.array(*found))).filter("value <> ''")
