@@ -111,3 +111,22 @@ def typed_paths(edges: DataFrame, wanted: DataFrame, types: list[str], hops: int
         rows.append(at.select("seed", "target", F.col("hop").alias("step"), F.col("prev").alias("src"), "relation_id", "relation_type", F.col("node").alias("dst")))
         at = at.select("seed", "target", F.col("prev").alias("node")).join(found, ["seed", "node"]).filter("hop > 0")
     return reduce(DataFrame.union, rows)
+
+
+def joined_components(label: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What new links make of components: (node, component) of all nodes, and (was, component) of those that were merged into another.
+
+    ``label``: node, component (the least node). Only the components that new links (src, dst) touch are worked on, each as
+    one node; the rest is not read but for its labels. Records that carry a component are re-keyed by joining the second
+    table, which holds one row for each component that is no more.
+    """
+    ends = saved(links.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst"), "ends")
+    nodes = ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct()
+    touched = saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("new")), "touched")
+    of = lambda side: touched.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    between = ends.join(of("src"), "src").join(of("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    merged = components(between).filter("node <> component").select(F.col("node").alias("was"), "component")
+    merged = saved(merged, "merged")
+    everyone = label.select("node", "component").union(touched.filter("new").select("node", "component"))
+    now = everyone.join(merged.withColumnRenamed("component", "_now"), everyone.component == merged.was, "left").select("node", F.coalesce("_now", "component").alias("component"))
+    return now, merged

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worldlog.operators.blocks import previous
+
 GENESIS = "0" * 64
 
 
@@ -16,12 +18,13 @@ def entry_hash(*parts: str) -> Column:
 def broken_links(entries: DataFrame, log_key: str, parts: list[str]) -> DataFrame:
     """Rows of each log whose own hash is not that of their content, or whose prev_hash is not the entry before's.
 
-    Rows are hashed each for itself; only hashes and numbers are ordered, log by log.
+    Rows are hashed each for itself; only hashes and numbers are ordered, in ranges: a log of any length is linked by many
+    tasks, and their ends with each other.
     """
-    line = Window.partitionBy(log_key).orderBy("seq")
-    before = F.coalesce(F.lag("entry_hash").over(line), F.lit(GENESIS))
     thin = entries.select(log_key, "seq", "prev_hash", "entry_hash", (F.col("entry_hash") == entry_hash(*parts)).alias("own_ok"))
-    return thin.withColumn("link_ok", F.col("prev_hash") == before).filter("NOT own_ok OR NOT link_ok").select(log_key, "seq", "own_ok", "link_ok")
+    linked = previous(thin, [log_key], ["seq"], ["entry_hash"])
+    link_ok = F.col("prev_hash") == F.coalesce("before.entry_hash", F.lit(GENESIS))
+    return linked.withColumn("link_ok", link_ok).filter("NOT own_ok OR NOT link_ok").select(log_key, "seq", "own_ok", "link_ok")
 
 
 def blocked_watermarks(events: DataFrame, block: int) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worldlog.operators.blocks import previous
+from worldlog.operators.graph import saved
 from worldlog.functions import scalar
 from worldlog.operators.views import first_code
 
@@ -239,3 +241,62 @@ def update_verdict(acts: DataFrame, forecasts: DataFrame, indicators: DataFrame)
     final = F.coalesce("verdict", F.when(by_rule & (F.col("_first.act_id") != F.col("act_id")), "SPENT"), F.lit("UPDATED"))
     status = F.when((final == "UPDATED") & ~by_rule & (F.col("_status") == "UPDATE_REQUIRED"), "OPEN").otherwise(F.col("_status"))
     return done.select("act_id", final.alias("verdict"), status.alias("status"))
+
+
+def theme_lineage(before: DataFrame, after: DataFrame) -> DataFrame:
+    """old, new, shared, kind: what became of themes (theme_id, member) between two snapshots, by the members they share.
+
+    Each old theme is succeeded by the new one that holds most of its members (of equals the least id); a new theme
+    continues the old one that it succeeds with most shared members (then the least id): CONTINUED. Others that it
+    succeeds are MERGED_INTO it; further new themes that hold members of an old one are SPLIT_INTO; an old theme without a
+    member left has ENDED (no new), a new one without any old member is BORN (no old).
+    """
+    old, new = (df.select(F.col("theme_id").alias(n), "member").distinct() for df, n in ((before, "old"), (after, "new")))
+    shared = saved(old.join(new, "member").groupBy("old", "new").agg(F.count("*").alias("shared")), "shared")
+    rank = lambda other: F.struct((-F.col("shared")).alias("n"), F.col(other).alias("id"))
+    heir = shared.groupBy("old").agg(F.min(rank("new"))["id"].alias("_heir"))
+    met = shared.join(heir, "old").withColumn("_succeeds", F.col("new") == F.col("_heir"))
+    chosen = met.filter("_succeeds").groupBy("new").agg(F.min(rank("old"))["id"].alias("_parent"))
+    kind = F.when(~F.col("_succeeds"), "SPLIT_INTO").when(F.col("old") == F.col("_parent"), "CONTINUED").otherwise("MERGED_INTO")
+    told = met.join(chosen, "new", "left").select("old", "new", "shared", kind.alias("kind"))
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
+    zero = F.lit(0).cast("long")
+    ended = old.select("old").distinct().join(shared, "old", "left_anti").select("old", none("new", new).alias("new"), zero.alias("shared"), F.lit("ENDED").alias("kind"))
+    born = new.select("new").distinct().join(shared, "new", "left_anti").select(none("old", old).alias("old"), "new", zero.alias("shared"), F.lit("BORN").alias("kind"))
+    return told.union(ended).union(born)
+
+
+def propagation_forest(rows: DataFrame, least_words: int = 6) -> DataFrame:
+    """doc_id, parent, relation: each manifestation of a statement and the nearest earlier one that it can come from.
+
+    ``rows``: statement (in its normal form), doc_id, family, at. The parent is the last manifestation of the same statement
+    before it, by time and id: SAME_ORIGIN_FAMILY where the families are one; across families LIKELY_DERIVATIVE if the
+    statement has ``least_words`` words and the times differ, else UNRESOLVED. The first of a statement has no parent and is
+    the ORIGIN. Statements of any number of rows are looked through in blocks.
+    """
+    met = previous(rows.select("statement", "doc_id", "family", "at"), ["statement"], ["at", "doc_id"], ["doc_id", "family", "at"])
+    long_ = F.size(F.split("statement", " ")) >= least_words
+    relation = (
+        F.when(F.col("before").isNull(), "ORIGIN").when(F.col("family") == F.col("before.family"), "SAME_ORIGIN_FAMILY")
+        .when(long_ & (F.col("before.at") < F.col("at")), "LIKELY_DERIVATIVE").otherwise("UNRESOLVED")
+    )
+    return met.select("doc_id", F.col("before.doc_id").alias("parent"), relation.alias("relation"))
+
+
+def ordered_analogues(situations: DataFrame, episodes: DataFrame, least: int = 2) -> DataFrame:
+    """situation, episode, matched, n_matched of episodes that match a situation in at least ``least`` (two or more) of three ways.
+
+    Both: id, actors, events (arrays; types of events in their order). ACTOR_CONFIGURATION: an actor of both; EVENT_TYPE: a
+    type of both; TEMPORAL_SEQUENCE: two types of both or more, which come in the same order. Situations are a stated set and
+    are broadcast; a match of two ways holds a type of both, so pairs meet by type, once each.
+    """
+    side = lambda df, n: df.select(F.col("id").alias(n), F.col("actors").alias(f"{n}_actors"), F.col("events").alias(f"{n}_events"))
+    a, b = side(situations, "situation"), side(episodes, "episode")
+    types = a.withColumn("type", F.explode(F.array_distinct("situation_events")))
+    kinds = F.array_intersect("situation_events", "episode_events")
+    # of the types of both, a pair is taken at the first
+    pairs = b.withColumn("type", F.explode(F.array_distinct("episode_events"))).join(F.broadcast(types), "type").filter(F.col("type") == F.array_min(kinds))
+    only = lambda c: F.filter(c, lambda t: F.array_contains(kinds, t))
+    same = (F.size(kinds) >= 2) & (only("situation_events") == only("episode_events"))
+    matched = F.array_compact(F.array(F.when(F.arrays_overlap("situation_actors", "episode_actors"), "ACTOR_CONFIGURATION"), F.lit("EVENT_TYPE"), F.when(same, "TEMPORAL_SEQUENCE")))
+    return pairs.select("situation", "episode", F.array_join(matched, ",").alias("matched"), F.size(matched).cast("long").alias("n_matched")).filter(F.col("n_matched") >= max(2, least))

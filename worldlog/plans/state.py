@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worldlog import roles
 from worldlog.functions import scalar
-from worldlog.operators import access, log, versions
+from worldlog.operators import access, blocks, log, versions
 from worldlog.roles import SNAPSHOT, duck
 
 READER = access.Context("EUROPE", ("C0", "C1", "C2"), ("BUILDING", "MACHINERY"), "ANALYST")
@@ -87,12 +87,9 @@ def w03_version_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w04_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's log is chained, three entries are tampered with, and the verifier must name them and their heirs."""
-    from pyspark.sql import Window
-
     parts = ["source_id", "seq", "subject", "k"]
     entries = roles.log(spark, sf_dir).select(*parts, log.entry_hash(*parts).alias("entry_hash"))
-    line = Window.partitionBy("source_id").orderBy("seq")
-    chained = entries.withColumn("prev_hash", F.coalesce(F.lag("entry_hash").over(line), F.lit(log.GENESIS)))
+    chained = blocks.previous(entries, ["source_id"], ["seq"], ["entry_hash"]).withColumn("prev_hash", F.coalesce("before.entry_hash", F.lit(log.GENESIS))).drop("before")
     torn = chained.withColumn("k", F.when(F.col("seq").isin(17, 1_000, 1_001), F.lit(-1).cast("long")).otherwise(F.col("k")))
     lost = torn.filter("seq <> 500")
     return log.broken_links(lost, "source_id", parts)
