@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,8 @@ def joined_markings(rows: DataFrame, *keys: str) -> DataFrame:
 
     Compartments unite, releasability intersects (a marking without any makes it empty), the highest role counts, the
     owner is the first one's by ``ord``. A join that would lock what was released, or that spans owners, is sealed: it
-    also carries a compartment that nobody holds, and says so in ``caveats``.
+    also carries a compartment that nobody holds, and says so in ``caveats``. Caveats of the rows (``caveats``, an array, if
+    there is such a column) are all carried, each once, in the order in which they come first.
     One grouping with map-side partials: the intersection is that of values that all of the group's rows have.
     """
     n_rows = rows.groupBy(*keys).agg(
@@ -69,6 +71,13 @@ def joined_markings(rows: DataFrame, *keys: str) -> DataFrame:
     common = F.expr("aggregate(slice(_lists, 2, size(_lists)), _lists[0], (a, b) -> array_intersect(a, b))")
     shared = F.array_sort(common)
     unsafe = (F.size("_shared") == 0) & ((F.col("_owners") > 1) | F.exists("_lists", lambda x: F.size(x) > 0))
+    if "caveats" in rows.columns:  # distinct ones meet, not rows
+        each = rows.select(*keys, "ord", F.posexplode("caveats").alias("_at", "_caveat")).groupBy(*keys, "_caveat").agg(F.min(F.struct("ord", "_at")).alias("_place"))
+        told = each.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys]).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_caveat"))), lambda x: x["_caveat"]).alias("_caveats"))
+        n_rows = n_rows.join(told, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys)), "left")
+    else:
+        n_rows = n_rows.withColumn("_caveats", F.array().cast("array<string>"))
+    caveats = F.coalesce("_caveats", F.array().cast("array<string>"))
     return n_rows.withColumn("_shared", shared).withColumn("sealed", unsafe).select(
         *keys,
         "owning_authority",
@@ -76,5 +85,5 @@ def joined_markings(rows: DataFrame, *keys: str) -> DataFrame:
         F.when(F.col("sealed"), F.array().cast("array<string>")).otherwise(F.col("_shared")).alias("releasability"),
         F.when(F.col("sealed"), ROLES[-1]).otherwise(F.get(F.array(*map(F.lit, ROLES)), F.col("_rank").cast("int"))).alias("min_role"),
         "sealed",
-        F.when(F.col("sealed"), SEAL).otherwise("").alias("caveats"),
+        F.array_join(F.when(F.col("sealed"), F.array_append(F.array_remove(caveats, SEAL), F.lit(SEAL))).otherwise(caveats), "; ").alias("caveats"),
     )

@@ -28,3 +28,16 @@ def previous(rows: DataFrame, keys: list[str], order: list[str], columns: list[s
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return here.join(carried, same, "left").withColumn(name, F.coalesce("_own", "_carried")).select(*rows.columns, name)
+
+
+def placed(rows: DataFrame, order: list[str], name: str = "place", first: int = 1) -> DataFrame:
+    """``rows`` with ``name``: their place in the order of all, from ``first`` on, without a gap; equal rows in any order.
+
+    Rows are dealt to tasks by ranges and numbered there; of the tasks only their counts meet, one row each.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = saved(sorted_, "places").withColumn("_task", F.shiftright("_at", 33))
+    counts = ranged.groupBy("_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_task", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(counts), "_task").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + first).select(*rows.columns, name)

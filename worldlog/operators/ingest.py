@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worldlog.functions import scalar
+from worldlog.operators.blocks import placed
 
-#: Rows of a block in which rows are numbered.
-BLOCK = 4_096
 
 
 def units(payloads: DataFrame) -> DataFrame:
@@ -51,14 +50,9 @@ def relationships(objects: DataFrame, relation: str, target: Column, outward: bo
 
 
 def numbered(rows: DataFrame, order: str, start: Column | int = 0) -> DataFrame:
-    """``rows`` with ``seq`` = start + 1, ... by ``order`` (long): blocks are numbered each for itself, and their sizes summed."""
-    cut = rows.withColumn("_block", F.floor(F.col(order) / BLOCK))
-    sizes = cut.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one thin row for each block
-    base = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    """``rows`` with ``seq`` = start + 1, ... by ``order``: tasks number their ranges, and only their counts are summed."""
     start = F.lit(start) if isinstance(start, int) else start
-    return cut.join(base, "_block").withColumn("seq", (start + F.col("_base") + own).cast("long")).drop("_block", "_base")
+    return placed(rows, [order], "seq").withColumn("seq", (start + F.col("seq")).cast("long"))
 
 
 def appended(store: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:

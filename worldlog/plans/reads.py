@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worldlog import roles
 from worldlog.functions import scalar
-from worldlog.operators import access, graph, ingest, reads, versions
+from worldlog.operators import access, blocks, graph, ingest, reads, versions
 from worldlog.roles import duck, table
 from worldlog.sources import feeds, provenance
 
@@ -126,7 +126,7 @@ def t02_timeline_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of two kinds by the text of their time, then kind, then reference."""
     log = roles.log(spark, sf_dir).select(F.date_format(F.col("recorded_time").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.lit("event").alias("kind"), F.col("seq").cast("string").alias("ref"))
     orders = table(spark, sf_dir, "orders").select(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("time"), F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("ref"))
-    return log.unionByName(orders).orderBy("time", "kind", "ref")
+    return blocks.placed(log.unionByName(orders), ["time", "kind", "ref"])
 
 
 def t06_pivot_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +394,7 @@ SQL = {
         r AS (SELECT run, b.*, [k * 7 % 1700, k % 900] AS refs FROM b, (VALUES ('first'), ('second'), ('low')) v(run) WHERE run <> 'low' OR k % 10 > 0), e AS (SELECT DISTINCT run, k, unnest(refs) AS ref FROM r)
         SELECT r.run, count(*) AS n, (SELECT count(DISTINCT k) FROM e WHERE e.run = r.run AND ref NOT IN (SELECT doc_id FROM documents)) AS n_unsupported, (SELECT count(DISTINCT k) FROM e WHERE e.run = r.run AND ref IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS n_leaks,
         count(*) FILTER (WHERE k % 3 < 2 AND k % 10 = 0) AS uncited, CAST(sum(('0x' || left(md5(kind || '|' || content), 15))::BIGINT % 1000003) AS BIGINT) AS digest FROM r GROUP BY 1""",
-    "t02_timeline_sort": duck("SELECT strftime(recorded_time, '%Y-%m-%dT%H:%M:%S') AS time, 'event' AS kind, seq::VARCHAR AS ref FROM log UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d'), 'order', o_orderkey::VARCHAR FROM orders", "log"),
+    "t02_timeline_sort": duck("SELECT *, row_number() OVER (ORDER BY time, kind, ref) AS place FROM (SELECT strftime(recorded_time, '%Y-%m-%dT%H:%M:%S') AS time, 'event' AS kind, seq::VARCHAR AS ref FROM log UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d'), 'order', o_orderkey::VARCHAR FROM orders)", "log"),
     "t06_pivot_queries": """SELECT family, query_id, CAST(CASE family WHEN 'RELATIONSHIP_PIVOT' THEN 0 WHEN 'DOMAIN' THEN 1 WHEN 'ALIAS' THEN 2 ELSE 3 END AS INT) AS priority
         FROM (SELECT 'q' || o_custkey AS query_id, min(['ALIAS', 'DOMAIN', 'RELATIONSHIP_PIVOT', 'OTHER'][o_orderkey % 4 + 1]) AS family FROM orders GROUP BY 1)""",
     "t09_table_sort": "SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey::VARCHAR) AS INT) AS place FROM customer",

@@ -165,7 +165,9 @@ def a02_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a16_marking_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The marking of what is derived from all customers of a nation and segment."""
     customer = roles.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id"), "c_nationkey", "c_mktsegment")
-    marked = roles.markings(spark, sf_dir).join(customer, "object_id").withColumn("ord", F.col("object_id"))
+    n = F.col("object_id")
+    caveats = F.when(n % 3 == 0, F.array(F.concat(F.lit("K"), n % 4), F.lit("NOTE"))).when(n % 3 == 1, F.array(F.concat(F.lit("K"), n % 5)))
+    marked = roles.markings(spark, sf_dir).join(customer, "object_id").withColumns({"ord": n, "caveats": caveats})
     joined = access.joined_markings(marked, "c_nationkey", "c_mktsegment")
     return joined.select("c_nationkey", "c_mktsegment", "owning_authority", "min_role", "sealed", "caveats", F.array_join("compartments", ",").alias("compartments"), F.array_join("releasability", ",").alias("releasability"))
 
@@ -282,11 +284,13 @@ SQL = {
           max(CASE min_role WHEN 'OBSERVER' THEN 0 WHEN 'ANALYST' THEN 1 ELSE 2 END) AS r, max(len(releasability)) AS longest FROM m GROUP BY 1, 2),
         c AS (SELECT c_nationkey, c_mktsegment, string_agg(DISTINCT x, ',' ORDER BY x) AS compartments FROM (SELECT *, unnest(compartments) AS x FROM m) GROUP BY 1, 2),
         l AS (SELECT c_nationkey, c_mktsegment, string_agg(x, ',' ORDER BY x) AS releasability FROM (SELECT c_nationkey, c_mktsegment, x, count(*) AS k FROM (SELECT *, unnest(releasability) AS x FROM m) GROUP BY ALL)
-          JOIN g USING (c_nationkey, c_mktsegment) WHERE k = n GROUP BY 1, 2)
-        SELECT c_nationkey, c_mktsegment, owning_authority, CASE WHEN s THEN 'SUPERVISOR' ELSE ['OBSERVER', 'ANALYST', 'SUPERVISOR'][r + 1] END AS min_role, s AS sealed, CASE WHEN s THEN 'SEALED_UNJOINABLE_MARKINGS' ELSE '' END AS caveats,
+          JOIN g USING (c_nationkey, c_mktsegment) WHERE k = n GROUP BY 1, 2),
+        e AS (SELECT c_nationkey, c_mktsegment, object_id * 2 + i AS p, x FROM (SELECT *, unnest(CASE object_id % 3 WHEN 0 THEN ['K' || object_id % 4, 'NOTE'] WHEN 1 THEN ['K' || object_id % 5] ELSE [] END) AS x, unnest(CASE object_id % 3 WHEN 0 THEN [0, 1] WHEN 1 THEN [0] ELSE [] END) AS i FROM m)),
+        k AS (SELECT c_nationkey, c_mktsegment, string_agg(x, '; ' ORDER BY p) AS told FROM (SELECT c_nationkey, c_mktsegment, x, min(p) AS p FROM e GROUP BY ALL) GROUP BY 1, 2)
+        SELECT c_nationkey, c_mktsegment, owning_authority, CASE WHEN s THEN 'SUPERVISOR' ELSE ['OBSERVER', 'ANALYST', 'SUPERVISOR'][r + 1] END AS min_role, s AS sealed, concat_ws('; ', told, CASE WHEN s THEN 'SEALED_UNJOINABLE_MARKINGS' END) AS caveats,
           compartments || CASE WHEN s THEN ',worldlog:unjoinable-seal' ELSE '' END AS compartments,
           CASE WHEN s THEN '' ELSE coalesce(releasability, '') END AS releasability
-        FROM (SELECT *, releasability IS NULL AND (owners > 1 OR longest > 0) AS s FROM g JOIN c USING (c_nationkey, c_mktsegment) LEFT JOIN l USING (c_nationkey, c_mktsegment))""", "markings"),
+        FROM (SELECT *, releasability IS NULL AND (owners > 1 OR longest > 0) AS s FROM g JOIN c USING (c_nationkey, c_mktsegment) LEFT JOIN l USING (c_nationkey, c_mktsegment) LEFT JOIN k USING (c_nationkey, c_mktsegment))""", "markings"),
     "a17_failure_streak": duck("SELECT subject, count(*) FILTER (WHERE value < 20 AND seq > last) AS streak FROM log JOIN (SELECT subject, coalesce(max(seq) FILTER (WHERE value >= 20), -1) AS last FROM log GROUP BY 1) USING (subject) GROUP BY 1", "log"),
     "a20_probability_moves": duck(
         f"""SELECT object_id, count(*) FILTER (WHERE m) AS n_moves, count(*) FILTER (WHERE m AND valid_from > TIMESTAMP '{AT}') AS n_late

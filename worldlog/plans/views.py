@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worldlog import roles
-from worldlog.operators import access, versions, views
+from worldlog.operators import access, blocks, versions, views
 from worldlog.roles import duck, table
 from worldlog.streaming import live
 
@@ -135,7 +135,7 @@ def a21_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t04_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open ones first, then by time."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("late"), "o_orderdate")
-    return rows.orderBy("late", "o_orderdate", "o_orderkey").select("o_orderkey", "late")
+    return blocks.placed(rows, ["late", "o_orderdate", "o_orderkey"]).select("o_orderkey", "late", "place")
 
 
 def t08_least_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ SQL = {
     "a15_weakest_authority": f"SELECT o_custkey, {_CODES}[max(o_orderkey % 11 % 4) + 1] AS authority FROM orders GROUP BY 1",
     "a19_hypothesis_independence": "SELECT lang, count(DISTINCT text) AS n_groups, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1) GROUP BY 1",
     "a21_status_counts": "SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY 1",
-    "t04_review_queue": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS late FROM orders",
+    "t04_review_queue": "SELECT o_orderkey, late, row_number() OVER (ORDER BY late, o_orderdate, o_orderkey) AS place FROM (SELECT *, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS late FROM orders)",
     "t08_least_exposed": """WITH e AS (SELECT s_suppkey AS route, count(DISTINCT l_partkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1)
         SELECT route, n, route = (SELECT route FROM e ORDER BY n, route LIMIT 1) AS least FROM e""",
     "g03_set_difference": """WITH a AS (SELECT doc_id AS id FROM documents), b AS (SELECT conv_id AS id FROM conversations)

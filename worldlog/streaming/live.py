@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from worldlog.operators.blocks import placed
 from worldlog.operators.graph import saved
 from worldlog.sources import connectors
 
@@ -120,23 +121,27 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return rows.select("subject", F.col("w.start").alias("start"), "n")
 
 
-#: Indicators without an attribute are broadcast up to so many.
+#: Indicators without an attribute are matched so many at a time.
 FEW_INDICATORS = 10_000
 
 
 def fired(indicators: DataFrame, observations: DataFrame) -> DataFrame:
     """indicator_id, n, first_seq: PRESENCE indicators and their matches; both times must be later than the arming.
 
-    An empty pattern is a wildcard: indicators, which are few, are matched by attribute where they name one.
+    An empty pattern is a wildcard: indicators are a stated set, matched by attribute where they name one, else in blocks
+    of ``FEW_INDICATORS``, each of which is broadcast and counted by itself.
     """
-    exact = indicators.filter("attribute <> ''").join(observations, "attribute")
-    wild = indicators.filter("attribute = ''").drop("attribute")
-    few = wild.limit(FEW_INDICATORS + 1).count() <= FEW_INDICATORS
-    any_ = observations.join(F.broadcast(wild) if few else wild)
     columns = ["indicator_id", "armed", "least", "seq", "recorded_time", "source_time", "value"]
-    met = exact.select(*columns).union(any_.select(*columns))
-    hits = met.filter("recorded_time > armed AND source_time > armed AND value >= least")
-    return hits.groupBy("indicator_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    counts = lambda met: met.select(*columns).filter("recorded_time > armed AND source_time > armed AND value >= least").groupBy("indicator_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    found = counts(indicators.filter("attribute <> ''").join(observations, "attribute"))
+    wild = indicators.filter("attribute = ''").drop("attribute")
+    blocks = -(-wild.count() // FEW_INDICATORS)
+    if blocks > 1:
+        wild = saved(placed(wild, ["indicator_id"], "_place", 0), "wildcards")
+    for block in range(blocks):
+        few = wild.filter(F.floor(F.col("_place") / FEW_INDICATORS) == block).drop("_place") if blocks > 1 else wild
+        found = found.union(counts(observations.join(F.broadcast(few))))
+    return found
 
 
 def absent(indicators: DataFrame, observations: DataFrame, searched: DataFrame) -> DataFrame:
