@@ -274,11 +274,12 @@ def propagation_forest(rows: DataFrame, least_words: int = 6) -> DataFrame:
     statement has ``least_words`` words and the times differ, else UNRESOLVED. The first of a statement has no parent and is
     the ORIGIN. Statements of any number of rows are looked through in blocks.
     """
-    met = previous(rows.select("statement", "doc_id", "family", "at"), ["statement"], ["at", "doc_id"], ["doc_id", "family", "at"])
-    long_ = F.size(F.split("statement", " ")) >= least_words
+    long_ = F.size(F.split("statement", " ", least_words)) >= least_words
+    thin = rows.select(F.sha2("statement", 256).alias("_same"), long_.alias("_long"), "doc_id", "family", "at")  # texts are not sorted
+    met = previous(thin, ["_same"], ["at", "doc_id"], ["doc_id", "family", "at"])
     relation = (
         F.when(F.col("before").isNull(), "ORIGIN").when(F.col("family") == F.col("before.family"), "SAME_ORIGIN_FAMILY")
-        .when(long_ & (F.col("before.at") < F.col("at")), "LIKELY_DERIVATIVE").otherwise("UNRESOLVED")
+        .when(F.col("_long") & (F.col("before.at") < F.col("at")), "LIKELY_DERIVATIVE").otherwise("UNRESOLVED")
     )
     return met.select("doc_id", F.col("before.doc_id").alias("parent"), relation.alias("relation"))
 

@@ -54,7 +54,6 @@ def q18_theme_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q19_propagation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as manifestations of what they state, each with the one before it of the same statement."""
     rows = table(spark, sf_dir, "documents").select(scalar.normal_statement(F.coalesce("text", F.lit(""))).alias("_s"), "doc_id", F.col("source").alias("family"), F.floor(F.col("doc_id") / 7).alias("at"))
-    # a digest would do to meet by, but the words of a statement count
     return world.propagation_forest(rows.withColumnRenamed("_s", "statement"))
 
 
