@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from worldlog.operators import rules
+from worldlog.operators import rules, sitrep
 
 OBJECT = "object_id long, object_type string, lifecycle string, epistemic_state string, status string, reported_status string, stale boolean, lon double, lat double, line array<array<double>>"
 
@@ -89,3 +89,19 @@ def test_findings(spark):
         ]
     )
     assert {r.code for r in found if not r.blocking} == {"PARTIALLY_HISTORICAL_BASIS", "MULTI_FORECAST_NUMERIC_AMBIGUITY"}
+
+
+def test_report_in_four_formats(spark, tmp_path):
+    rows = [("Routes", "2", "INFERRED", "object <2>", 'a & "b"'), ("Routes", "1", "INFERRED", "object 1", "x" * 90), ("Decisions", "d", "ACCEPTED", "by q", "so")]
+    found = spark.createDataFrame(rows, "section string, key string, state string, label string, detail string")
+    said = {f: [r.line for r in sitrep.lines(found, f).orderBy("place").collect()] for f in sitrep.FORMATS}
+    assert [r for r in said["markdown"] if r][4:8] == ["## Routes", "- **INFERRED** object 1: " + "x" * 90, '- **INFERRED** object <2>: a & "b"', "## Movements"]
+    assert said["markdown"].count("- none in this view") == 10
+    at = said["text"].index("ROUTES")
+    assert said["text"][at + 1] == ("  INFERRED object 1: " + "x" * 90)[:72]
+    assert said["text"][at + 3] == "-" * 72
+    assert "<li><b>INFERRED</b> object &lt;2&gt;: a &amp; &quot;b&quot;</li>" in said["html"]
+    assert said["json"].count('{"section":"Resources","note":"none in this view"}') == 1
+    sitrep.written(found, "text", str(tmp_path / "report"))
+    files = sorted((tmp_path / "report").glob("part-*"))
+    assert "".join(f.read_text() for f in files).splitlines() == said["text"]

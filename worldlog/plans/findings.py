@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldlog.operators import rules
+from worldlog.operators import graph, rules, sitrep
 from worldlog.operators.ingest import any_of
 from worldlog.roles import SNAPSHOT, table
 
@@ -49,6 +49,25 @@ def q07_route_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.exposure(objects, relations, ROUTE_METRES)
 
 
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, relations, groups = _scene(spark, sf_dir)
+    events = table(spark, sf_dir, "events")
+    sources = events.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n"))
+    none = spark.createDataFrame([], "decision_id string, state string, actor string, rationale string")
+    return sitrep.items(objects, rules.exposure(objects, relations, ROUTE_METRES), rules.proposals(objects, relations, groups, route_metres=ROUTE_METRES), groups, none, sources)
+
+
+def q10_report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The situation report's twelve sections, item by item."""
+    return _report(spark, sf_dir)
+
+
+def s24_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as lines of four formats, in their order."""
+    found = graph.saved(_report(spark, sf_dir), "items")
+    return any_of(*(sitrep.lines(found, f).select(F.lit(f).alias("format"), "place", "line") for f in sitrep.FORMATS))
+
+
 def q26_eleven_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as sentences of reports on orders (claims), customers (forecasts) and documents (manifestations)."""
     c, t = F.col("conv_id"), F.col("turn")
@@ -96,17 +115,39 @@ _SCENE = f"""WITH b AS (SELECT vec_id AS n, round(embedding[1]::DOUBLE * 4, 6) A
     UNION ALL SELECT a, report, 3 FROM rel JOIN rep ON target = b WHERE kind = 'DEPENDS_ON' AND said IN (FROM bad) UNION ALL SELECT route, far.n, 4 FROM far JOIN o ON o.n = far.n WHERE m <= {ROUTE_METRES} AND (t = 0 AND active OR said IN (FROM bad))),
   ex AS MATERIALIZED (SELECT route, d, max(r) AS r FROM f WHERE route IN (SELECT n FROM o WHERE t = 2) GROUP BY 1, 2), cnt AS (SELECT o.n AS route, count(d) AS k FROM o LEFT JOIN ex ON route = o.n WHERE t = 2 GROUP BY 1)"""
 
-SQL = {
-    "q07_route_exposure": f"{_SCENE} SELECT route AS route_id, d AS disruption_id, ['AFFECTS_RELATIONSHIP', 'DEPENDENCY_DISPUTED', 'DEPENDENCY_DISRUPTED', 'DEPENDENCY_REPORTED_DISRUPTED', 'PROXIMATE_DISRUPTION'][r + 1] AS condition FROM ex",
-    "q07_six_rules": f"""{_SCENE}, con AS (SELECT target, string_agg(DISTINCT said, ',' ORDER BY said) AS s, count(*) AS k FROM rep WHERE said <> 'UNKNOWN' GROUP BY 1 HAVING count(DISTINCT said) > 1),
+_PROPOSED = f"""{_SCENE}, con AS (SELECT target, string_agg(DISTINCT said, ',' ORDER BY said) AS s, count(*) AS k FROM rep WHERE said <> 'UNKNOWN' GROUP BY 1 HAVING count(DISTINCT said) > 1),
         hit AS (SELECT n, route AS target FROM far JOIN o USING (n) WHERE t = 0 AND active AND m <= 30000 UNION SELECT a.n, b.n FROM o a JOIN o b ON b.t = 1 WHERE a.t = 0 AND a.active AND {_metres('a', 'b')} <= 30000),
         way AS (SELECT route, min(w) AS w FROM (SELECT a AS route, b AS w FROM rel WHERE kind = 'ALTERNATE_OF' UNION SELECT b, a FROM rel WHERE kind = 'ALTERNATE_OF') JOIN (SELECT route AS w FROM cnt WHERE k = 0) USING (w) GROUP BY 1),
-        plan AS (SELECT a AS movement, route, k FROM rel JOIN cnt ON route = b WHERE kind = 'PLANNED_FOR' AND k > 0)
-        SELECT rule, kind, subject::VARCHAR AS subject, other, n FROM (SELECT 'infrastructure-conflict' AS rule, 'ALERT' AS kind, target AS subject, s AS other, k AS n FROM con UNION ALL SELECT 'infrastructure-conflict', 'STATE', target, 'DISPUTED', k FROM con
+        plan AS (SELECT a AS movement, route, k FROM rel JOIN cnt ON route = b WHERE kind = 'PLANNED_FOR' AND k > 0),
+        prop AS (SELECT rule, kind, subject::VARCHAR AS subject, other, n FROM (SELECT 'infrastructure-conflict' AS rule, 'ALERT' AS kind, target AS subject, s AS other, k AS n FROM con UNION ALL SELECT 'infrastructure-conflict', 'STATE', target, 'DISPUTED', k FROM con
         UNION ALL SELECT 'reported-disruption', 'ALERT', target, rep.said, count(*) FROM rep JOIN o ON o.n = target AND t IN (1, 2) WHERE rep.said IN (FROM bad) GROUP BY target, rep.said
         UNION ALL SELECT 'hazard-impact', 'ALERT', n, NULL, count(*) FROM hit GROUP BY n UNION ALL SELECT 'hazard-impact', 'RELATIONSHIP', n, target::VARCHAR, 1 FROM hit UNION ALL SELECT 'route-exposure', 'ASSESSMENT', route, NULL, k FROM cnt WHERE k > 0
         UNION ALL SELECT 'movement-route-risk', 'ALERT', movement, route::VARCHAR, k FROM plan UNION ALL SELECT 'movement-route-risk', 'RECOMMENDATION', movement, w::VARCHAR, k FROM plan JOIN way USING (route)
-        UNION ALL SELECT 'stale-stock', 'ALERT', n, NULL, 1 FROM o WHERE t = 5 AND stale UNION ALL SELECT 'source-dependence', 'ALERT', label, NULL, count(*) FROM o WHERE t = 4 GROUP BY label HAVING count(*) > 1)""",
+        UNION ALL SELECT 'stale-stock', 'ALERT', n, NULL, 1 FROM o WHERE t = 5 AND stale UNION ALL SELECT 'source-dependence', 'ALERT', label, NULL, count(*) FROM o WHERE t = 4 GROUP BY label HAVING count(*) > 1))"""
+_TITLES = "[" + ", ".join(f"'{s}'" for s in sitrep.SECTIONS) + "]"
+_ITEMS = f"""{_PROPOSED}, known AS (SELECT * EXCLUDE (label), ['OPERATIONAL_CONCERN', 'INFRASTRUCTURE', 'ROUTE', 'MOVEMENT', 'OBSERVATION', 'RESOURCE_STOCK'][t + 1] AS type, n::VARCHAR AS key, 'object ' || n AS label, CASE WHEN disputed THEN 'DISPUTED' ELSE 'REPORTED' END AS e FROM o),
+  item(section, key, state, label, detail) AS MATERIALIZED (SELECT 'Resources', key, e, label, 'status: ' || status || CASE WHEN stale THEN ' (STALE)' ELSE ' (FRESH)' END FROM known WHERE t = 5
+    UNION ALL SELECT 'Infrastructure', key, e, label, 'status: ' || status || CASE WHEN disputed THEN ' - DISPUTED' ELSE '' END FROM known WHERE t = 1 UNION ALL SELECT 'Routes', route::VARCHAR, 'INFERRED', 'object ' || route, CASE WHEN k > 0 THEN k || ' known disruption(s)' ELSE 'no known disruption' END FROM cnt
+    UNION ALL SELECT 'Movements', key, e, label, 'status: ' || status FROM known WHERE t = 3 UNION ALL SELECT 'Unresolved conflicts', subject, 'DISPUTED', 'object ' || subject, other FROM prop WHERE rule = 'infrastructure-conflict' AND kind = 'ALERT'
+    UNION ALL SELECT 'Stale information', key, 'STALE', label, lower(type) FROM known WHERE stale
+    UNION ALL SELECT 'Dependent reporting', label::VARCHAR, 'REPORTED', 'group ' || label, count(*) || ' reports share one underlying basis; they are not independent corroboration' FROM o WHERE t = 4 GROUP BY label HAVING count(*) > 1
+    UNION ALL SELECT 'Alerts', concat_ws('/', rule, subject, other), 'OPEN', subject || ' ' || coalesce(other, ''), rule || ': ' || n FROM prop WHERE kind = 'ALERT' UNION ALL SELECT 'Recommendations', concat_ws('/', subject, other), 'PROPOSED', subject || ' ' || coalesce(other, ''), rule || ': ' || n FROM prop WHERE kind = 'RECOMMENDATION'
+    UNION ALL SELECT 'Unresolved', key, 'DISPUTED', label, lower(type) FROM known WHERE disputed UNION ALL SELECT 'Provenance', event_type, 'SOURCE', event_type, count(*) || ' record(s)' FROM events GROUP BY event_type)"""
+
+SQL = {
+    "q07_route_exposure": f"{_SCENE} SELECT route AS route_id, d AS disruption_id, ['AFFECTS_RELATIONSHIP', 'DEPENDENCY_DISPUTED', 'DEPENDENCY_DISRUPTED', 'DEPENDENCY_REPORTED_DISRUPTED', 'PROXIMATE_DISRUPTION'][r + 1] AS condition FROM ex",
+    "q07_six_rules": f"{_PROPOSED} SELECT * FROM prop",
+    "q10_report_items": f"{_ITEMS} SELECT * FROM item",
+    "s24_report_lines": f"""{_ITEMS}, tt AS (SELECT unnest(titles) AS section, generate_subscripts(titles, 1) AS no FROM (SELECT {_TITLES} AS titles)),
+        ll AS (SELECT no, 0 AS r, '' AS key, section, NULL AS state, NULL AS label, NULL AS detail FROM tt UNION ALL SELECT no, 1, key, section, state, label, detail FROM item JOIN tt USING (section)
+          UNION ALL SELECT no, 1, '', section, NULL, NULL, NULL FROM tt WHERE section NOT IN (SELECT section FROM item) UNION ALL SELECT no, 2, '', section, NULL, NULL, NULL FROM tt),
+        ff AS (SELECT *, unnest(['json', 'markdown', 'text', 'html']) AS format FROM ll),
+        hh AS (SELECT format, no, r, key, CASE format
+          WHEN 'json' THEN CASE WHEN r = 0 THEN '{{"section":"' || section || '"}}' WHEN state IS NULL THEN '{{"section":"' || section || '","note":"none in this view"}}' ELSE '{{"section":"' || section || '","state":"' || state || '","label":"' || label || '","detail":"' || detail || '"}}' END
+          WHEN 'markdown' THEN CASE WHEN r = 0 THEN '## ' || section WHEN r = 2 THEN '' WHEN state IS NULL THEN '- none in this view' ELSE '- **' || state || '** ' || label || ': ' || detail END
+          WHEN 'text' THEN CASE WHEN r = 0 THEN upper(section) WHEN r = 2 THEN repeat('-', 72) WHEN state IS NULL THEN '  none in this view' ELSE left('  ' || state || ' ' || label || ': ' || detail, 72) END
+          ELSE CASE WHEN r = 0 THEN '<h2>' || section || '</h2><ul>' WHEN r = 2 THEN '</ul>' WHEN state IS NULL THEN '<li>none in this view</li>' ELSE '<li><b>' || state || '</b> ' || label || ': ' || detail || '</li>' END END AS line FROM ff WHERE NOT (format = 'json' AND r = 2))
+        SELECT format, row_number() OVER (PARTITION BY format ORDER BY no, r, key, line) AS place, line FROM hh""",
     "q26_eleven_codes": r"""WITH s AS (SELECT DISTINCT conv_id || '-' || turn AS id, conv_id AS c, turn AS t, conv_id * 5 + turn AS k FROM conversations),
         x AS MATERIALIZED (SELECT *, k % 4 <> 3 AS fact, CASE k % 5 WHEN 1 THEN 'HISTORICAL' WHEN 2 THEN 'CURRENT' ELSE '' END AS scope, k % 3 = 0 AS indep, CASE k % 9 WHEN 0 THEN [] WHEN 1 THEN ['clm' || c * 3, 'clm' || c * 7 + 1] WHEN 2 THEN ['fct' || c, 'clm' || t] WHEN 3 THEN ['fct' || c, 'fct' || c + 1]
           WHEN 4 THEN ['man' || c, 'man' || c * 1000] WHEN 5 THEN ['hyp' || c] WHEN 6 THEN ['clm' || c, 'fct' || c % 7] ELSE ['clm' || c * 11, 'clm' || c * 13, 'clm' || c * 17] END AS refs,
@@ -127,4 +168,4 @@ SQL = {
         SELECT id AS sentence_id, code, ref, code NOT IN ('PARTIALLY_HISTORICAL_BASIS', 'MULTI_FORECAST_NUMERIC_AMBIGUITY') AS blocking FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (q07_six_rules, q07_route_exposure, q26_eleven_codes)}
+QUERIES = {f.__name__: f for f in (q07_six_rules, q07_route_exposure, q10_report_items, s24_report_lines, q26_eleven_codes)}
