@@ -95,6 +95,16 @@ def committed_prefix(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.filter("_kept").drop("_torn", "_kept"), receipt
 
 
+def recovered(lines: DataFrame, path: str) -> DataFrame:
+    """Writes what a recovery keeps of each file to ``path``/kept and what it loses, line by line with its problem, to
+    ``path``/forensic; the receipts (file, n_kept, n_lost, digest). Nothing is thrown away, and a second run writes the same."""
+    kept, receipt = committed_prefix(lines)
+    lost = lines.join(kept.select("file", "no"), ["file", "no"], "left_anti")
+    kept.select("file", "no", "line").write.mode("overwrite").parquet(f"{path}/kept")
+    lost.select("file", "no", "line", "problem").write.mode("overwrite").parquet(f"{path}/forensic")
+    return receipt
+
+
 def any_of(*tables: DataFrame) -> DataFrame:
     """The rows of all tables, by column names."""
     return reduce(DataFrame.unionByName, tables)

@@ -121,3 +121,27 @@ def delta_verdict(base: DataFrame, bundle: DataFrame) -> DataFrame:
     gap = kinds.filter("verdict = 'NEW'").groupBy("head").agg(F.min("seq").alias("first")).filter("first > head + 1")
     missing = gap.select(F.lit("MISSING_BASE").alias("verdict"), (F.col("first") - F.col("head") - 1).alias("n"))
     return kinds.groupBy("verdict").agg(F.count("*").alias("n")).union(missing)
+
+
+def delta_imports(store: DataFrame, manifests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bundle_id, verdict, n_applied) of delta bundles against a store, and the events (bundle_id, seq, entry_hash) that each applies.
+
+    ``store``: seq, entry_hash; ``manifests``: bundle_id, base_seq, base_entry_hash (``GENESIS`` at 0); ``events``: bundle_id, seq,
+    entry_hash, verified before. MISSING_BASE: the store ends before the base; WRONG_BASE: it has another hash there;
+    DIVERGED_OVERLAP: an event that it has too is another one; DUPLICATE_DELTA: it has them all; else APPLIED, whole or not at all.
+    Each bundle is judged by itself; bundles without events are duplicates. One bundle may be as long as the log.
+    """
+    held = store.select(F.col("seq").alias("_seq"), F.col("entry_hash").alias("_own"))
+    head = store.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_head"))
+    met = events.join(held, F.col("seq") == F.col("_seq"), "left")
+    new = F.col("_own").isNull()
+    told = met.groupBy("bundle_id").agg(F.count_if(new).alias("_new"), F.count_if(F.col("_own") != F.col("entry_hash")).alias("_other"))
+    based = manifests.join(F.broadcast(head)).join(held, F.col("base_seq") == F.col("_seq"), "left").join(told, "bundle_id", "left")
+    own_base = F.when(F.col("base_seq") == 0, GENESIS).otherwise(F.col("_own"))
+    verdict = (
+        F.when(F.col("_head") < F.col("base_seq"), "MISSING_BASE").when(~F.col("base_entry_hash").eqNullSafe(own_base), "WRONG_BASE").when(F.col("_other") > 0, "DIVERGED_OVERLAP")
+        .when(F.coalesce("_new", F.lit(0)) == 0, "DUPLICATE_DELTA").otherwise("APPLIED")
+    )
+    receipts = based.select("bundle_id", verdict.alias("verdict"), F.when(verdict == "APPLIED", F.col("_new")).otherwise(0).cast("long").alias("n_applied"))
+    applied = met.filter(new).join(receipts.filter("verdict = 'APPLIED'"), "bundle_id", "left_semi").select("bundle_id", "seq", "entry_hash")
+    return receipts, applied

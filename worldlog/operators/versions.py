@@ -35,6 +35,21 @@ def current_by_version(versions: DataFrame) -> DataFrame:
     return latest(versions, ["object_id"], ["version", "seq"])
 
 
+def current_by_valid_point(versions: DataFrame) -> DataFrame:
+    """Objects of feeds: the latest of valid_from, else source_time, else recorded_time; ties by version."""
+    return latest(versions.withColumn("_point", F.coalesce("valid_from", "source_time", "recorded_time")), ["object_id"], ["_point", "version"]).drop("_point")
+
+
+def current_by_stated_version(versions: DataFrame) -> DataFrame:
+    """Records of reports: the highest version, a missing one counts as the first; later rows of the log win ties."""
+    return latest(versions.withColumn("_version", F.coalesce("version", F.lit(1))), ["object_id"], ["_version", "seq"]).drop("_version")
+
+
+def last_appended(rows: DataFrame, *keys: str) -> DataFrame:
+    """Catalogue and run records: the last row of the log for each kind and id, whatever its version says."""
+    return latest(rows, list(keys), ["seq"])
+
+
 def known_by(versions: DataFrame, seq: int) -> DataFrame:
     """As of a transaction: the rows that were in the log."""
     return versions.filter(F.col("seq") <= seq)
