@@ -123,3 +123,33 @@ def test_leaves_and_items_that_are_not_read(spark):
     feeds_ = [(1, "<!DOCTYPE x><rss><channel><item><guid>1</guid></item></channel></rss>"), (2, "<rss><channel></channel></rss>"), (3, None), (4, "<rss><channel><item><title>t</title></item><item><guid>g</guid></item></channel></rss>"), (5, '<feed><entry><id>e</id></entry><entry><title>u</title><link href="http://x"/></entry></feed>')]
     found = feeds.feed_items(spark.createDataFrame(feeds_, "id long, body string"), "id", "body").collect()
     assert sorted((r.id, r.native_id or "", r.problem) for r in found) == [(1, "", "DTD_REFUSED"), (2, "", "NO_ITEMS"), (3, "", "NO_ITEMS"), (4, "", "NO_NATIVE_ID"), (4, "g", None), (5, "e", None), (5, "http://x", None)]
+
+
+def test_strict_json(spark):
+    def plain(text):
+        def depth(v, at=0):
+            inside = [depth(x, at + 1) for x in (v.values() if isinstance(v, dict) else v)] if isinstance(v, (dict, list)) else []
+            return max([at + 1 if isinstance(v, dict) and v else at, *inside])
+
+        def once(pairs):
+            if len({k for k, _ in pairs}) < len(pairs):
+                raise ValueError
+            return dict(pairs)
+
+        try:
+            value = json.loads(text, object_pairs_hook=once, parse_constant=lambda c: [][0])
+        except (ValueError, IndexError):
+            return "INVALID"
+        if depth(value) > 256:
+            return "TOO_DEEP"
+        try:
+            json.dumps(value, ensure_ascii=False).encode()
+        except UnicodeEncodeError:
+            return "LONE_SURROGATE"
+        return None if isinstance(value, dict) else "NOT_AN_OBJECT"
+
+    nest = lambda n, inside, a="[", b="]": '{"k":' + a * n + inside + b * n + "}"
+    texts = ["{}", '{"a":1}', '{"a":1,"a":1}', "{", "[1]", "3", '"x"', '{"a":NaN}', "", '{"a":"\\ud83d\\ude00"}', '{"a":"\\ud83d"}', '{"a":"\\\\ud83d"}', '{"a":"\\ude00x"}', '{"\\udfff":1}', '{"a":"' + "[" * 400 + '"}', '{"a":"' + "x" * 20_000 + '\\"[' * 300 + '"}']
+    texts += [nest(n, inside) for n in (254, 255, 256, 257) for inside in ("", "1", '"s"', "[]", "{}", " ", "null")] + [nest(n, "1", '{"q":', "}") for n in (254, 255, 256, 257)] + ['{"a":[' + ",".join(["[1]"] * 500) + "]}"]
+    got = {r.t: r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", feeds.strict_json(F.col("t")).alias("p")).collect()}
+    assert {t: p for t, p in got.items() if p != plain(t)} == {}

@@ -128,10 +128,7 @@ def foreign_json(body: str) -> Column:
     """(value, repaired, problem) of foreign JSON: escapes of lone surrogates become the escape of U+FFFD and are
     told; what is still not one sound object keeps its problem and has no value. The value is JSON text and keeps its other
     escapes; escaped backslashes are no escapes. Null is INVALID, its repaired null."""
-    high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-    even = r"(?<!\\)((?:\\\\)*)"
     text = F.col(body)
-    # pairs are set aside as they are, then what is left of either half is alone
-    lone = F.regexp_replace(F.regexp_replace(text, f"{even}{high}(?!{low})", r"$1\\ufffd"), rf"(?<!\\u[dD][89abAB][0-9a-fA-F]{{2}})(?<!\\)((?:\\\\)*){low}", r"$1\\ufffd")
+    lone = feeds.without_lone_surrogates(text)
     problem = feeds.strict_json(lone)
     return F.struct(F.when(problem.isNull(), lone).alias("value"), (lone != text).alias("repaired"), problem.alias("problem"))

@@ -54,9 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """node, hop: the nodes within ``hops`` (0 to 6) edges of the seeds, and how many it takes."""
-    links = both_ways(edges)
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None = None) -> DataFrame:
+    """node, hop: the nodes within ``hops`` (0 to 6) edges of the seeds, and how many it takes; ``types``: relation types to go by
+    (column ``relation_type``), all where none are named. A seed without an edge is its own neighbourhood."""
+    links = both_ways(edges if types is None else edges.filter(F.col("relation_type").isin(types)))
+    links = saved(links, "links") if hops > 1 else links
     found = seeds.select(F.col("node"), F.lit(0).cast("long").alias("hop")).distinct()
     front = found
     for hop in range(1, min(hops, 6) + 1):

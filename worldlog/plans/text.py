@@ -52,9 +52,14 @@ def f27_probability_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s04_strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event bodies, some torn, repeated or out of range: the problem of each."""
-    k = F.col("event_id") % 5
-    body = F.when(k == 0, F.col("props")).when(k == 1, F.expr("left(props, length(props) - 1)")).when(k == 2, F.lit('{"a":1,"a":2}')).when(k == 3, F.lit('{"a":1e999}')).otherwise(F.lit("[1]"))
+    """Event bodies, some torn, with repeated keys, out of range, too deep or with half a pair: the problem of each."""
+    k = F.col("event_id") % 9
+    deep = lambda n, within: F.concat(F.lit('{"a":'), F.repeat(F.lit("["), F.lit(n)), within, F.repeat(F.lit("]"), F.lit(n)), F.lit("}"))
+    number = F.col("user_id").cast("string")
+    body = (
+        F.when(k == 0, F.col("props")).when(k == 1, F.expr("left(props, length(props) - 1)")).when(k == 2, F.lit('{"a":1,"a":2}')).when(k == 3, F.lit('{"a":1e999}')).when(k == 4, deep(256, number)).when(k == 5, deep(255, number))
+        .when(k == 6, deep(256, F.lit(""))).when(k == 7, F.concat(F.lit('{"a":"x\\ud83d '), number, F.lit('"}'))).otherwise("[1]")
+    )
     return table(spark, sf_dir, "events").select("event_id", feeds.strict_json(body).alias("problem"))
 
 
@@ -157,7 +162,7 @@ SQL = {
         FROM m WHERE label <> '' AND NOT regexp_matches(value, '^(//|http)')""",
     "f20_json_fields": """SELECT event_id, '$.a.k' AS path, props->>'$.k' AS value FROM events UNION ALL SELECT event_id, '$.b[0]', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, '$.b[1].c', '' FROM events""",
     "f27_probability_literals": duck("SELECT forecast_id, abs(CAST(round(probability * 100 + forecast_id % 3 - 1) AS INT) / 100.0::DOUBLE - probability) <= 0.005 AS agrees FROM forecasts", "forecasts"),
-    "s04_strict_json": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'INVALID' WHEN 2 THEN 'INVALID' WHEN 3 THEN 'NOT_FINITE' ELSE 'NOT_AN_OBJECT' END AS problem FROM events",
+    "s04_strict_json": "SELECT event_id, [NULL, 'INVALID', 'INVALID', 'NOT_FINITE', 'TOO_DEEP', NULL, NULL, 'LONE_SURROGATE', 'NOT_AN_OBJECT'][event_id % 9 + 1] AS problem FROM events",
     "s12_detect_format": "SELECT 'HTML' AS format, count(*) AS n FROM pages UNION ALL SELECT 'JSON', count(*) FROM events",
     "p01_field_errors": duck(
         """SELECT reason, count(*) AS n FROM (SELECT unnest([CASE WHEN k % 7 = 0 THEN 'missing asset' END, CASE WHEN k % 5 = 0 THEN 'count is no integer' END, CASE WHEN seq % 2 = 1 THEN 'at is no iso-datetime' END,

@@ -66,13 +66,24 @@ def r15_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPES = [f"T{i}" for i in range(7)]
 
 
-def g08_typed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of at most three trade relations from the first customer of each nation to the first supplier and customer of the next one."""
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade relations with a type and a status."""
     n = F.col("source_id") * 7 + F.col("target_id")
-    edges = roles.relations(spark, sf_dir).select(
+    return roles.relations(spark, sf_dir).select(
         F.concat_ws("-", "source_id", "target_id").alias("relation_id"), F.concat(F.lit("c"), "source_id").alias("src"), F.concat(F.lit("s"), "target_id").alias("dst"),
         F.concat(F.lit("T"), n % 9).alias("relation_type"), F.when((F.col("source_id") + F.col("target_id")) % 10 == 0, "ENDED").otherwise("ACTIVE").alias("status"),
     )
+
+
+def g07_typed_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within two relations of two types of the first customer of each nation."""
+    seeds = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c")).select(F.concat(F.lit("c"), "c").alias("node"))
+    return graph.neighbourhood(_typed(spark, sf_dir), seeds, 2, ["T0", "T4"])
+
+
+def g08_typed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of at most three trade relations from the first customer of each nation to the first supplier and customer of the next one."""
+    edges = _typed(spark, sf_dir)
     customers = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey")).alias("nation")).agg(F.min("c_custkey").alias("c"))
     suppliers = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey")).alias("nation")).agg(F.min("s_suppkey").alias("s"))
     after = F.expr("(nation + 1) % 25").alias("next")
@@ -99,6 +110,9 @@ SQL = {
     "r15_sliding": duck(
         """, w AS (SELECT source_id, value, unnest([time_bucket(INTERVAL 2 HOUR, source_time), time_bucket(INTERVAL 2 HOUR, source_time) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, source_time) - INTERVAL 4 HOUR]) AS s FROM log)
         SELECT source_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""", "log"),
+    "g07_typed_hop": duck(
+        """, e AS (SELECT 'c' || source_id AS a, 's' || target_id AS b FROM relations WHERE (source_id * 7 + target_id) % 9 IN (0, 4)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT 'c' || min(c_custkey) AS node, CAST(0 AS BIGINT) AS hop FROM customer GROUP BY c_nationkey UNION SELECT b, hop + 1 FROM r JOIN u ON a = node WHERE hop < 2) SELECT node, min(hop) AS hop FROM r GROUP BY 1""", "relations", recursive=True),
     "g08_typed_paths": duck(
         f""", e AS (SELECT source_id || '-' || target_id AS id, 'c' || source_id AS a, 's' || target_id AS b, 'T' || (source_id * 7 + target_id) % 9 AS type FROM relations WHERE (source_id + target_id) % 10 <> 0 AND (source_id * 7 + target_id) % 9 < 7),
         u AS MATERIALIZED (SELECT id, a, b, type FROM e UNION ALL SELECT id, b, a, type FROM e), c AS (SELECT c_nationkey AS n, min(c_custkey) AS k FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS n, min(s_suppkey) AS k FROM supplier GROUP BY 1),
@@ -110,4 +124,4 @@ SQL = {
         SELECT seed, target, CAST(hop AS INT) AS step, p.prev AS src, p.id AS relation_id, p.type AS relation_type, node AS dst FROM back""", "relations", recursive=True),
 }
 
-QUERIES = {f.__name__: f for f in (r05_watch_timers, r09_horizon_timers, r15_stream_join, r15_sliding, g08_typed_paths)}
+QUERIES = {f.__name__: f for f in (r05_watch_timers, r09_horizon_timers, r15_stream_join, r15_sliding, g07_typed_hop, g08_typed_paths)}

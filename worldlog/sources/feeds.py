@@ -34,16 +34,41 @@ def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return good.select("file", F.from_json("line", schema).alias("e")).select("file", "e.*")
 
 
+def without_lone_surrogates(text: Column) -> Column:
+    """JSON text in which escapes of either half of a pair, alone, are the escape of U+FFFD; escaped backslashes are no escapes."""
+    high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    even = r"(?<!\\)((?:\\\\)*)"
+    # pairs are set aside as they are, then what is left of either half is alone
+    return F.regexp_replace(F.regexp_replace(text, f"{even}{high}(?!{low})", r"$1\\ufffd"), rf"(?<!\\u[dD][89abAB][0-9a-fA-F]{{2}})(?<!\\)((?:\\\\)*){low}", r"$1\\ufffd")
+
+
+#: How many containers may stand around a value, as everywhere in the log.
+MOST_DEPTH = 256
+
+
+def _deepest(text: Column) -> Column:
+    """How many containers stand around the value that most stand around; only texts with many brackets are looked through."""
+    plain = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "v"), r"[^\[\]{}v:,\s]++", "v")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now, most = acc["now"], F.greatest(acc["most"], acc["now"])
+        moved = F.when(c.isin("[", "{"), now + 1).when(c.isin("]", "}"), now - 1).otherwise(now)
+        return F.struct(moved.alias("now"), F.when(c.isin("[", "{", "v"), most).otherwise(acc["most"]).alias("most"))
+
+    return F.when(F.regexp_count(text, F.lit(r"[\[{]")) > MOST_DEPTH, F.aggregate(F.split(plain, ""), start, step)["most"]).otherwise(0)
+
+
 def strict_json(text: Column) -> Column:
-    """The problem of a text that must be one JSON object: invalid (repeated keys and NaN too), too large a number, no object."""
+    """The problem of a text that must be one JSON object: INVALID (torn, repeated keys, NaN), TOO_DEEP (a value within more than
+    ``MOST_DEPTH`` containers), LONE_SURROGATE (no text can hold it), NOT_FINITE (a number beyond all), NOT_AN_OBJECT."""
     value = F.try_parse_json(text)
     # 1e999 parses, but no reader could tell it from infinity
     huge = text.rlike(r"[:\[,]\s*-?\d+(\.\d+)?[eE]\+?(30[9]|3[1-9]\d|[4-9]\d\d|\d{4,})")
-    return F.when(value.isNull(), "INVALID").when(huge, "NOT_FINITE").when(~F.schema_of_variant(value).startswith("OBJECT"), "NOT_AN_OBJECT")
-
-
-#: Deeper texts are not read, as everywhere in the log.
-MOST_DEPTH = 256
+    return (
+        F.when(value.isNull(), "INVALID").when(_deepest(text) > MOST_DEPTH, "TOO_DEEP").when(without_lone_surrogates(text) != text, "LONE_SURROGATE").when(huge, "NOT_FINITE")
+        .when(~F.schema_of_variant(value).startswith("OBJECT"), "NOT_AN_OBJECT")
+    )
 
 
 def _depth(text: str) -> int:
