@@ -23,6 +23,17 @@ def passes(rules: list[tuple[str, str, list]]) -> Column:
     return reduce(Column.__and__, tests, F.lit(True))
 
 
+_OPEN_QUERY = "source_id = '' AND operation <> 'LOOKUP' AND (operation <> 'FETCH' OR value RLIKE '^https?://')"
+
+
+def _able(profiles: DataFrame) -> DataFrame:
+    return profiles.select("source_id", "languages", F.explode(F.array_distinct("operations")).alias("operation"))
+
+
+def _speaks() -> Column:
+    return (F.col("language") == "") | F.arrays_overlap("languages", F.array(F.col("language"), F.lit("mul")))
+
+
 def eligible_sources(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     """query_id, source_id of the sources that declare that they can run a query.
 
@@ -30,13 +41,26 @@ def eligible_sources(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     operations, languages. A named source must support the operation. A LOOKUP needs a named source, a FETCH an address.
     """
     named = queries.filter("source_id <> ''").join(profiles, "source_id").filter(F.array_contains("operations", F.col("operation")))
-    open_ = queries.filter("source_id = '' AND operation <> 'LOOKUP' AND (operation <> 'FETCH' OR value RLIKE '^https?://')").drop("source_id")
-    able = profiles.select("source_id", "languages", F.explode("operations").alias("operation"))
-    speaks = (F.col("language") == "") | F.arrays_overlap("languages", F.array(F.col("language"), F.lit("mul")))
-    met = open_.join(able, "operation").filter(speaks)
+    met = queries.filter(_OPEN_QUERY).drop("source_id").join(_able(profiles), "operation").filter(_speaks())
     return named.select("query_id", "source_id").union(met.select("query_id", "source_id"))
 
 
+def eligible_counts(queries: DataFrame, profiles: DataFrame) -> DataFrame:
+    """query_id, n, first: how many ``eligible_sources`` a query has, and the least of them; queries without any have no row.
+
+    Open queries of one operation and language have the same sources: these are counted once for each such pair, and no
+    pair of a query and a source is made.
+    """
+    named = queries.filter("source_id <> ''").join(profiles, "source_id").filter(F.array_contains("operations", F.col("operation")))
+    open_ = queries.filter(_OPEN_QUERY).select("query_id", "operation", "language")
+    asked = open_.select("operation", "language").distinct()
+    able = asked.join(_able(profiles), "operation").filter(_speaks()).groupBy(F.col("operation").alias("_operation"), F.col("language").alias("_language"))
+    found = able.agg(F.count("*").alias("n"), F.min("source_id").alias("first"))
+    met = open_.join(found, (F.col("operation") == F.col("_operation")) & F.col("language").eqNullSafe(F.col("_language")))
+    each = named.select("query_id", F.lit(1).cast("long").alias("n"), F.col("source_id").alias("first")).union(met.select("query_id", "n", "first"))
+    return each.groupBy("query_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def egress_refused() -> Column:
     """Without a declared ceiling only public rows may leave: no compartment, the least role, released to PUBLIC."""
     open_ = (F.size("compartments") == 0) & (F.col("min_role") == "OBSERVER") & F.array_contains("releasability", "PUBLIC")
