@@ -36,8 +36,11 @@ def current_by_version(versions: DataFrame) -> DataFrame:
 
 
 def current_by_valid_point(versions: DataFrame) -> DataFrame:
-    """Objects of feeds: the latest of valid_from, else source_time, else recorded_time; ties by version."""
-    return latest(versions.withColumn("_point", F.coalesce("valid_from", "source_time", "recorded_time")), ["object_id"], ["_point", "version"]).drop("_point")
+    """Objects of feeds: the latest of valid_from, else source_time, else recorded_time; ties by version, then the one recorded first."""
+    kind = versions.schema["recorded_time"].dataType
+    age = F.lit("1970-01-01").cast(kind) - F.col("recorded_time")
+    told = versions.withColumns({"_point": F.coalesce("valid_from", "source_time", "recorded_time"), "_age": age, "_place": -F.col("seq")})
+    return latest(told, ["object_id"], ["_point", "version", "_age", "_place"]).drop("_point", "_age", "_place")
 
 
 def current_by_stated_version(versions: DataFrame) -> DataFrame:
