@@ -123,6 +123,26 @@ def within_distance(points: DataFrame, places: DataFrame, metres: float) -> Data
     return looked.join(held, ["_row", "_cell"]).select("id", "place_id", distance.alias("metres")).filter(F.col("metres") <= metres)
 
 
+def own_cell(lon: Column, lat: Column, metres: float) -> list[Column]:
+    """_row, _cell: the one cell of the globe, as high as ``metres``, in which a place stands."""
+    height = metres / 111_000.0
+    columns = F.lit(max(1, int(360 / height)))
+    return [F.floor((lat + 90) / height).alias("_row"), (F.floor((lon + 180) / 360 * columns) % columns).alias("_cell")]
+
+
+def reached_cells(places: DataFrame, metres: float) -> DataFrame:
+    """id, _row, _cell of all cells of ``own_cell`` with anything within ``reach`` metres of places (id, lon, lat, reach)."""
+    height = metres / 111_000.0
+    columns = F.lit(max(1, int(360 / height)))
+    far = F.col("reach") / 111_000.0
+    width = F.greatest(far, F.least(F.lit(360.0), far / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + far, F.lit(89.99)))), F.lit(1e-9))))
+    up = F.ceil(far / height)
+    row, cell = F.floor((F.col("lat") + 90) / height), F.floor((F.col("lon") + 180) / 360 * columns)
+    side = F.least(F.ceil(width / 360 * columns), F.ceil(columns / 2)).cast("long")
+    rows = places.select("id", cell.alias("_at"), side.alias("_side"), F.explode(F.sequence(row - up, row + up)).alias("_row"))
+    return rows.select("id", "_row", F.explode(F.array_distinct(F.transform(F.sequence(F.col("_at") - F.col("_side"), F.col("_at") + F.col("_side")), lambda c: F.pmod(c, columns)))).alias("_cell"))
+
+
 def conflicting_reports(reports: DataFrame) -> DataFrame:
     """target, statuses, n_reports of targets that reports tell differently: groups, not all pairs within them."""
     told = reports.groupBy("target", "status").agg(F.count("*").alias("n"), F.min("report_id").alias("first"))

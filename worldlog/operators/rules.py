@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,26 +24,42 @@ NOT_BLOCKING = ("PARTIALLY_HISTORICAL_BASIS", "MULTI_FORECAST_NUMERIC_AMBIGUITY"
 
 
 def _along(targets: DataFrame, metres: float) -> DataFrame:
-    """id, lon, lat of points of each geometry no farther apart than half of ``metres``: by these a line is found on the globe's cells."""
+    """id, lon, lat, reach: points of each geometry no farther apart than half of ``metres``, and how far one has to look from them."""
     lines = targets.filter("line IS NOT NULL").select("object_id", F.posexplode(F.expr("transform(sequence(0, size(line) - 2), i -> struct(line[i] AS a, line[i + 1] AS b))")).alias("_at", "s"))
     ax, ay, bx, by = (F.col("s")[end][i] for end in "ab" for i in (0, 1))
     n = F.greatest(F.lit(1), F.ceil(scalar.haversine_m(ax, ay, bx, by) / (metres / 2))).cast("int")
     cut = lines.select("object_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     share = F.col("i") / F.col("n")
-    on_lines = cut.select(F.col("object_id").alias("id"), (F.col("ax") + (F.col("bx") - F.col("ax")) * share).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * share).alias("lat"))
-    return on_lines.union(targets.filter("line IS NULL AND lon IS NOT NULL").select("object_id", "lon", "lat"))
+    on_lines = cut.select(F.col("object_id").alias("id"), (F.col("ax") + (F.col("bx") - F.col("ax")) * share).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * share).alias("lat"), F.lit(1.5 * metres).alias("reach"))
+    return on_lines.union(targets.filter("line IS NULL AND lon IS NOT NULL").select("object_id", "lon", "lat", F.lit(metres)))
 
 
 def near_geometries(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
     """id, target_id, metres of points (id, lon, lat) within ``metres`` of targets (object_id, lon, lat, or line: array of places).
 
-    Candidates share a neighbourhood of cells, exact distances decide; a point of several rows counts with its nearest.
+    A point stands in one cell of the globe and a target, with its geometry, once in every cell that it reaches: a pair meets once,
+    and only pairs that the exact distance leaves come out of the join. Of ids with several rows, on either side, the nearest count.
     """
-    found = evidence.within_distance(points, _along(targets, metres), 1.5 * metres).select("id", "place_id").distinct()
-    shape = targets.select(F.col("object_id").alias("target_id"), "line", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    met = found.join(points, "id").join(shape, found.place_id == shape.target_id)
-    distance = F.when(F.col("line").isNotNull(), scalar.point_to_line_m(F.col("lon"), F.col("lat"), F.col("line"))).otherwise(scalar.haversine_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
-    return met.groupBy("id", "target_id").agg(F.min(distance).alias("metres")).filter(F.col("metres") <= metres)
+    cells = evidence.reached_cells(_along(targets, metres), metres / 2).distinct()
+    middle, degree = F.expr("line[size(line) div 2]"), scalar.EARTH_RADIUS_M * math.pi / 180
+    away = F.expr("array_max(transform(line, p -> sqrt(pow(p[0] - line[size(line) div 2][0], 2) + pow(p[1] - line[size(line) div 2][1], 2))))") * degree
+    shape = targets.select(F.col("object_id").alias("target_id"), "line", F.coalesce("lon", middle[0]).alias("_lon"), F.coalesce("lat", middle[1]).alias("_lat"), away.alias("_away"))
+    placed = cells.join(shape, cells.id == shape.target_id).drop("id")
+    standing = points.select("id", "lon", "lat", *evidence.own_cell(F.col("lon"), F.col("lat"), metres / 2))
+    on_line, to_line = F.col("line").isNotNull(), scalar.point_to_line_m(F.col("lon"), F.col("lat"), F.col("line"))
+    to_point = scalar.haversine_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    # on the point's flat map the way to a line is at most that to its middle corner, and shorter by the line's reach at most
+    flat = F.hypot((F.col("_lon") - F.col("lon")) * F.cos(F.radians("lat")) * degree, (F.col("_lat") - F.col("lat")) * degree)
+    line_near = F.when(flat < metres - 0.01, True).when(flat - F.col("_away") > metres + 0.01, False).otherwise(to_line <= metres)
+    near = F.when(on_line, line_near).otherwise(to_point <= metres)
+    distance = F.when(on_line, to_line).otherwise(to_point).alias("metres")
+    # merged: what is thin as a table makes many pairs, which one task would make alone after a broadcast
+    met = lambda some, places: some.hint("merge").join(places, ["_row", "_cell"]).filter(near).select("id", "target_id", distance)
+    often = lambda df, key: df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    points_often, shapes_often = often(points, "id"), often(shape, "target_id")
+    once = standing.join(points_often, "id", "left_anti")
+    several = met(standing.join(points_often, "id", "left_semi"), placed).union(met(once, placed.join(shapes_often, "target_id", "left_semi")))
+    return met(once, placed.join(shapes_often, "target_id", "left_anti")).union(several.groupBy("id", "target_id").agg(F.min("metres").alias("metres")))
 
 
 def _of(relations: DataFrame, kind: str, source: str, target: str) -> DataFrame:
@@ -70,13 +87,15 @@ def exposure(objects: DataFrame, relations: DataFrame, metres: float = PROXIMITY
     return each.select("route_id", "disruption_id", F.get(F.array(*map(F.lit, CONDITIONS)), F.col("_rank")).alias("condition"))
 
 
-def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazard_metres: float = HAZARD_METRES, route_metres: float = PROXIMITY_METRES) -> DataFrame:
+def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazard_metres: float = HAZARD_METRES, route_metres: float = PROXIMITY_METRES, exposed: DataFrame | None = None, pairs: bool = True) -> DataFrame:
     """rule, kind, subject, other, n of everything that six rules propose over what is visible.
 
     ``objects``: object_id, object_type, lifecycle, epistemic_state, status, reported_status, stale, and a geometry: lon and lat,
     or line (array of places), or neither. ``relations``: relation_type, source_id, target_id of ACTIVE ones between visible
     objects. ``groups``: group_id, object_id of reports on one basis. Conflicts are told by target with the number of reports in
     place of all pairs; ``other`` names the status, hazard or route that a proposal is about, ``n`` how many findings it rests on.
+    ``exposed``: the ``exposure`` at ``route_metres`` where it is known already; ``pairs``: whether each hazard is told with each
+    thing that it threatens (RELATIONSHIP), or these are counted alone and never written.
     """
     told = objects.select(F.col("object_id").alias("_o"), "object_type", "reported_status")
     reports = _of(relations, "REPORTS_ON", "report", "target").join(told, F.col("report") == F.col("_o")).select("report", "target", F.col("reported_status").alias("said"))
@@ -89,8 +108,9 @@ def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazar
     spots = hazards.filter("line IS NULL AND lon IS NOT NULL").select(F.col("object_id").alias("id"), "lon", "lat").union(
         hazards.filter("line IS NOT NULL").select("object_id", F.explode("line").alias("p")).select("object_id", F.col("p")[0], F.col("p")[1])
     )
-    hit = saved(near_geometries(spots, objects.filter(F.col("object_type").isin("ROUTE", "INFRASTRUCTURE")), hazard_metres), "hazards")
-    exposed = saved(exposure(objects, relations, route_metres), "exposure")
+    hit = near_geometries(spots, objects.filter(F.col("object_type").isin("ROUTE", "INFRASTRUCTURE")), hazard_metres).select("id", "target_id")
+    hit = saved(hit, "hazards") if pairs else hit
+    exposed = saved(exposure(objects, relations, route_metres), "exposure") if exposed is None else exposed
     counts = objects.filter("object_type = 'ROUTE'").select(F.col("object_id").alias("route_id")).join(exposed.groupBy("route_id").agg(F.count("*").alias("n")), "route_id", "left").fillna(0, ["n"])
     planned = _of(relations, "PLANNED_FOR", "movement", "route_id").join(counts.filter("n > 0"), "route_id")
     ways = _of(relations, "ALTERNATE_OF", "route_id", "way")
@@ -103,7 +123,7 @@ def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazar
             row(conflicts, "infrastructure-conflict", "STATE", F.col("target"), F.lit("DISPUTED"), F.col("n_reports")),
             row(disruptions, "reported-disruption", "ALERT", F.col("target"), F.col("said"), F.col("n")),
             row(hit.groupBy("id").agg(F.count("*").alias("n")), "hazard-impact", "ALERT", F.col("id"), F.lit(None), F.col("n")),
-            row(hit, "hazard-impact", "RELATIONSHIP", F.col("id"), F.col("target_id"), F.lit(1)),
+            *([row(hit, "hazard-impact", "RELATIONSHIP", F.col("id"), F.col("target_id"), F.lit(1))] if pairs else []),
             row(counts.filter("n > 0"), "route-exposure", "ASSESSMENT", F.col("route_id"), F.lit(None), F.col("n")),
             row(planned, "movement-route-risk", "ALERT", F.col("movement"), F.col("route_id"), F.col("n")),
             row(planned.join(ways, "route_id"), "movement-route-risk", "RECOMMENDATION", F.col("movement"), F.col("way"), F.col("n")),
