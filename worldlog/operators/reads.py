@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worldlog.operators.graph import saved
+from worldlog.operators.graph import kept_by, saved
 from worldlog.operators.views import AUTHORITY
 
 # The keys under which a payload names records, and which end of a relation controls what the other says.
@@ -107,17 +107,20 @@ def attribution(relations: DataFrame, references: DataFrame, entity: str) -> Dat
     return linked.select(F.lit("object").alias("kind"), "linked").union(hosts.select(F.lit("host"), "linked"))
 
 
-def closure(direct: DataFrame, references: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def closure(direct: DataFrame, references: DataFrame, records: DataFrame, resolved: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ref, depth) of all that ``direct`` (ref) rests on by ``references`` (src, dst), and direct refs that no record has.
 
-    A reference that names no record ends its way. Rounds end with the first that finds nothing new; cycles do no harm.
+    A reference that names no record ends its way; ``resolved``: there is none such, and records are not asked. Rounds end
+    with the first that finds nothing new; cycles do no harm. References are written once, in buckets of src.
     """
     known = records.select("ref")
     found = saved(direct.select("ref").distinct().join(known, "ref", "left_semi").withColumn("depth", F.lit(0)), "closure")
     front = found
+    ways = references.select("src", "dst")
+    ways = kept_by(ways if resolved else ways.join(known, ways.dst == known.ref, "left_semi"), "src", "ways")
     while True:
-        step = front.join(references, front.ref == references.src).select(F.col("dst").alias("ref"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = saved(step.join(known, "ref", "left_semi").join(found, "ref", "left_anti"), "closure")
+        step = front.join(ways, front.ref == ways.src).select(F.col("dst").alias("ref"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = saved(step.join(found, "ref", "left_anti"), "closure")
         if not front.limit(1).count():
             return found, direct.select("ref").distinct().join(known, "ref", "left_anti")
         found = found.union(front)

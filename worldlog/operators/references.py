@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
-from worldlog.operators.graph import saved
 from worldlog.sources import feeds
 
 ANY = "*"
@@ -154,22 +153,20 @@ def _in_blobs(family: str, df: DataFrame, kinds: dict[str, str], pairs: set[tupl
     for f in df.schema.fields:
         if not (f.metadata or {}).get("blob"):
             continue
-        leaves = feeds.json_fields(df.select(F.col(key).alias("src"), F.col(f.name).alias("_blob")), "src", "_blob")
-        plain = F.regexp_replace("path", r"(\[\d+\])+$", "")
-        leaves = leaves.withColumns({"_name": F.regexp_extract(plain, r"([^.]*)$", 1), "_over": F.regexp_extract(plain, r"^(.*)\.[^.]*$", 1)}).filter("value <> ''")
         asked = sorted({*kinds, *(n for pair in pairs for n in pair)})
-        leaves = saved(leaves.filter(F.col("_name").isin(asked)).drop("path"), "leaves")  # walked once, read for each name's meaning
-        meaning = reduce(lambda otherwise, x: F.when(F.col("_name") == x[0], x[1]).otherwise(otherwise), kinds.items(), F.lit(None).cast("string"))
-        shape = lambda rows, kind, ref: rows.select(F.lit(family).alias("src_kind"), "src", F.lit(f.name).alias("field"), kind.alias("kind"), ref.alias("ref"))
-        out.append(shape(leaves.withColumn("_kind", meaning).filter("_kind IS NOT NULL"), F.col("_kind"), F.col("value")))
-        for kind_field, id_field in sorted(pairs):
-            said = leaves.filter(F.col("_name") == kind_field).select("src", "_over", F.col("value").alias("_kind"))
-            out.append(shape(leaves.filter(F.col("_name") == id_field).join(said, ["src", "_over"]), _kind(F.col("_kind"), aliases), F.col("value")))
+        leaves = feeds.json_named(df.select(F.col(key).alias("src"), F.col(f.name).alias("_blob")), "src", "_blob", asked)
+        meaning = lambda name: reduce(lambda otherwise, x: F.when(name == x[0], x[1]).otherwise(otherwise), kinds.items(), F.lit(None).cast("string"))
+        one = lambda kind, leaf: F.struct(F.lit(f.name).alias("field"), kind.alias("kind"), leaf["value"].alias("ref"))
+        plain = F.filter(F.transform("leaves", lambda x: one(meaning(x["name"]), x)), lambda r: r["kind"].isNotNull())
+        # a kind beside an id, in the same object
+        beside = lambda x, n: F.filter("leaves", lambda y: (y["name"] == n) & (y["over"] == x["over"]))
+        told = lambda k, i: F.flatten(F.transform(F.filter("leaves", lambda x: x["name"] == i), lambda x: F.transform(beside(x, k), lambda y: one(_kind(y["value"], aliases), x))))
+        out.append(leaves.select(F.lit(family).alias("src_kind"), "src", F.inline(F.array_distinct(F.concat(plain, *(told(*pair) for pair in sorted(pairs)))))))
     return out
 
 
-def bridge(families: dict[str, DataFrame], aliases: dict[str, str] | None = None) -> DataFrame:
-    """src_kind, src, field, kind, ref of every reference that a record of any family makes, each once.
+def named(families: dict[str, DataFrame], aliases: dict[str, str] | None = None) -> DataFrame:
+    """src_kind, src, field, kind, ref of every reference that a record of any family makes, without a shuffle: rows of one id may repeat some.
 
     ``families``: kind to table, whose schemas carry the metadata. A table without references adds none; null and empty
     ids name nothing; a DynamicRef without a kind neither. ``aliases``: other names of kinds.
@@ -182,7 +179,12 @@ def bridge(families: dict[str, DataFrame], aliases: dict[str, str] | None = None
         if parts:
             found.append(df.select(F.lit(family).alias("src_kind"), F.col(own_id(df)).alias("src"), F.inline(F.array_distinct(_all(parts)))))
         found += _in_blobs(family, df, kinds, pairs, aliases)
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found)
+
+
+def bridge(families: dict[str, DataFrame], aliases: dict[str, str] | None = None) -> DataFrame:
+    """What ``named`` gives, each reference once."""
+    return named(families, aliases).distinct()
 
 
 def records_of(families: dict[str, DataFrame], *columns: str) -> DataFrame:
@@ -198,8 +200,14 @@ def resolved(found: DataFrame, records: DataFrame) -> DataFrame:
     return met.select("src_kind", "src", "field", F.col("_kind").alias("kind"), "ref")
 
 
-def both_directions(found: DataFrame, backward: set[tuple[str, str]]) -> DataFrame:
-    """Edges (src, dst) of the bridge; those from a kind to another that ``backward`` (from, to) names are walked back too."""
-    ahead = found.select("src", F.col("ref").alias("dst"))
+def directions(found: DataFrame, backward: set[tuple[str, str]]) -> DataFrame:
+    """Edges (src, dst) of the bridge; those from a kind to another that ``backward`` (from, to) names are walked back too. They may repeat."""
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
     which = reduce(lambda a, b: a | b, ((F.col("src_kind") == a) & (F.col("kind") == b) for a, b in sorted(backward)), F.lit(False))
-    return ahead.union(found.filter(which).select(F.col("ref").alias("src"), F.col("src").alias("dst"))).distinct()
+    # one pass: what is walked back is not looked up again
+    return found.select(F.inline(F.when(which, F.array(way("src", "ref"), way("ref", "src"))).otherwise(F.array(way("src", "ref")))))
+
+
+def both_directions(found: DataFrame, backward: set[tuple[str, str]]) -> DataFrame:
+    """What ``directions`` gives, each edge once."""
+    return directions(found, backward).distinct()

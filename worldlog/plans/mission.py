@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from worldlog import roles
 from worldlog.operators import access, explain, reads, redaction, references
-from worldlog.operators.graph import saved
+from worldlog.operators.graph import kept_by
 from worldlog.operators.references import Blob, DynamicRef, Label, OwnId, Ref, RefPairs, annotated
 from worldlog.roles import duck, table
 
@@ -93,6 +93,12 @@ def _bridge(families: dict[str, DataFrame]) -> DataFrame:
     return references.bridge(families, ALIASES)
 
 
+def _resolved(families: dict[str, DataFrame], records: DataFrame) -> DataFrame:
+    """References that name a record; they may repeat. What names no family is left before any shuffle."""
+    found = references.named(families, ALIASES).filter(F.col("kind").isin(references.ANY, *families))
+    return references.resolved(found, records)
+
+
 def x3_reference_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference that any record makes: by its family's schema, nested fields and free JSON too."""
     return _bridge(_families(spark, sf_dir))
@@ -101,9 +107,9 @@ def x3_reference_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g10_closure_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the warnings rest on, over the bridge; what draws on an observation, a manifestation or an objective too."""
     families = _families(spark, sf_dir)
-    records = references.records_of(families)
-    edges = saved(references.both_directions(references.resolved(_bridge(families), records), BACKWARD), "edges")
-    found, _ = reads.closure(families["warning"].select(F.col("warning_id").alias("ref")), edges, records.select("ref").distinct())
+    records = kept_by(references.records_of(families), "ref", "records")
+    edges = references.directions(_resolved(families, records), BACKWARD)
+    found, _ = reads.closure(families["warning"].select(F.col("warning_id").alias("ref")), edges, records.select("ref").distinct(), resolved=True)
     return found.join(records, "ref").select("kind", "ref")
 
 
@@ -115,8 +121,8 @@ SECTIONS = {
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = _families(spark, sf_dir)
-    records = references.records_of(families, access.can_view(READER).alias("visible"))
-    edges = references.resolved(_bridge(families), records)
+    records = kept_by(references.records_of(families, access.can_view(READER).alias("visible")), "ref", "records")
+    edges = _resolved(families, records).distinct()
     seeds = families["forecast"].select(F.col("forecast_id").alias("ref")).union(families["warning"].select("warning_id"))
     return explain.descent(seeds, edges, records, 4)
 

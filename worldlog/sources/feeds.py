@@ -136,6 +136,34 @@ def json_fields(rows: DataFrame, key: str, column: str) -> DataFrame:
     return json_leaves(rows, key, column).filter("problem IS NULL").drop("problem")
 
 
+def json_named(rows: DataFrame, key: str, column: str, names: list[str]) -> DataFrame:
+    """key, leaves (name, over, value): of each JSON text that is read the leaves that stand under one of ``names``, in one row;
+    ``over`` is the path of the object that holds them. Empty values and texts without such leaves have none."""
+    asked = frozenset(names)
+    leaf = pa.struct([("name", pa.string()), ("over", pa.string()), ("value", pa.string())])
+
+    def of(text: str) -> list[dict]:
+        found = []
+        for path, value, problem in _leaves(text):
+            if problem or not value:
+                continue
+            over, _, name = _INDICES.sub("", path).rpartition(".")
+            if name in asked:
+                found.append({"name": name, "over": over, "value": value})
+        return found
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(x.as_py()) if x.is_valid else [] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(leaf))], names=[key, "leaves"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(column).cast("string")).mapInArrow(walk, f"{key} {kind}, leaves array<struct<name:string,over:string,value:string>>")
+
+
+_INDICES = re.compile(r"(\[\d+\])+$")
+
+
 def json_documents(rows: DataFrame, key: str, column: str) -> DataFrame:
     """key, document (keys in order, no white space) of bodies that must be one object each, and the problem of the others."""
     problem = strict_json(F.col(column))
