@@ -24,7 +24,7 @@ def test_named_is_the_bridge_without_a_shuffle(spark):
 
 
 def test_ways_in_buckets_are_not_shuffled_again(spark):
-    ways = graph.kept_by(spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string"), "src", "ways")
+    ways = graph.kept_by(spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string"), "ways", "src")
     assert ways.count() == 2
     step = ways.hint("merge").join(ways.withColumnRenamed("src", "_s").select("_s").distinct(), ways.src == F.col("_s"))
     assert "Exchange hashpartitioning" not in step._jdf.queryExecution().executedPlan().toString()

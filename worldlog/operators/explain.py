@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldlog.operators.graph import saved
+from worldlog.operators.graph import kept_by, saved
 
 HIDDEN = "REDACTED"
 
@@ -16,13 +16,13 @@ def descent(seeds: DataFrame, edges: DataFrame, records: DataFrame, hops: int) -
     ``records``: kind, ref, visible. A node is met once for each seed, at its least hop, from the least (parent, field) there.
     One that the reader may not see is a stand-in: its kind with REDACTED for its id, and nothing below it is met by that
     way; what lies below may still be met by another. Seeds that are hidden or no record have no rows. Cycles do no harm.
-    Rounds are written tables; each joins the front alone.
+    Rounds are written tables; each joins the front alone, with edges and records in buckets.
     """
-    known = saved(records.select("kind", "ref", "visible").distinct(), "records")
+    known = kept_by(records.select("kind", "ref", "visible"), "records", "kind", "ref")
     asked = seeds.select("ref").distinct().join(known, "ref").filter("visible")
     first = asked.select(F.col("ref").alias("seed"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("field"), "kind", "ref", "visible")
     found = front = saved(first, "descent")
-    ways = saved(edges.select(F.col("src").alias("_src"), F.col("field").alias("_field"), F.col("kind").alias("_kind"), F.col("ref").alias("_ref")), "edges")  # every round reads them
+    ways = kept_by(edges.select(F.col("src").alias("_src"), F.col("field").alias("_field"), F.col("kind").alias("_kind"), F.col("ref").alias("_ref")), "edges", "_src")  # every round reads them
     for hop in range(1, hops + 1):
         step = front.filter("visible").select("seed", F.col("ref").alias("_src")).join(ways, "_src")
         met = step.groupBy("seed", F.col("_kind").alias("kind"), F.col("_ref").alias("ref")).agg(F.min(F.struct("_src", "_field")).alias("_by"))

@@ -29,14 +29,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df``'s rows, each once, written like ``saved`` in buckets of ``key``: joins on that key do not shuffle it again, however often it is read."""
+def kept_by(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``df``'s rows, each once, written like ``saved`` in buckets of ``keys``: joins on just these do not shuffle it again, however often it is read."""
     spark = df.sparkSession
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).distinct().write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    df.repartition(n, *keys).distinct().write.bucketBy(n, *keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 
+#: Rows of a table that one task may hold.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int | None = None) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt by keys, or evenly, to tasks of ``each`` rows (``TASK_ROWS``): what one task holds does not grow with the table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (each or TASK_ROWS))), *keys)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -117,7 +117,7 @@ def closure(direct: DataFrame, references: DataFrame, records: DataFrame, resolv
     found = saved(direct.select("ref").distinct().join(known, "ref", "left_semi").withColumn("depth", F.lit(0)), "closure")
     front = found
     ways = references.select("src", "dst")
-    ways = kept_by(ways if resolved else ways.join(known, ways.dst == known.ref, "left_semi"), "src", "ways")
+    ways = kept_by(ways if resolved else ways.join(known, ways.dst == known.ref, "left_semi"), "ways", "src")
     while True:
         step = front.join(ways, front.ref == ways.src).select(F.col("dst").alias("ref"), (F.col("depth") + 1).alias("depth")).distinct()
         front = saved(step.join(found, "ref", "left_anti"), "closure")

@@ -107,7 +107,7 @@ def x3_reference_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g10_closure_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the warnings rest on, over the bridge; what draws on an observation, a manifestation or an objective too."""
     families = _families(spark, sf_dir)
-    records = kept_by(references.records_of(families), "ref", "records")
+    records = kept_by(references.records_of(families), "records", "ref")
     edges = references.directions(_resolved(families, records), BACKWARD)
     found, _ = reads.closure(families["warning"].select(F.col("warning_id").alias("ref")), edges, records.select("ref").distinct(), resolved=True)
     return found.join(records, "ref").select("kind", "ref")
@@ -121,8 +121,8 @@ SECTIONS = {
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = _families(spark, sf_dir)
-    records = kept_by(references.records_of(families, access.can_view(READER).alias("visible")), "ref", "records")
-    edges = _resolved(families, records).distinct()
+    records = kept_by(references.records_of(families, access.can_view(READER).alias("visible")), "records", "ref")
+    edges = _resolved(families, records)
     seeds = families["forecast"].select(F.col("forecast_id").alias("ref")).union(families["warning"].select("warning_id"))
     return explain.descent(seeds, edges, records, 4)
 
