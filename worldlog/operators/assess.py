@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worldlog.operators.graph import dealt
 from worldlog.operators.views import first_code
 from worldlog.sources import feeds
 
@@ -30,9 +31,10 @@ def refreshed_hypotheses(links: DataFrame, claims: DataFrame) -> DataFrame:
     family count once for independence; links to no claim and null families count for nothing. A hypothesis without any
     standing evidence is UNRESOLVED.
     """
-    met = links.select("hypothesis_id", "claim_id", "stance").distinct().join(claims, "claim_id", "left")
+    n = links.count()
+    met = dealt(links.select("hypothesis_id", "claim_id", "stance"), n, "claim_id").distinct().join(claims, "claim_id", "left")
     supports, live = F.col("stance") == "SUPPORTING", F.col("state") == "CURRENT"
-    counts = met.groupBy("hypothesis_id").agg(
+    counts = dealt(met, n, "hypothesis_id").groupBy("hypothesis_id").agg(
         F.count_distinct(F.when(supports & live, F.col("family"))).alias("independent"), F.count_distinct(F.when(supports & live, F.col("claim_id"))).alias("n_active"),
         F.count_distinct(F.when(supports & F.col("state").isin(*DEGRADED), F.col("claim_id"))).alias("n_degraded"), F.count_distinct(F.when(~supports & live, F.col("claim_id"))).alias("n_contradicting"),
     )
