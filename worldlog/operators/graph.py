@@ -74,12 +74,13 @@ def components(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None = None) -> DataFrame:
     """node, hop: the nodes within ``hops`` (0 to 6) edges of the seeds, and how many it takes; ``types``: relation types to go by
     (column ``relation_type``), all where none are named. A seed without an edge is its own neighbourhood."""
-    links = both_ways(edges if types is None else edges.filter(F.col("relation_type").isin(types)))
+    links = (edges if types is None else edges.filter(F.col("relation_type").isin(types))).select("src", "dst")
     links = saved(links, "links") if hops > 1 else links
     found = seeds.select(F.col("node"), F.lit(0).cast("long").alias("hop")).distinct()
     front = found
     for hop in range(1, min(hops, 6) + 1):
-        reached = front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct()
+        way = lambda a, b: front.join(links, front.node == links[a]).select(F.col(b).alias("node"))
+        reached = way("src", "dst").union(way("dst", "src")).distinct()  # edges are neither turned nor shuffled for a small front
         front = saved(reached.join(found, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")), "front")
         found = found.union(front)
     return found

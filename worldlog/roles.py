@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from worldlog.operators.graph import dealt
+
 SNAPSHOT = "2001-12-31 00:00:00"
 
 
@@ -77,11 +79,10 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct customer to supplier edges, with how many lines each has."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .groupBy(F.col("o_custkey").alias("source_id"), F.col("l_suppkey").alias("target_id"))
-        .agg(F.count("*").alias("n_lines"), F.max("l_returnflag").alias("flag"))
-    )
+    n = lines.count()
+    lines = dealt(lines, n, "l_orderkey")
+    ends = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), "l_returnflag")
+    return dealt(ends, n, "source_id", "target_id").groupBy("source_id", "target_id").agg(F.count("*").alias("n_lines"), F.max("l_returnflag").alias("flag"))
 
 
 DUCK = {
