@@ -54,18 +54,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reached) of every node of ``edges`` (src, dst).
 
     Each round a node takes the least label around it and then its label's own label, so that labels halve the way to
-    their root; rounds grow with the logarithm of a long chain.
+    their root; rounds grow with the logarithm of a long chain. Labels are as many as nodes and not broadcast: nothing passes
+    through the driver but whether to go on.
     """
     links = saved(both_ways(edges.filter("src IS NOT NULL AND dst IS NOT NULL")), "edges")
     label = links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
     label = saved(label, "labels")
     while True:
-        around = links.join(label, links.dst == label.node).groupBy("src").agg(F.min("component").alias("_around"))
-        nearer = label.join(around, label.node == around.src, "left").select("node", F.least("component", "_around").alias("component"))
+        around = links.join(label.hint("merge"), links.dst == label.node).groupBy("src").agg(F.min("component").alias("_around"))
+        nearer = label.join(around.hint("merge"), label.node == around.src, "left").select("node", F.least("component", "_around").alias("component"))
         root = nearer.select(F.col("node").alias("_node"), F.col("component").alias("_root"))
-        jumped = nearer.join(root, nearer.component == root["_node"], "left").select("node", F.coalesce("_root", "component").alias("component"))
+        jumped = nearer.join(root.hint("merge"), nearer.component == root["_node"], "left").select("node", F.coalesce("_root", "component").alias("component"))
         after = saved(jumped, "labels")
-        changed = after.join(label.withColumnRenamed("component", "_old"), "node").filter("component <> _old").limit(1).count()
+        changed = after.join(label.withColumnRenamed("component", "_old").hint("merge"), "node").filter("component <> _old").limit(1).count()
         label = after
         if not changed:
             return label
@@ -142,11 +143,11 @@ def joined_components(label: DataFrame, links: DataFrame) -> tuple[DataFrame, Da
     """
     ends = saved(links.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst"), "ends")
     nodes = ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct()
-    touched = saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("new")), "touched")
+    touched = saved(nodes.join(label.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("new")), "touched")
     of = lambda side: touched.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    between = ends.join(of("src"), "src").join(of("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    between = ends.join(of("src").hint("merge"), "src").join(of("dst").hint("merge"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
     merged = components(between).filter("node <> component").select(F.col("node").alias("was"), "component")
     merged = saved(merged, "merged")
     everyone = label.select("node", "component").union(touched.filter("new").select("node", "component"))
-    now = everyone.join(merged.withColumnRenamed("component", "_now"), everyone.component == merged.was, "left").select("node", F.coalesce("_now", "component").alias("component"))
+    now = everyone.join(merged.withColumnRenamed("component", "_now").hint("merge"), everyone.component == merged.was, "left").select("node", F.coalesce("_now", "component").alias("component"))
     return now, merged
