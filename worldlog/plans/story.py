@@ -39,7 +39,7 @@ def q05_merged_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = graph.saved(_links(spark, sf_dir), "links")
     first = graph.components(links.filter("(src + dst) % 3 > 0"))
     now, merged = graph.joined_components(first, links.filter("(src + dst) % 3 = 0"))
-    return now.join(merged.withColumnRenamed("component", "_c"), now.node == merged.was, "left").select("node", "component", F.col("_c").isNotNull().alias("merged"))
+    return now.join(merged.withColumnRenamed("component", "_c").hint("merge"), now.node == merged.was, "left").select("node", "component", F.col("_c").isNotNull().alias("merged"))
 
 
 def q18_theme_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
