@@ -39,3 +39,8 @@ def test_neighbourhood_turns_no_edges(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d"), ("a", "b"), ("x", "y")], "src string, dst string")
     found = graph.neighbourhood(edges, spark.createDataFrame([("a",), ("z",)], "node string"), 2)
     assert sorted(map(tuple, found.collect())) == [("a", 0), ("b", 1), ("c", 2), ("z", 0)]
+
+
+@pytest.mark.parametrize("name", ["f15_name_variants", "f21_structured_observations"])
+def test_heavy_rows_are_dealt_before_their_work(spark, name):
+    assert "REPARTITION_BY_NUM" in _plan(plans.QUERIES[name](spark, SF))

@@ -23,7 +23,9 @@ def f15_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.get(pool, (k % 13).cast("int")), F.lit("  "), F.substring("c_name", 1, 1), k)
     alias = F.array(F.concat(F.lit("A "), "c_name"), F.upper(said))
     label = F.array(F.struct(F.lit("el").alias("language"), F.concat(F.lit("Ω"), k).alias("label")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 17 > 0, said).alias("name"), alias.alias("aliases"), label.alias("labels"))
+    customers = table(spark, sf_dir, "customer")
+    customers = graph.dealt(customers, customers.count(), each=20_000)  # work of a row is heavy, and a file may have few splits
+    rows = customers.select("c_custkey", F.when(k % 17 > 0, said).alias("name"), alias.alias("aliases"), label.alias("labels"))
     return names.name_variants(rows, "c_custkey", "name", "aliases", "labels", ["ru", "en"])
 
 
