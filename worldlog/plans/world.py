@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worldlog import roles
 from worldlog.operators import access, bundles, evidence, graph, versions, world
+from worldlog.operators.graph import dealt
 from worldlog.roles import duck, table
 from worldlog.sources import feeds, structured
 
@@ -142,7 +143,9 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         c, c, F.col("c_name"), F.col("c_mktsegment"), F.col("c_mktsegment"), c + 1)
     entity = F.format_string('{"entities":{"Q%d":{"labels":{"en":{"value":"%s"}},"aliases":{"de":[{"value":"%s"}]},"claims":{"P1278":[{"mainsnak":{"datavalue":{"value":"L%d"}}}],"P856":[{"mainsnak":{"datavalue":{"value":"https://x%d.org"}}}],"P9":[{"mainsnak":{"datavalue":{"value":"z"}}}]}}}}', c, F.col("c_name"), F.col("c_mktsegment"), c, c)
     hits = F.format_string('{"hits":{"hits":[{"_id":"h%d","_source":{"adsh":"a%d","ciks":["000%d"],"file_date":"2021-03-04","file_type":"10-K","display_names":["%s (CIK 000%d)"]}},{"_source":{"adsh":"b"}}]}}', c, c, c, F.col("c_name"), c)
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(c % 3 == 0, registry).when(c % 3 == 1, entity).otherwise(hits).alias("body"))
+    customers = table(spark, sf_dir, "customer")
+    customers = dealt(customers.select("c_custkey", "c_name", "c_mktsegment"), customers.count(), each=20_000)  # work of a row is heavy, and a file may have few splits
+    return customers.select("c_custkey", F.when(c % 3 == 0, registry).when(c % 3 == 1, entity).otherwise(hits).alias("body"))
 
 
 def f21_structured_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
