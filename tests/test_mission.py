@@ -83,3 +83,19 @@ def test_projection_of_latest_versions(spark):
     more = spark.createDataFrame([("t1", "by e2@v1", False), ("t2", "ne2w e1", True)], "tid string, note string, open boolean")
     got = redaction.projection({"e": (mark(rows), "id")}, {"t": (more, "tid")}, F.col("open"), ["open"]).collect()
     assert {(r.family, r.ref, r.n_versions): r.record for r in got} == {("e", "e1", 2): '{"id":"e1","version":2,"note":"see REDACTED, REDACTED","t":"t"}', ("t", "t2", 1): '{"tid":"t2","note":"nREDACTEDw e1"}'}
+
+
+def test_hidden_ids_are_gone_through_twice_at_most(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    names = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    hidden = [f"clm-{i:020}" for i in range(100)]
+    rows = spark.createDataFrame([(1, f"{hidden[3]}@v2{hidden[4]}"), (2, None)], "key long, body string")
+    got = redaction.scrubbed(rows, "key", "body", names(hidden).mapInArrow(counted, "id string"), names(["ent-1"])).collect()
+    assert {r.key: r.body for r in got} == {1: "REDACTEDREDACTED", 2: None}
+    assert read.value <= 200
