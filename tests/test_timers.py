@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from worldlog.operators import graph
 from worldlog.streaming import timers
@@ -84,6 +85,52 @@ def test_horizons(spark, tmp_path, n):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+class Store:
+    """A subject's state and timers, and how often they are asked."""
+
+    def __init__(self):
+        self.rows, self.timers, self.asked = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.asked += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.asked += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.asked, self.rows = self.asked + 1, rows
+
+    def clear(self):
+        self.asked, self.rows = self.asked + 1, []
+
+    def registerTimer(self, at_ms):
+        self.asked += 1
+        self.timers.add(at_ms)
+
+
+def test_a_subject_asks_the_store_a_few_times(spark):
+    store, told = Store(), timers.Horizons()
+    told.init(store)
+    posed = [{"at_ms": i, "seq": i, "kind": "POSED", "horizon_ms": i + 50} for i in range(100)]
+    got = list(told.handleInputRows((7,), iter(posed), TimerValues(0, -1)))
+    assert [(r.forecast_id, r.at_ms) for r in got] == [(i, i + 50) for i in range(49)]
+    assert store.timers == {99} and store.asked == 3
+    # the watermark has passed two more horizons than the timer's own
+    got = list(told.handleExpiredTimer((7,), TimerValues(0, 101), ExpiredTimerInfo(99)))
+    assert [(r.forecast_id, r.at_ms, r.verdict) for r in got] == [(i, i + 50, "FALSE_BY_ABSENCE") for i in (49, 50, 51)]
+    assert store.timers == {99, 102} and store.asked == 6
+    got = list(told.handleInputRows((7,), iter([{"at_ms": 102, "seq": 200, "kind": "MATCH", "horizon_ms": None}]), TimerValues(0, 101)))
+    assert [(r.forecast_id, r.verdict) for r in got] == [(i, "TRUE") for i in range(52, 100)] and store.rows == []
+    # a timer that nothing waits for any more, and a subject of whom nothing stays open, leave nothing behind
+    assert list(told.handleExpiredTimer((7,), TimerValues(0, 102), ExpiredTimerInfo(102))) == []
+    assert store.asked == 9
+
+
 def test_stream_join_is_the_batch_join(spark, tmp_path):
     draw = random.Random(7)
     rows = [[(draw.randrange(3), at(i * 4 + side), i) for i in range(60)] for side in (0, 1)]

@@ -72,19 +72,30 @@ class Watches(StatefulProcessor):
 
 
 class Horizons(StatefulProcessor):
-    """Forecasts of a subject and what bears them out: TRUE at the first match up to the horizon, FALSE_BY_ABSENCE at the horizon."""
+    """Forecasts of a subject and what bears them out: TRUE at the first match up to the horizon, FALSE_BY_ABSENCE at the horizon.
+
+    Each call to the store is a message of its own, so a subject has one timer, for the earliest horizon of what a batch leaves
+    open; when it comes, all that the watermark has passed is told, and the next one is set.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getListState("open", "forecast_id long, horizon long")
 
-    def _keep(self, waiting: dict[int, int]) -> None:
-        self.open.clear()
-        if waiting:
-            self.open.put(list(waiting.items()))
+    def _keep(self, before: dict[int, int], waiting: dict[int, int]) -> None:
+        if waiting == before:
+            return
+        if not waiting:
+            self.open.clear()
+            return
+        self.open.put(list(waiting.items()))
+        first = min(waiting.values())
+        if not before or first != min(before.values()):
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        waiting = dict(self.open.get()) if self.open.exists() else {}
+        before = dict(self.open.get())
+        waiting = dict(before)
         for r in sorted(rows, key=lambda r: (r["at_ms"], r["seq"])):
             yield from self._passed(key, waiting, r["at_ms"] - 1)
             if r["kind"] == "MATCH":
@@ -93,8 +104,7 @@ class Horizons(StatefulProcessor):
                 waiting.clear()
             else:
                 waiting[r["seq"]] = r["horizon_ms"]
-                self.handle.registerTimer(r["horizon_ms"])
-        self._keep(waiting)
+        self._keep(before, waiting)
 
     @staticmethod
     def _passed(key, waiting: dict[int, int], now: int) -> Iterator[Row]:
@@ -104,9 +114,11 @@ class Horizons(StatefulProcessor):
                 yield Row(subject=key[0], forecast_id=i, verdict="FALSE_BY_ABSENCE", at_ms=horizon)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        waiting = dict(self.open.get()) if self.open.exists() else {}
-        yield from self._passed(key, waiting, expiredTimerInfo.getExpiryTimeInMs())
-        self._keep(waiting)
+        before = dict(self.open.get())
+        waiting = dict(before)
+        # rows up to the watermark have been seen, whichever horizon this timer stood for
+        yield from self._passed(key, waiting, timerValues.getCurrentWatermarkInMs())
+        self._keep(before, waiting)
 
     def close(self) -> None:
         pass
