@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from worldlog import plans
@@ -44,3 +46,11 @@ def test_neighbourhood_turns_no_edges(spark):
 @pytest.mark.parametrize("name", ["f15_name_variants", "f21_structured_observations"])
 def test_heavy_rows_are_dealt_before_their_work(spark, name):
     assert "REPARTITION_BY_NUM" in _plan(plans.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["p02_payload_status", "r04_quarantine", "p05_units"])
+def test_payloads_are_not_dealt_by_feed_and_judged_once(spark, name):
+    plan = _plan(plans.QUERIES[name](spark, SF))
+    assert not re.search(r"hashpartitioning\(schema_id#\d+(, _declared#\d+)?, \d+\)", plan)
+    assert "REPARTITION_BY_NUM" in plan
+    assert plan.count("undeclared field present") == 2  # of a document and of a feature
