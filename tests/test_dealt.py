@@ -54,3 +54,13 @@ def test_payloads_are_not_dealt_by_feed_and_judged_once(spark, name):
     assert not re.search(r"hashpartitioning\(schema_id#\d+(, _declared#\d+)?, \d+\)", plan)
     assert "REPARTITION_BY_NUM" in plan
     assert plan.count("undeclared field present") == 2  # of a document and of a feature
+
+
+def test_a_receipt_judges_payloads_once(spark):
+    assert "required field missing" not in _plan(plans.QUERIES["q04_ingest_counts"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["q04_ingest", "q04_ingest_relationships"])
+def test_ingest_does_not_deal_payloads_by_feed(spark, name):
+    plan = _plan(plans.QUERIES[name](spark, SF))
+    assert "hashpartitioning(schema_id" not in plan and "REPARTITION_BY_NUM" in plan
