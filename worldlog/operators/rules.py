@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worldlog.functions import scalar
-from worldlog.operators import evidence
+from worldlog.operators import evidence, near
 from worldlog.operators.graph import saved
 
 # Fixed values.
@@ -23,24 +23,13 @@ QUOTED = r"(?<![\d.])(0?\.\d+)(?![\d%])|(\d{1,3})\s*%"
 NOT_BLOCKING = ("PARTIALLY_HISTORICAL_BASIS", "MULTI_FORECAST_NUMERIC_AMBIGUITY")
 
 
-def _along(targets: DataFrame, metres: float) -> DataFrame:
-    """id, lon, lat, reach: points of each geometry no farther apart than half of ``metres``, and how far one has to look from them."""
-    lines = targets.filter("line IS NOT NULL").select("object_id", F.posexplode(F.expr("transform(sequence(0, size(line) - 2), i -> struct(line[i] AS a, line[i + 1] AS b))")).alias("_at", "s"))
-    ax, ay, bx, by = (F.col("s")[end][i] for end in "ab" for i in (0, 1))
-    n = F.greatest(F.lit(1), F.ceil(scalar.haversine_m(ax, ay, bx, by) / (metres / 2))).cast("int")
-    cut = lines.select("object_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    share = F.col("i") / F.col("n")
-    on_lines = cut.select(F.col("object_id").alias("id"), (F.col("ax") + (F.col("bx") - F.col("ax")) * share).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * share).alias("lat"), F.lit(1.5 * metres).alias("reach"))
-    return on_lines.union(targets.filter("line IS NULL AND lon IS NOT NULL").select("object_id", "lon", "lat", F.lit(metres)))
-
-
 def near_geometries(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
     """id, target_id, metres of points (id, lon, lat) within ``metres`` of targets (object_id, lon, lat, or line: array of places).
 
     A point stands in one cell of the globe and a target, with its geometry, once in every cell that it reaches: a pair meets once,
     and only pairs that the exact distance leaves come out of the join. Of ids with several rows, on either side, the nearest count.
     """
-    cells = evidence.reached_cells(_along(targets, metres), metres / 2).distinct()
+    cells = evidence.reached_cells(near.along(targets, metres), metres / 2).distinct()
     middle, degree = F.expr("line[size(line) div 2]"), scalar.EARTH_RADIUS_M * math.pi / 180
     away = F.expr("array_max(transform(line, p -> sqrt(pow(p[0] - line[size(line) div 2][0], 2) + pow(p[1] - line[size(line) div 2][1], 2))))") * degree
     shape = targets.select(F.col("object_id").alias("target_id"), "line", F.coalesce("lon", middle[0]).alias("_lon"), F.coalesce("lat", middle[1]).alias("_lat"), away.alias("_away"))
@@ -51,10 +40,10 @@ def near_geometries(points: DataFrame, targets: DataFrame, metres: float) -> Dat
     # on the point's flat map the way to a line is at most that to its middle corner, and shorter by the line's reach at most
     flat = F.hypot((F.col("_lon") - F.col("lon")) * F.cos(F.radians("lat")) * degree, (F.col("_lat") - F.col("lat")) * degree)
     line_near = F.when(flat < metres - 0.01, True).when(flat - F.col("_away") > metres + 0.01, False).otherwise(to_line <= metres)
-    near = F.when(on_line, line_near).otherwise(to_point <= metres)
+    within = F.when(on_line, line_near).otherwise(to_point <= metres)
     distance = F.when(on_line, to_line).otherwise(to_point).alias("metres")
     # merged: what is thin as a table makes many pairs, which one task would make alone after a broadcast
-    met = lambda some, places: some.hint("merge").join(places, ["_row", "_cell"]).filter(near).select("id", "target_id", distance)
+    met = lambda some, places: some.hint("merge").join(places, ["_row", "_cell"]).filter(within).select("id", "target_id", distance)
     often = lambda df, key: df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
     points_often, shapes_often = often(points, "id"), often(shape, "target_id")
     once = standing.join(points_often, "id", "left_anti")
@@ -66,27 +55,48 @@ def _of(relations: DataFrame, kind: str, source: str, target: str) -> DataFrame:
     return relations.filter(F.col("relation_type") == kind).select(F.col("source_id").alias(source), F.col("target_id").alias(target)).distinct()
 
 
-def exposure(objects: DataFrame, relations: DataFrame, metres: float = PROXIMITY_METRES) -> DataFrame:
-    """route_id, disruption_id, condition: what each route is exposed to, each disruption once; see ``proposals`` for the tables."""
-    routes = objects.filter("object_type = 'ROUTE'")
+def _active(objects: DataFrame) -> DataFrame:
+    """Places of disruptions: active concerns, and what reports a disrupted status."""
+    active = objects.filter((F.col("object_type") == "OPERATIONAL_CONCERN") & (F.col("lifecycle") == "ACTIVE") | F.col("reported_status").isin(*DISRUPTED))
+    return active.filter("line IS NULL AND lon IS NOT NULL").select(F.col("object_id").alias("id"), "lon", "lat")
+
+
+def _listed(objects: DataFrame, relations: DataFrame) -> DataFrame:
+    """route_id, disruption_id, _rank of what relations say that routes are exposed to."""
     said = objects.select(F.col("object_id").alias("_id"), "epistemic_state", "status", "reported_status")
     found = lambda df, disruption, condition: df.select("route_id", disruption.alias("disruption_id"), F.lit(CONDITIONS.index(condition)).alias("_rank"))
     affects = _of(relations, "AFFECTS", "disruption", "route_id")
     depends = _of(relations, "DEPENDS_ON", "route_id", "infra").join(said, F.col("infra") == F.col("_id"))
     reports = _of(relations, "REPORTS_ON", "report", "infra").join(said, F.col("report") == F.col("_id")).filter(F.col("reported_status").isin(*DISRUPTED)).select("report", "infra")
-    active = objects.filter((F.col("object_type") == "OPERATIONAL_CONCERN") & (F.col("lifecycle") == "ACTIVE") | F.col("reported_status").isin(*DISRUPTED))
-    near = near_geometries(active.filter("line IS NULL AND lon IS NOT NULL").select(F.col("object_id").alias("id"), "lon", "lat"), routes.filter("line IS NOT NULL"), metres)
     parts = [
         found(affects, F.col("disruption"), "AFFECTS_RELATIONSHIP"),
         found(depends.filter("epistemic_state = 'DISPUTED'"), F.col("infra"), "DEPENDENCY_DISPUTED"),
         found(depends.filter(F.col("status").isin(*DISRUPTED)), F.col("infra"), "DEPENDENCY_DISRUPTED"),
         found(depends.select("route_id", "infra").join(reports, "infra"), F.col("report"), "DEPENDENCY_REPORTED_DISRUPTED"),
-        found(near.select(F.col("target_id").alias("route_id"), "id"), F.col("id"), "PROXIMATE_DISRUPTION"),
     ]
-    each = reduce(DataFrame.union, parts).join(routes.select(F.col("object_id").alias("route_id")), "route_id", "left_semi").groupBy("route_id", "disruption_id").agg(F.max("_rank").alias("_rank"))
+    return reduce(DataFrame.union, parts).join(objects.filter("object_type = 'ROUTE'").select(F.col("object_id").alias("route_id")), "route_id", "left_semi")
+
+
+def exposure(objects: DataFrame, relations: DataFrame, metres: float = PROXIMITY_METRES) -> DataFrame:
+    """route_id, disruption_id, condition: what each route is exposed to, each disruption once; see ``proposals`` for the tables."""
+    routes = objects.filter("object_type = 'ROUTE' AND line IS NOT NULL")
+    close = near.pairs(_active(objects), routes, metres).select(F.col("target_id").alias("route_id"), F.col("id").alias("disruption_id"), F.lit(CONDITIONS.index("PROXIMATE_DISRUPTION")).alias("_rank"))
+    each = _listed(objects, relations).union(close).groupBy("route_id", "disruption_id").agg(F.max("_rank").alias("_rank"))
     return each.select("route_id", "disruption_id", F.get(F.array(*map(F.lit, CONDITIONS)), F.col("_rank")).alias("condition"))
 
 
+def exposure_counts(objects: DataFrame, relations: DataFrame, metres: float = PROXIMITY_METRES) -> DataFrame:
+    """route_id, n: how many disruptions ``exposure`` has for a route; none is no row. What is near is counted, not written pair by pair."""
+    routes, active = objects.filter("object_type = 'ROUTE' AND line IS NOT NULL"), _active(objects)
+    close = near.counts(active, routes, metres, by="target_id").select(F.col("target_id").alias("route_id"), "n")
+    # of what relations list, what is near as well counts once
+    listed = saved(_listed(objects, relations).select("route_id", "disruption_id").distinct(), "listed")
+    shape = routes.select(F.col("object_id").alias("route_id"), "line")
+    both = listed.join(active, listed.disruption_id == active.id).join(shape, "route_id").filter(scalar.point_to_line_m(F.col("lon"), F.col("lat"), F.col("line")) <= metres).select("route_id", "disruption_id").distinct()
+    other = listed.join(both, ["route_id", "disruption_id"], "left_anti").groupBy("route_id").agg(F.count("*").alias("n"))
+    return close.union(other).groupBy("route_id").agg(F.sum("n").alias("n"))
+
+
 def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazard_metres: float = HAZARD_METRES, route_metres: float = PROXIMITY_METRES, exposed: DataFrame | None = None, pairs: bool = True) -> DataFrame:
     """rule, kind, subject, other, n of everything that six rules propose over what is visible.
 
@@ -94,7 +104,7 @@ def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazar
     or line (array of places), or neither. ``relations``: relation_type, source_id, target_id of ACTIVE ones between visible
     objects. ``groups``: group_id, object_id of reports on one basis. Conflicts are told by target with the number of reports in
     place of all pairs; ``other`` names the status, hazard or route that a proposal is about, ``n`` how many findings it rests on.
-    ``exposed``: the ``exposure`` at ``route_metres`` where it is known already; ``pairs``: whether each hazard is told with each
+    ``exposed``: the ``exposure_counts`` at ``route_metres`` where they are known already; ``pairs``: whether each hazard is told with each
     thing that it threatens (RELATIONSHIP), or these are counted alone and never written.
     """
     told = objects.select(F.col("object_id").alias("_o"), "object_type", "reported_status")
@@ -108,10 +118,9 @@ def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazar
     spots = hazards.filter("line IS NULL AND lon IS NOT NULL").select(F.col("object_id").alias("id"), "lon", "lat").union(
         hazards.filter("line IS NOT NULL").select("object_id", F.explode("line").alias("p")).select("object_id", F.col("p")[0], F.col("p")[1])
     )
-    hit = near_geometries(spots, objects.filter(F.col("object_type").isin("ROUTE", "INFRASTRUCTURE")), hazard_metres).select("id", "target_id")
-    hit = saved(hit, "hazards") if pairs else hit
-    exposed = saved(exposure(objects, relations, route_metres), "exposure") if exposed is None else exposed
-    counts = objects.filter("object_type = 'ROUTE'").select(F.col("object_id").alias("route_id")).join(exposed.groupBy("route_id").agg(F.count("*").alias("n")), "route_id", "left").fillna(0, ["n"])
+    threatened = objects.filter(F.col("object_type").isin("ROUTE", "INFRASTRUCTURE"))
+    exposed = saved(exposure_counts(objects, relations, route_metres), "exposure") if exposed is None else exposed
+    counts = objects.filter("object_type = 'ROUTE'").select(F.col("object_id").alias("route_id")).join(exposed, "route_id", "left").fillna(0, ["n"])
     planned = _of(relations, "PLANNED_FOR", "movement", "route_id").join(counts.filter("n > 0"), "route_id")
     ways = _of(relations, "ALTERNATE_OF", "route_id", "way")
     ways = ways.union(ways.select("way", "route_id")).join(counts.filter("n = 0").select(F.col("route_id").alias("way")), "way").groupBy("route_id").agg(F.min("way").alias("way"))
@@ -122,8 +131,8 @@ def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazar
             row(conflicts, "infrastructure-conflict", "ALERT", F.col("target"), F.col("statuses"), F.col("n_reports")),
             row(conflicts, "infrastructure-conflict", "STATE", F.col("target"), F.lit("DISPUTED"), F.col("n_reports")),
             row(disruptions, "reported-disruption", "ALERT", F.col("target"), F.col("said"), F.col("n")),
-            row(hit.groupBy("id").agg(F.count("*").alias("n")), "hazard-impact", "ALERT", F.col("id"), F.lit(None), F.col("n")),
-            *([row(hit, "hazard-impact", "RELATIONSHIP", F.col("id"), F.col("target_id"), F.lit(1))] if pairs else []),
+            row(near.counts(spots, threatened, hazard_metres), "hazard-impact", "ALERT", F.col("id"), F.lit(None), F.col("n")),
+            *([row(saved(near_geometries(spots, threatened, hazard_metres).select("id", "target_id"), "hazards"), "hazard-impact", "RELATIONSHIP", F.col("id"), F.col("target_id"), F.lit(1))] if pairs else []),
             row(counts.filter("n > 0"), "route-exposure", "ASSESSMENT", F.col("route_id"), F.lit(None), F.col("n")),
             row(planned, "movement-route-risk", "ALERT", F.col("movement"), F.col("route_id"), F.col("n")),
             row(planned.join(ways, "route_id"), "movement-route-risk", "RECOMMENDATION", F.col("movement"), F.col("way"), F.col("n")),

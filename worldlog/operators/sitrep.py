@@ -19,10 +19,10 @@ NONE, WIDTH = "none in this view", 72
 _ITEM = ("section", "key", "state", "label", "detail")
 
 
-def items(objects: DataFrame, exposure: DataFrame, proposals: DataFrame, groups: DataFrame, decisions: DataFrame, sources: DataFrame) -> DataFrame:
+def items(objects: DataFrame, exposed: DataFrame, proposals: DataFrame, groups: DataFrame, decisions: DataFrame, sources: DataFrame) -> DataFrame:
     """section, key, state, label, detail of a report over what a reader sees.
 
-    ``objects``, ``exposure``, ``proposals`` and ``groups`` as the rules have them; ``decisions``: decision_id, state, actor, rationale;
+    ``objects``, ``proposals`` and ``groups`` as the rules have them; ``exposed``: route_id, n of their exposure; ``decisions``: decision_id, state, actor, rationale;
     ``sources``: source, n of what the view rests on.
     """
     kind = F.col("object_type")
@@ -31,7 +31,7 @@ def items(objects: DataFrame, exposure: DataFrame, proposals: DataFrame, groups:
     row = lambda df, section, key, state, label, detail: df.select(F.lit(section).alias("section"), text(key).alias("key"), state.alias("state"), label.alias("label"), detail.alias("detail"))
     own, named = F.col("object_id"), F.concat(F.lit("object "), text(F.col("object_id")))
     fresh = F.when(F.col("stale"), "STALE").otherwise("FRESH")
-    exposed = objects.filter(kind == "ROUTE").join(exposure.groupBy(F.col("route_id").alias("object_id")).agg(F.count("*").alias("_n")), "object_id", "left")
+    routes = objects.filter(kind == "ROUTE").join(exposed.select(F.col("route_id").alias("object_id"), F.col("n").alias("_n")), "object_id", "left")
     known = F.when(F.col("_n") > 0, F.concat(text(F.col("_n")), F.lit(" known disruption(s)"))).otherwise("no known disruption")
     of = lambda k: proposals.filter(F.col("kind") == k)
     about, why = F.concat("subject", F.lit(" "), F.coalesce("other", F.lit(""))), F.concat("rule", F.lit(": "), text(F.col("n")))
@@ -40,7 +40,7 @@ def items(objects: DataFrame, exposure: DataFrame, proposals: DataFrame, groups:
         [
             row(objects.filter(kind == "RESOURCE_STOCK"), "Resources", own, F.col("epistemic_state"), named, F.concat(F.lit("status: "), said, F.lit(" ("), fresh, F.lit(")"))),
             row(objects.filter(kind == "INFRASTRUCTURE"), "Infrastructure", own, F.col("epistemic_state"), named, F.concat(F.lit("status: "), said, F.when(F.col("epistemic_state") == "DISPUTED", " - DISPUTED").otherwise(""))),
-            row(exposed, "Routes", own, F.lit("INFERRED"), named, known),
+            row(routes, "Routes", own, F.lit("INFERRED"), named, known),
             row(objects.filter(kind == "MOVEMENT"), "Movements", own, F.col("epistemic_state"), named, F.concat(F.lit("status: "), said)),
             row(of("ALERT").filter("rule = 'infrastructure-conflict'"), "Unresolved conflicts", F.col("subject"), F.lit("DISPUTED"), F.concat(F.lit("object "), "subject"), F.col("other")),
             row(objects.filter("stale"), "Stale information", own, F.lit("STALE"), named, F.lower(kind)),

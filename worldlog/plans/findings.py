@@ -54,7 +54,7 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     sources = events.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n"))
     none = spark.createDataFrame([], "decision_id string, state string, actor string, rationale string")
-    exposed = graph.saved(rules.exposure(objects, relations, ROUTE_METRES), "exposure")
+    exposed = graph.saved(rules.exposure_counts(objects, relations, ROUTE_METRES), "exposure")
     proposed = rules.proposals(objects, relations, groups, route_metres=ROUTE_METRES, exposed=exposed, pairs=False)
     # a report tells alerts and recommendations alone, in three of its sections
     told = graph.saved(proposed.filter(F.col("kind").isin("ALERT", "RECOMMENDATION")), "proposals")
