@@ -78,3 +78,11 @@ def _written(monkeypatch, build):
 def test_report_lines_write_no_exposed_pairs(spark, monkeypatch):
     _, seen = _written(monkeypatch, lambda: plans.QUERIES["s24_report_lines"](spark, SF))
     assert [columns for label, columns, _ in seen if label == "exposure"] == [["route_id", "n"]]
+
+
+def test_six_rules_write_no_pairs_of_hazards(spark, monkeypatch):
+    df, seen = _written(monkeypatch, lambda: plans.QUERIES["q07_six_rules"](spark, SF))
+    assert not [label for label, *_ in seen if label == "hazards"]
+    # told as they leave their block: no pair is shuffled, nor written to be counted
+    pairs = df.filter("kind = 'RELATIONSHIP'")._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.split("\n")[1].lstrip(":+- ").startswith("MapInArrow") and "Aggregate" not in pairs.split("MapInArrow")[0]

@@ -132,7 +132,7 @@ def proposals(objects: DataFrame, relations: DataFrame, groups: DataFrame, hazar
             row(conflicts, "infrastructure-conflict", "STATE", F.col("target"), F.lit("DISPUTED"), F.col("n_reports")),
             row(disruptions, "reported-disruption", "ALERT", F.col("target"), F.col("said"), F.col("n")),
             row(near.counts(spots, threatened, hazard_metres), "hazard-impact", "ALERT", F.col("id"), F.lit(None), F.col("n")),
-            *([row(saved(near_geometries(spots, threatened, hazard_metres).select("id", "target_id"), "hazards"), "hazard-impact", "RELATIONSHIP", F.col("id"), F.col("target_id"), F.lit(1))] if pairs else []),
+            *([row(near.pairs(spots, threatened, hazard_metres), "hazard-impact", "RELATIONSHIP", F.col("id"), F.col("target_id"), F.lit(1))] if pairs else []),
             row(counts.filter("n > 0"), "route-exposure", "ASSESSMENT", F.col("route_id"), F.lit(None), F.col("n")),
             row(planned, "movement-route-risk", "ALERT", F.col("movement"), F.col("route_id"), F.col("n")),
             row(planned.join(ways, "route_id"), "movement-route-risk", "RECOMMENDATION", F.col("movement"), F.col("way"), F.col("n")),
