@@ -86,3 +86,9 @@ def test_six_rules_write_no_pairs_of_hazards(spark, monkeypatch):
     # told as they leave their block: no pair is shuffled, nor written to be counted
     pairs = df.filter("kind = 'RELATIONSHIP'")._jdf.queryExecution().optimizedPlan().toString()
     assert pairs.split("\n")[1].lstrip(":+- ").startswith("MapInArrow") and "Aggregate" not in pairs.split("MapInArrow")[0]
+
+
+def test_report_items_count_hazards_in_blocks(spark, monkeypatch):
+    _, seen = _written(monkeypatch, lambda: plans.QUERIES["q10_report_items"](spark, SF))
+    [proposals] = [plan for label, _, plan in seen if label == "proposals"]
+    assert "MapInArrow" in proposals and "HYPOT" not in proposals.upper()
