@@ -29,11 +29,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_by(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """``df``'s rows, each once, written like ``saved`` in buckets of ``keys``: joins on just these do not shuffle it again, however often it is read."""
+def kept_by(df: DataFrame, name: str, *keys: str, once: bool = True) -> DataFrame:
+    """``df``'s rows, each once (or as they are), written like ``saved`` in buckets of ``keys``: joins on just these do not shuffle it again, however often it is read."""
     spark = df.sparkSession
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).distinct().write.bucketBy(n, *keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    df = df.repartition(n, *keys)
+    # ids in hexadecimal are half as long under zstd
+    (df.distinct() if once else df).write.bucketBy(n, *keys).option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 

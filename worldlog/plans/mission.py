@@ -119,22 +119,22 @@ SECTIONS = {
 }
 
 
-def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = _families(spark, sf_dir)
-    records = kept_by(references.records_of(families, access.can_view(READER).alias("visible")), "records", "ref")
-    edges = _resolved(families, records)
+def _descent(spark: SparkSession, sf_dir: str) -> dict:
+    """What explanations of forecasts and warnings go by. Nothing is met below what is hidden, so that what hidden rows name is apart."""
+    families, seen = _families(spark, sf_dir), access.can_view(READER)
+    named = lambda rows: references.named({k: df.filter(rows) for k, df in families.items()}, ALIASES).filter(F.col("kind").isin(references.ANY, *families))
     seeds = families["forecast"].select(F.col("forecast_id").alias("ref")).union(families["warning"].select("warning_id"))
-    return explain.descent(seeds, edges, records, 4)
+    return {"seeds": seeds, "edges": named(seen), "hidden": named(~seen), "records": references.records_of(families, seen.alias("visible")), "hops": 4}
 
 
 def q12_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts and warnings explained in eight sections: how much each holds, how much of it is hidden, and the first visible id."""
-    return explain.sections(_walk(spark, sf_dir), SECTIONS)
+    return explain.explained(**_descent(spark, sf_dir), places=SECTIONS)
 
 
 def q12_explanation_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walks themselves: every node with the hop, the field and the record it was met by, hidden ones as stand-ins."""
-    return _walk(spark, sf_dir).select("seed", "hop", "parent", "field", "kind", "ref")
+    return explain.descent(**_descent(spark, sf_dir)).select("seed", "hop", "parent", "field", "kind", "ref")
 
 
 def q02_redacted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
