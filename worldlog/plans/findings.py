@@ -35,8 +35,10 @@ def _scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     known = objects.select("object_id")
     for end in ("source_id", "target_id"):
         relations = relations.join(known.withColumnRenamed("object_id", end), end, "left_semi")
+    # every rule reads them: plans begin at what is written
+    objects, relations = graph.saved(objects, "objects"), graph.saved(relations.select("relation_type", "source_id", "target_id"), "relations")
     groups = objects.filter("object_type = 'OBSERVATION'").select("group_id", "object_id")
-    return objects.drop("group_id"), relations.select("relation_type", "source_id", "target_id"), groups
+    return objects.drop("group_id"), relations, groups
 
 
 def q07_six_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
